@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deckhand.llm import media, packing, records
+from deckhand.llm import media, packing, records, wordbpe
 
 ORACLES: dict[str, str] = {}
 
@@ -21,8 +21,12 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.bpe_digest(documents(spark, sf_dir))
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_media_archive, op4_vector_packing, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op2_media_archive, op4_vector_packing, op8_word_bpe, op10_token_records)}
