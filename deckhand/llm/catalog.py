@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deckhand.llm import media, packing, records, wordbpe
+from deckhand.llm import media, packing, pii, quality, records, wordbpe
 
 ORACLES: dict[str, str] = {}
 
@@ -13,6 +13,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(documents(spark, sf_dir))
+
+
 def op2_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(documents(spark, sf_dir))
 
@@ -21,6 +25,10 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op7_line_labelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.bpe_digest(documents(spark, sf_dir))
 
@@ -29,4 +37,4 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_media_archive, op4_vector_packing, op8_word_bpe, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_media_archive, op4_vector_packing, op7_line_labelling, op8_word_bpe, op10_token_records)}
