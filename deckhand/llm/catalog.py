@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deckhand.llm import media, packing, pii, quality, records, wordbpe
+from deckhand.llm import media, neardup, packing, pii, quality, records, wordbpe
 
 ORACLES: dict[str, str] = {}
 
@@ -33,8 +33,12 @@ def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.bpe_digest(documents(spark, sf_dir))
 
 
+def op9_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_media_archive, op4_vector_packing, op7_line_labelling, op8_word_bpe, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_media_archive, op4_vector_packing, op7_line_labelling, op8_word_bpe, op9_multi_index_hamming, op10_token_records)}

@@ -42,12 +42,30 @@ def clean(spark: SparkSession, path: str | None = None) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the shared folder: lineage ends there, and a lost executor loses nothing."""
+    """The same rows from a table in the shared folder: lineage ends there, and a lost executor loses nothing.
+
+    Shuffle files of the job that writes it go when it ends, so that steps don't add up on disk.
+    """
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._deckhand_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        clean(table.sparkSession, table._deckhand_path)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
