@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -121,3 +122,32 @@ def input_bytes(df: DataFrame) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def packed(*parts: bytes) -> bytes:
+    return struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts)
+
+
+def unpacked(data: bytes) -> list[bytes]:
+    (n,) = struct.unpack_from("<I", data)
+    sizes, at, parts = struct.unpack_from(f"<{n}Q", data, 4), 4 + 8 * n, []
+    for size in sizes:
+        parts.append(data[at : at + size])
+        at += size
+    return parts
+
+
+def zipped(x: np.ndarray | bytes) -> bytes:
+    data = x if isinstance(x, bytes) else x.tobytes()
+    return struct.pack("<Q", len(data)) + pa.compress(data, "zstd", asbytes=True)
+
+
+def unzipped(data: bytes) -> bytes:
+    (n,) = struct.unpack_from("<Q", data)
+    return pa.decompress(data[8:], n, "zstd", asbytes=True)
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of the ranges start..start + length, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)

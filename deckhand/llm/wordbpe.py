@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import functools
 import re
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from deckhand.llm import common, vocab
+from deckhand.llm.common import packed, ragged, unpacked, unzipped, zipped
 
 BLOCK_BYTES = 6 << 20
 #: Distinct words that a bucket's task remembers at a time.
@@ -46,35 +46,6 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=vocab.SPACED, mergeable_ranks=ranks, special_tokens={})
 
 
-def packed(*parts: bytes) -> bytes:
-    return struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts)
-
-
-def unpacked(data: bytes) -> list[bytes]:
-    (n,) = struct.unpack_from("<I", data)
-    sizes, at, parts = struct.unpack_from(f"<{n}Q", data, 4), 4 + 8 * n, []
-    for size in sizes:
-        parts.append(data[at : at + size])
-        at += size
-    return parts
-
-
-def _zip(x: np.ndarray | bytes) -> bytes:
-    data = x if isinstance(x, bytes) else x.tobytes()
-    return struct.pack("<Q", len(data)) + pa.compress(data, "zstd", asbytes=True)
-
-
-def _unzip(data: bytes) -> bytes:
-    (n,) = struct.unpack_from("<Q", data)
-    return pa.decompress(data[8:], n, "zstd", asbytes=True)
-
-
-def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices of the ranges start..start + length, one after another."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
-
-
 def explode(block: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, the sequence of their indices through all texts, and each text's number of words."""
     pattern, seen, order, pieces = regex.compile(vocab.SPACED), {}, [], []
@@ -128,7 +99,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sequence = rank[sequence]
                 segment = packed(
                     np.array(ids.is_null()).tobytes(), ids.fill_null(0).to_numpy().astype("<i8").tobytes(), counts.astype("<i8").tobytes(),
-                    *(_zip((sequence >> s & 0xFF).astype(np.uint8)) for s in (0, 8, 16, 24)),
+                    *(zipped((sequence >> s & 0xFF).astype(np.uint8)) for s in (0, 8, 16, 24)),
                 )
                 if f is None:
                     fs.create_dir(root, recursive=True)
@@ -142,7 +113,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for b in np.flatnonzero(np.diff(cuts)):
                     own_words = order[cuts[b] : cuts[b + 1]]
                     lengths = np.array([len(data[w]) for w in own_words], "<u4")
-                    rows.append((int(b), None, None, packed(own_words.astype("<u4").tobytes(), _zip(lengths), _zip(b"".join(data[w] for w in own_words)))))
+                    rows.append((int(b), None, None, packed(own_words.astype("<u4").tobytes(), zipped(lengths), zipped(b"".join(data[w] for w in own_words)))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([pid << 32 | k] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary())))],
                     ["block", "bucket", "at", "size", "words"],
@@ -162,7 +133,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out.append(None)
                     continue
                 own_words, lengths, data = unpacked(row)
-                lengths, data = np.frombuffer(_unzip(lengths), "<u4"), _unzip(data)
+                lengths, data = np.frombuffer(unzipped(lengths), "<u4"), unzipped(data)
                 got, start = [], 0
                 for n in lengths.tolist():
                     word = data[start : start + n]
@@ -173,7 +144,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                             known.clear()
                         ids = known[word] = np.array(merge(word.decode()), "<u2").tobytes()
                     got.append(ids)
-                out.append(packed(own_words, bytes(_zip(np.array(list(map(len, got)), "<u4"))), b"".join(got)))
+                out.append(packed(own_words, zipped(np.array(list(map(len, got)), "<u4")), b"".join(got)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "at", "size")), pa.array(out, pa.binary())], ["block", "at", "size", "ids"])
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
@@ -182,10 +153,10 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         with fs.open_input_file(f"{root}/positions-{key[0].as_py() >> 32:07d}") as f:
             f.seek(at)
             null, doc_ids, counts, *planes = unpacked(f.read(size))
-        sequence = sum(np.frombuffer(_unzip(p), np.uint8).astype(np.int64) << 8 * k for k, p in enumerate(planes))
+        sequence = sum(np.frombuffer(unzipped(p), np.uint8).astype(np.int64) << 8 * k for k, p in enumerate(planes))
         parts = [unpacked(x) for x in table.column("ids").to_pylist() if x is not None]
         words = np.concatenate([np.frombuffer(p[0], "<u4") for p in parts] or [np.zeros(0, np.uint32)])
-        lengths = np.concatenate([np.frombuffer(_unzip(p[1]), "<u4") for p in parts] or [np.zeros(0, np.uint32)]).astype(np.int64) // 2
+        lengths = np.concatenate([np.frombuffer(unzipped(p[1]), "<u4") for p in parts] or [np.zeros(0, np.uint32)]).astype(np.int64) // 2
         pool = np.frombuffer(b"".join(p[2] for p in parts), "<u2")
         starts = np.cumsum(lengths) - lengths
         by_rank = np.argsort(words)
