@@ -32,7 +32,8 @@ BAD = [r"\b(?:nav|navbar|navigation|menu|breadcrumbs?|toc|tabs)", r"\b(?:ads?|ad
 GOOD = [r"\b(?:article|story|entry|hentry|post)", r"\b(?:content|main|text|body)"]
 NAMED = [re.compile(p) for p in BAD + GOOD]
 #: Kinds of children for the potentials of pairs: containers, lists and cells, text blocks, inline and others.
-CHILD = {k: 0 if tag in "div section article main aside header footer nav form".split() else 1 if tag in "ul li table tr blockquote figure".split() else 2 if tag in "p h1 h2 h3".split() else 3 for tag, k in KIND.items()}
+GROUPS = ["div section article main aside header footer nav form", "ul ol li table tr td blockquote figure", "p h1 h2 h3 h4 pre"]
+CHILD = {k: next((g for g, tags in enumerate(GROUPS) if kind.split()[0] in tags.split()), 3) for k, kind in enumerate(KINDS)}
 N_FEATURES = len(KINDS) + 1 + len(NAMED) + 6
 N_CHILD = 4
 

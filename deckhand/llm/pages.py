@@ -14,6 +14,9 @@ class Maker:
         self.r = random.Random(seed)
         #: Some pages' text has no marks between sentences, as in lists of words and junk.
         self.plain = self.r.random() < 0.25
+        #: Some have many short lines, many of them the same.
+        self.short = self.r.random() < 0.2
+        self.line = self.words(1, 5).capitalize() + "."
 
     def word(self) -> str:
         return "".join(self.r.choices(SYLLABLES, k=self.r.randint(1, 4)))
@@ -90,6 +93,8 @@ class Maker:
         k = self.r.random()
         if k < 0.62:
             text = self.prose(1, 7)
+            if self.short and self.r.random() < 0.8:
+                text = self.r.choice([self.line, self.words(1, 6) + "."])
             if self.r.random() < 0.3:
                 t = self.r.choice(["b", "i", "em", "strong", "span"])
                 text = f"<{t}>{self.words(1, 5)}</{t}> {text}"
@@ -119,7 +124,7 @@ class Maker:
         title = f"<h1{MARK}>{self.words(2, 12)}</h1>" if self.r.random() < 0.85 else ""
         if title and self.r.random() < 0.15:
             title = f"<header{MARK}>{title}</header>"
-        body = "".join(self.own() + (self.noise() if self.r.random() < 0.07 else "") for _ in range(self.r.choice([1, 1, 2, 3, 4, 6, 9, 14])))
+        body = "".join(self.own() + (self.noise() if self.r.random() < 0.07 else "") for _ in range(self.r.choice([6, 14, 30, 60] if self.short else [1, 1, 2, 3, 4, 6, 9, 14, 25])))
         if self.r.random() < 0.15:
             body = f"<section{MARK}>{body}</section>"
         if self.r.random() < 0.1:
