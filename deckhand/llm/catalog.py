@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deckhand.llm import extraction, media, neardup, packing, pii, quality, records, suffixes, wordbpe
+from deckhand.llm import extraction, licences, media, neardup, packing, pii, quality, records, suffixes, wordbpe
 
 ORACLES: dict[str, str] = {}
 
@@ -21,6 +21,10 @@ def op2_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(documents(spark, sf_dir))
 
 
+def op3_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_digest(documents(spark, sf_dir))
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -49,4 +53,4 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_media_archive, op4_vector_packing, op5_dom_sum_product, op6_bucketed_suffixes, op7_line_labelling, op8_word_bpe, op9_multi_index_hamming, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_media_archive, op3_signature_rules, op4_vector_packing, op5_dom_sum_product, op6_bucketed_suffixes, op7_line_labelling, op8_word_bpe, op9_multi_index_hamming, op10_token_records)}
