@@ -1,4 +1,9 @@
-"""Registered queries over the supplied tables, each with its SQL twin where SQL can express it."""
+"""Registered queries over the supplied tables, each with its SQL twin where SQL can express it.
+
+None of these tables holds presentations, so the queries show the operators on analogues: conversations
+stand for files of slides (turns are ordinals), documents for text elements, pages for tagged text,
+events for step logs, and the business tables for records and extracted tables.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckhand.functions import ordinals
+from deckhand.operators import analysis, formatting, slides, tables, workflow
+from deckhand.plans import pipeline
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,15 +36,342 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def specified(name: str, source: str, spec: dict, columns: list[str], sql: str, seq: str) -> None:
+    """A query that is nothing but a specification."""
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, source)
+        rows = rows.withColumn("seq", F.expr(seq))
+        return pipeline.run(rows, spec, "seq").select(*columns)
+
+    query(name, sql)(f)
+
+
+# Filters, one condition each.
+def predicate(name: str, source: str, rule: dict, columns: list[str], where: str, seq: str) -> None:
+    specified(name, source, {"filters": [rule]}, columns, f"SELECT {', '.join(columns)} FROM {source} WHERE {where}", seq)
+
+
+PART = ["p_partkey", "p_name", "p_type", "p_size"]
+predicate("pred_equals_ci", "part", {"field": "p_type", "condition": "equals", "value": "economy"}, PART, "lower(p_type) = 'economy'", "p_partkey")
+predicate("pred_equals_case", "part", {"field": "p_type", "condition": "equals", "value": "ECONOMY", "case_sensitive": True}, PART, "p_type = 'ECONOMY'", "p_partkey")
+predicate("pred_not_equals", "part", {"field": "p_type", "condition": "not_equals", "value": "economy"}, PART, "lower(coalesce(p_type, '')) <> 'economy'", "p_partkey")
+predicate("pred_contains", "part", {"field": "p_name", "condition": "contains", "value": "RING"}, PART, "contains(lower(p_name), 'ring')", "p_partkey")
+predicate("pred_not_contains", "part", {"field": "p_name", "condition": "not_contains", "value": "ring"}, PART, "NOT contains(lower(coalesce(p_name, '')), 'ring')", "p_partkey")
+predicate("pred_starts", "part", {"field": "p_name", "condition": "starts_with", "value": "Small"}, PART, "starts_with(lower(p_name), 'small')", "p_partkey")
+predicate("pred_ends", "part", {"field": "p_name", "condition": "ends_with", "value": "widget"}, PART, "ends_with(lower(p_name), 'widget')", "p_partkey")
+predicate("pred_regex", "customer", {"field": "c_name", "condition": "regex", "value": "customer#0+[1-3]5?$"}, ["c_custkey", "c_name"], "regexp_matches(c_name, 'customer#0+[1-3]5?$', 'i')", "c_custkey")
+predicate("pred_in_list", "orders", {"field": "o_orderpriority", "condition": "in_list", "value": ["1-urgent", "5-LOW"]}, ["o_orderkey", "o_orderpriority"], "lower(o_orderpriority) IN ('1-urgent', '5-low')", "o_orderkey")
+predicate("pred_not_in_list", "orders", {"field": "o_orderpriority", "condition": "not_in_list", "value": ["1-urgent", "5-LOW"]}, ["o_orderkey", "o_orderpriority"], "lower(o_orderpriority) NOT IN ('1-urgent', '5-low')", "o_orderkey")
+predicate("pred_greater", "lineitem", {"field": "l_quantity", "condition": "greater_than", "value": "45"}, ["l_orderkey", "l_linenumber", "l_quantity"], "l_quantity > 45", "l_orderkey * 10 + l_linenumber")
+predicate("pred_less_equal", "lineitem", {"field": "l_discount", "condition": "less_equal", "value": 0.01}, ["l_orderkey", "l_linenumber", "l_discount"], "l_discount <= 0.01", "l_orderkey * 10 + l_linenumber")
+predicate("pred_not_empty", "documents", {"field": "source", "condition": "not_empty"}, ["doc_id", "source"], "trim(coalesce(source, '')) <> ''", "doc_id")
+predicate("pred_is_empty", "documents", {"field": "source", "condition": "is_empty"}, ["doc_id", "source"], "trim(coalesce(source, '')) = ''", "doc_id")
+predicate("pred_numeric_coercion", "events", {"field": "props", "condition": "greater_equal", "value": 1}, ["event_id", "props"], "try_cast(props AS DOUBLE) >= 1", "event_id")
+specified(
+    "filter_or_logic", "orders",
+    {"filter_logic": "OR", "filters": [{"field": "o_orderstatus", "condition": "equals", "value": "p"}, {"field": "o_totalprice", "condition": "greater_than", "value": 400000}]},
+    ["o_orderkey", "o_orderstatus", "o_totalprice"], "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE lower(o_orderstatus) = 'p' OR o_totalprice > 400000", "o_orderkey",
+)
+
+
+# Groups and aggregations.
+def over(field: str, *operations: str) -> list[dict]:
+    return [{"field": field, "operation": o, "output_field": f"{o}_{field}"} for o in operations]
+
+
+specified(
+    "filter_and_agg_core", "lineitem",
+    {"filters": [{"field": "l_quantity", "condition": "greater_equal", "value": 10}], "sorting": [{"field": "l_returnflag"}, {"field": "l_linestatus"}],
+     "grouping": {"fields": ["l_returnflag", "l_linestatus"], "aggregations": over("l_quantity", "sum", "average", "count", "min", "max")}},
+    ["l_returnflag", "l_linestatus", "sum_l_quantity", "average_l_quantity", "count_l_quantity", "min_l_quantity", "max_l_quantity"],
+    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_l_quantity, avg(l_quantity) AS average_l_quantity, count(l_quantity) AS count_l_quantity,
+              min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity FROM lineitem WHERE l_quantity >= 10 GROUP BY ALL""", "l_orderkey * 10 + l_linenumber",
+)
+specified(
+    "agg_list_concat", "nation", {"grouping": {"fields": ["n_regionkey"], "aggregations": over("n_name", "list", "concat", "unique", "first", "last")}},
+    ["n_regionkey", "list_n_name", "concat_n_name", "unique_n_name", "first_n_name", "last_n_name"],
+    """SELECT n_regionkey::VARCHAR AS n_regionkey, list(n_name ORDER BY n_nationkey) AS list_n_name, string_agg(n_name, ', ' ORDER BY n_nationkey) AS concat_n_name,
+              list_sort(list(DISTINCT n_name)) AS unique_n_name, arg_min(n_name, n_nationkey) AS first_n_name, arg_max(n_name, n_nationkey) AS last_n_name FROM nation GROUP BY n_regionkey""", "n_nationkey",
+)
+FREQUENT = """WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL)
+              SELECT user_id::VARCHAR AS user_id, event_type AS {0}_event_type FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n {1}, f {2}) = 1"""
+for _name, _n, _f in (("most_common", "DESC", "ASC"), ("least_common", "ASC", "DESC")):
+    specified(f"agg_{_name}", "events", {"grouping": {"fields": ["user_id"], "aggregations": over("event_type", _name)}}, ["user_id", f"{_name}_event_type"], FREQUENT.format(_name, _n, _f), "event_id")
+specified(
+    "sort_multi_offset_limit", "orders",
+    {"sorting": [{"field": "o_orderpriority", "order": "desc"}, {"field": "o_totalprice"}], "offset": 20, "limit": 50}, ["o_orderkey", "o_orderpriority", "o_totalprice"],
+    "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY lower(o_orderpriority) DESC, o_totalprice, o_orderkey LIMIT 50 OFFSET 20", "o_orderkey",
+)
+
+
+@query("agg_all_null_group", "SELECT lang, nullif(count(toxic), 0) AS count_toxic, CASE WHEN count(toxic) > 0 THEN sum(toxic)::DOUBLE END AS sum_toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+def agg_all_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return pipeline.run(rows, {"grouping": {"fields": ["lang"], "aggregations": over("toxic", "count", "sum")}}, "doc_id").drop("doc_id")
+
+
+@query("result_summary", "SELECT (SELECT count(*) FROM orders) AS original_count, count(*) AS filtered_count, least(count(*), 10) AS final_count, false AS grouped, false AS sorted, true AS paged FROM orders WHERE o_totalprice > 300000")
+def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = {"filters": [{"field": "o_totalprice", "condition": "greater_than", "value": 300000}], "limit": 10}
+    return pipeline.summary(table(spark, sf_dir, "orders"), spec, "o_orderkey")
+
+
+@query("nested_path", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 90")
+def nested_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("p"))
+    found = pipeline.run(rows, {"filters": [{"field": "p.k", "condition": "greater_than", "value": 90}]}, "event_id")
+    return found.select("event_id", pipeline.resolved(found, "p.k")[0].cast("long").alias("k"))
+
+
+# Ordinals, titles, content and sections.
+@query("ordinal_slice", "SELECT conv_id, turn, role FROM conversations WHERE turn + 1 BETWEEN 2 AND 4")
+def ordinal_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where(ordinals.predicate(F.col("turn") + 1, "[2:4]")).select("conv_id", "turn", "role")
+
+
+@query("ordinal_list", "SELECT conv_id, turn, role FROM conversations WHERE turn + 1 IN (1, 3, 8)")
+def ordinal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where(ordinals.predicate(F.col("turn") + 1, "3,1,8,1")).select("conv_id", "turn", "role")
+
+
+@query("title_filters", "SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents WHERE starts_with(lower(split_part(text, chr(10), 1)), 'th') AND regexp_matches(split_part(text, chr(10), 1), ' (and|the) ', 'i')")
+def title_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"))
+    return rows.where(slides.title_condition(F.col("title"), {"starts_with": "Th", "regex": " (and|the) "}))
+
+
+@query("title_one_of", "SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents WHERE regexp_matches(split_part(text, chr(10), 1), '^on ', 'i') OR contains(lower(split_part(text, chr(10), 1)), '(and')")
+def title_one_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"))
+    return rows.where(slides.title_condition(F.col("title"), {"one_of": ["^on ", "(and"]}))
+
+
+@query(
+    "object_counts",
+    """SELECT page_id, len(regexp_extract_all(html, '<p>')) AS text_boxes, len(regexp_extract_all(html, '<li>')) AS shapes, len(regexp_extract_all(html, '<a ')) AS connectors
+       FROM pages WHERE len(regexp_extract_all(html, '<p>')) + len(regexp_extract_all(html, '<li>')) + len(regexp_extract_all(html, '<a ')) BETWEEN 20 AND 40""",
+)
+def object_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    zero = F.lit(0).cast("long")
+    kinds = {"text_boxes": count("<p>"), "shapes": count("<li>"), "connectors": count("<a ")}
+    rows = table(spark, sf_dir, "pages").select("page_id", F.struct(*(kinds.get(k, zero).alias(k) for k in slides.KINDS)).alias("counts"))
+    found = rows.where(slides.content_condition({"object_count": {"min": 20, "max": 40}}, F.col("counts"), F.lit(""), F.array(F.lit(""))))
+    return found.select("page_id", "counts.text_boxes", "counts.shapes", "counts.connectors")
+
+
+@query("section_semijoin", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE lower(r_name) = 'asia')")
+def section_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = table(spark, sf_dir, "region").where(F.lower("r_name") == "asia")
+    members = table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select("n_nationkey")
+    return table(spark, sf_dir, "customer").join(members, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey", "c_name")
+
+
+@query("section_range", "SELECT n_nationkey, r_name FROM nation JOIN region ON n_nationkey BETWEEN r_regionkey * 5 AND r_regionkey * 5 + 4")
+def section_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of equal width are joined on the range's number, so that the join is on a key."""
+    regions = table(spark, sf_dir, "region").withColumn("bin", F.col("r_regionkey").cast("long"))
+    return table(spark, sf_dir, "nation").withColumn("bin", F.floor(F.col("n_nationkey") / 5)).join(regions, "bin").select("n_nationkey", "r_name")
+
+
+@query("required_parts_anti", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def required_parts_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+LINKS = "SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS rid FROM pages"
+
+
+@query("link_resolution", f"WITH l AS ({LINKS}) SELECT l.page_id, l.rid, coalesce(t.url, l.rid) AS url FROM l LEFT JOIN (SELECT '/the' AS rid, 'https://example.com/the' AS url) t USING (rid)")
+def link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1))).alias("rid"))
+    targets = spark.range(1).select(F.lit("/the").alias("rid"), F.lit("https://example.com/the").alias("target"))
+    return found.join(targets, "rid", "left").select("page_id", "rid", F.coalesce("target", "rid").alias("url"))
+
+
+@query("notes_filter", "SELECT conv_id, turn FROM conversations WHERE trim(coalesce(text, '')) <> '' AND contains(lower(coalesce(text, '')), 'the')")
+def notes_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where(slides.notes_condition(F.col("text"), {"is_empty": False, "contains": "THE"})).select("conv_id", "turn")
+
+
+# Windows.
+@query("segment_offsets", "SELECT conv_id, turn, length(text) AS size, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM conversations")
+def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = formatting.running_offset(F.length("text"), ["conv_id"], ["turn"])
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("size"), start.cast("long").alias("start"))
+
+
+@query(
+    "run_lengths",
+    """WITH i AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS g FROM events)
+       SELECT user_id, event_type, min(event_id) AS first, count(*) AS length FROM i GROUP BY user_id, event_type, g HAVING count(*) >= 3""",
+)
+def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.runs(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type").where("length >= 3")
+
+
+@query(
+    "type_bigrams",
+    """WITH p AS (SELECT user_id, event_type || ' -> ' || lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS sequence FROM events)
+       SELECT user_id, sequence, count(*) AS occurrences FROM p WHERE sequence IS NOT NULL GROUP BY ALL HAVING count(*) >= 3""",
+)
+def type_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.bigrams(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type")
+
+
+SPANS = "SELECT l_orderkey, l_linenumber - 1 AS col, 1 + (l_partkey % 3) AS span, l_returnflag AS value FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1"
+
+
+@query(
+    "merged_cell_compaction",
+    f"""WITH s AS ({SPANS}), c AS (SELECT *, coalesce(max(col + span - 1) OVER (PARTITION BY l_orderkey ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS cover FROM s)
+        SELECT l_orderkey, col, span, value, row_number() OVER (PARTITION BY l_orderkey ORDER BY col) - 1 AS logical_col FROM c WHERE col > cover""",
+)
+def merged_cell_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.first("l_partkey").alias("p"), F.first("l_returnflag").alias("value")).where("n = 1")
+    cells = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("col"), (1 + F.col("p") % 3).alias("span"), "value")
+    return tables.compacted(cells, ["l_orderkey"], "col", "span").withColumn("logical_col", F.col("logical_col").cast("long"))
+
+
+@query("last_three_steps", "SELECT event_id, user_id, list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent FROM events")
+def last_three_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.context(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type").select("event_id", "user_id", "recent")
+
+
+STEPS = "SELECT user_id, list(event_type ORDER BY event_id) AS steps FROM events GROUP BY user_id"
+
+
+@query("sequence_match", f"WITH s AS ({STEPS}) SELECT user_id, len(list_filter(range(1, len(steps) - 1), lambda i: steps[i:i+2] = ['view', 'click', 'purchase'])) > 0 AS matched FROM s")
+def sequence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = workflow.sequences(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+    return steps.select("user_id", workflow.contains_sequence(F.col("steps"), ["view", "click", "purchase"]).alias("matched"))
+
+
+@query("partial_sequence", f"WITH s AS ({STEPS}) SELECT user_id, 1.0::DOUBLE AS score FROM s WHERE len(regexp_extract_all(array_to_string(steps, ','), 'signup.*view.*error.*purchase')) > 0")
+def partial_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = workflow.sequences(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+    return steps.select("user_id", workflow.partial_sequence(F.col("steps"), ["signup", "view", "error", "purchase"]).alias("score")).where("score = 1")
+
+
+@query(
+    "argmax_pattern",
+    """SELECT conv_id, CASE WHEN count(*) FILTER (role = 'assistant') > count(*) FILTER (role = 'user') THEN 'assistant' ELSE 'user' END AS best FROM conversations GROUP BY conv_id""",
+)
+def argmax_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind that occurs most; of equal ones the one that is declared first."""
+    counts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(*(F.count_if(F.col("role") == r).alias(r) for r in ("user", "assistant")))
+    best = F.array_max(F.array(*(F.struct(F.col(r).alias("n"), F.lit(-k).alias("ord"), F.lit(r).alias("name")) for k, r in enumerate(("user", "assistant")))))
+    return counts.select("conv_id", best["name"].alias("best"))
+
+
+# Output shapes.
+@query(
+    "flat_pivot",
+    """SELECT l_orderkey, max(l_quantity) FILTER (l_linenumber = 1) AS h1, max(l_quantity) FILTER (l_linenumber = 2) AS h2, max(l_quantity) FILTER (l_linenumber = 3) AS h3
+       FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey""",
+)
+def flat_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").withColumn("h", F.concat(F.lit("h"), F.col("l_linenumber").cast("string")))
+    return rows.groupBy("l_orderkey").pivot("h", ["h1", "h2", "h3"]).agg(F.max("l_quantity"))
+
+
+@query("row_col_value", "SELECT n_nationkey AS row, c.col, c.value FROM nation, LATERAL (VALUES (0, n_name), (1, n_regionkey::VARCHAR)) AS c(col, value)")
+def row_col_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").selectExpr("n_nationkey AS row", "stack(2, 0, n_name, 1, string(n_regionkey)) AS (col, value)")
+
+
+@query("color_group", "SELECT coalesce(l_returnflag, 'no_color') AS group_key, count(*) AS n FROM lineitem GROUP BY ALL")
+def color_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.coalesce("l_returnflag", F.lit("no_color")).alias("group_key")).agg(F.count("*").alias("n"))
+
+
 @query(
-    "filter_and_agg_core",
-    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(l_quantity) AS n
-       FROM lineitem WHERE l_quantity >= 10 GROUP BY 1, 2""",
+    "multi_membership",
+    """WITH g AS (SELECT unnest(list_filter([CASE WHEN value > 50 THEN 'large' END, CASE WHEN event_type = 'click' THEN 'click' END, CASE WHEN user_id % 2 = 0 THEN 'even' END], lambda x: x IS NOT NULL)) AS group_key FROM events)
+       SELECT group_key, count(*) AS n FROM g GROUP BY ALL""",
 )
-def filter_and_agg_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where("l_quantity >= 10")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum("l_quantity").alias("sum_qty"), F.count("l_quantity").alias("n"))
-    )
+def multi_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = F.array(F.when(F.col("value") > 50, "large"), F.when(F.col("event_type") == "click", "click"), F.when(F.col("user_id") % 2 == 0, "even"))
+    return table(spark, sf_dir, "events").select(F.explode(F.array_compact(flags)).alias("group_key")).groupBy("group_key").agg(F.count("*").alias("n"))
+
+
+@query("formatting_histogram", "WITH b AS (SELECT page_id, len(regexp_extract_all(html, '<b>')) AS bold FROM pages) SELECT bold, count(*) AS n FROM b GROUP BY bold")
+def formatting_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(F.regexp_count("html", F.lit("<b>")).cast("long").alias("bold")).agg(F.count("*").alias("n"))
+
+
+@query("html_escape", """SELECT doc_id, replace(replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS html FROM documents""")
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tables.escaped(F.left("text", F.lit(200))).alias("html"))
+
+
+@query("truncate_text", "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 97) || '...' ELSE text END AS short FROM documents")
+def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", slides.shortened(F.col("text"), 100).alias("short"))
+
+
+@query("preview_text", "SELECT conv_id, array_to_string(list(CASE WHEN length(text) > 100 THEN left(text, 97) || '...' ELSE text END ORDER BY turn)[1:3], ' | ') AS preview FROM conversations GROUP BY conv_id")
+def preview_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    boxes = F.transform("t", lambda x: F.struct(F.lit(None).cast("string").alias("ph_type"), x["text"].alias("text")))
+    return texts.select("conv_id", slides.preview(boxes, F.lit(None).cast("string")).alias("preview"))
+
+
+# Analysis, on conversations as files: the role system stands for a title, other turns for text.
+def decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    counts = F.struct(*(F.when(F.lit(k == "shapes"), F.length("text") % 7).when(F.lit(k == "tables"), (F.length("text") % 5 == 0).cast("int")).otherwise(0).cast("long").alias(k) for k in slides.KINDS))
+    return rows.select(
+        F.col("conv_id").alias("file"), (F.col("turn") + 1).alias("slide_number"), F.when(F.col("turn") % 2 == 0, F.split("text", "\n")[0]).alias("title"),
+        F.lit(None).cast("string").alias("subtitle"), F.lit("").alias("notes"), counts.alias("counts"), F.split("text", "\n").alias("texts"),
+    )
+
+
+DECK = """SELECT conv_id AS file, turn + 1 AS slide_number, CASE WHEN turn % 2 = 0 THEN split_part(text, chr(10), 1) END AS title,
+                 length(text) % 7 AS shapes, CASE WHEN length(text) % 5 = 0 THEN 1 ELSE 0 END AS tables, string_split(text, chr(10)) AS texts FROM conversations"""
+TYPE = """CASE WHEN coalesce(title, '') <> '' AND shapes <= 2 AND shapes + tables <= 3 THEN 'title_slide' WHEN tables > 0 AND tables >= (shapes + tables) * 0.5 THEN 'table_slide'
+               WHEN len(texts) >= 3 OR length(t) - length(replace(replace(replace(t, '•', ''), '-', ''), '*', '')) >= 3 THEN 'bullet_slide'
+               WHEN shapes + tables = 0 THEN 'blank_slide' ELSE 'content_slide' END"""
+TYPED = f"(SELECT *, {TYPE} AS slide_type FROM (SELECT *, array_to_string(texts, ' ') AS t FROM ({DECK})))"
+
+
+@query("classify", f"SELECT file, slide_number, slide_type FROM {TYPED}")
+def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.classified(decks(spark, sf_dir)).select("file", "slide_number", "slide_type")
+
+
+@query(
+    "slide_scores",
+    f"""SELECT file, slide_number, (least((shapes + tables) / 5, 1::DOUBLE) + least(n / 500, 1::DOUBLE) + least(tables / 2, 1::DOUBLE)) / 4 AS complexity,
+               1 + 0.5::DOUBLE * tables + CASE WHEN n > 200 THEN 0.5::DOUBLE ELSE 0 END AS minutes FROM (SELECT *, list_sum(list_transform(texts, lambda x: length(x)))::DOUBLE AS n FROM ({DECK}))""",
+)
+def slide_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.slide_scores(decks(spark, sf_dir)).select("file", "slide_number", F.col("complexity").cast("double").alias("complexity"), F.col("minutes").cast("double").alias("minutes"))
+
+
+@query("density_balance", f"""WITH k AS (SELECT file, slide_type, count(*) AS n, sum(shapes + tables) AS objects FROM {TYPED} GROUP BY ALL)
+    SELECT file, CASE WHEN sum(objects) / sum(n) <= 3 THEN 'low' WHEN sum(objects) / sum(n) <= 6 THEN 'medium' ELSE 'high' END AS content_density,
+           CASE WHEN count(*) >= 4 AND max(n) / sum(n) <= 0.7 THEN 'well_balanced' WHEN count(*) >= 3 AND max(n) / sum(n) <= 0.8 THEN 'balanced' WHEN max(n) / sum(n) >= 0.9 THEN 'monotonous' ELSE 'somewhat_balanced' END AS visual_balance
+    FROM k GROUP BY file""")
+def density_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.insights(decks(spark, sf_dir)).select("file", "content_density", "visual_balance")
+
+
+@query("title_prefix_groups", r"""WITH p AS (SELECT doc_id, regexp_split_to_array(trim(split_part(text, chr(10), 1)), '\s+') AS w FROM documents)
+    SELECT w[1] || ' ' || w[2] AS prefix, count(*) AS occurrences, list_sort(list(doc_id)) AS docs FROM p WHERE len(w) >= 2 GROUP BY 1 HAVING count(*) >= 3""")
+def title_prefix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", analysis.title_prefix(F.split("text", "\n")[0]).alias("prefix")).where("prefix IS NOT NULL")
+    return rows.groupBy("prefix").agg(F.count("*").alias("occurrences"), F.array_sort(F.collect_list("doc_id")).alias("docs")).where("occurrences >= 3")
+
+
+@query("session_summary", """SELECT user_id, count(*) AS steps, count(*) FILTER (event_type <> 'error') AS successes, count(DISTINCT event_type) AS tools, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE AS seconds,
+    (count(*) FILTER (event_type <> 'error') / count(*))::DOUBLE AS success_rate FROM events GROUP BY user_id""")
+def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumns({"ok": F.col("event_type") != "error", "cents": F.round(F.col("value") * 100).cast("long").cast("double")})
+    return workflow.summary(rows, "user_id", "event_type", "ok", "cents")
+
+
+@query("top_tools", "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3")
+def top_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.top(table(spark, sf_dir, "events"), "event_type", 3)
