@@ -1,19 +1,23 @@
 """Near-duplicates: MinHash signatures, joined by a multi-index search in Hamming space.
 
-A document's set of five-word shingles gets a signature of 64 slots of 16 bits, each the low bits of one
-minimum hash, so the share of equal slots estimates the sets' similarity. The signature is cut into 16
-chunks of four slots. Two signatures that differ in at most 31 slots have, by the pigeonhole principle, a
-chunk with one error at most; so each chunk is filed four times, each time without one slot, and every
-such pair meets under one key at least. A pair at similarity 0.75 misses all 16 chunks with probability
-below 1e-9.
+A document's set of five-word shingles gets a signature of 120 slots of 16 bits, each the low bits of one
+minimum hash, so the share of equal slots estimates the sets' similarity. The signature is cut into 20
+chunks of six slots. Two signatures that differ in at most 39 slots have, by the pigeonhole principle, a
+chunk with one error at most; so each chunk is filed six times, each time without one slot, and every
+such pair meets under one key at least. A pair at similarity 0.75 misses all 20 chunks with probability
+2.4e-7, however far its signatures are apart; pairs that share a passage only, at 0.2, rarely meet.
 
 Documents with equal sets are one node from the start. Pairs that meet are confirmed on the full sets in
 three rounds, so that a group of n copies costs about n comparisons and not n squared:
 
-1. a node with the least node of its keys (the one it shares most keys with);
-2. where a key still holds several components: a node with a node of the key's own choice;
-3. where that still is so: every node outside the key's largest component with all of other components
-   within 31 slots. After this no pair within the distance is left out.
+1. a node with the weightiest node of its keys (of those the one it shares most keys with). A node weighs
+   as much as all its keys have nodes; in a group of copies that is the text they were made from, or near;
+2. within families, which are the trees of those first pairs: every node outside the family's largest
+   component with all of other components. A family is cut into tiles, a pair of tiles is one task, and
+   each set goes to its tiles once. Only one link to each component is kept;
+3. where a key still holds several components: every node outside its largest one with all nodes of other
+   components and families within 56 slots (30 are expected at similarity 0.75, and 5.5 deviations more
+   are 56). After this no pair that meets within the distance is left out.
 """
 
 from __future__ import annotations
@@ -32,17 +36,22 @@ from deckhand.llm.components import components
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
-CHUNKS, CHUNK = 16, 4
+CHUNKS, CHUNK = 20, 6
 SLOTS = CHUNKS * CHUNK
-#: Slots that may differ: one error a chunk in all chunks but one, and one more there.
-DISTANCE = 2 * CHUNKS - 1
+#: Slots that may differ in the last round.
+DISTANCE = 56
 REMEMBERED = 300_000
+#: Nodes in a tile of a family.
+TILE = 1000
 
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
 #: Multipliers for the words of a shingle, in order.
 PLACES = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: For keys: multipliers of a chunk's slots, and what tells apart the chunks and the slots left out.
+PLACED = _rng.integers(1, 1 << 63, CHUNK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+WAYS = _rng.integers(0, 1 << 63, (CHUNKS, CHUNK), dtype=np.uint64)
 
 
 class _Words(dict):
@@ -109,19 +118,16 @@ def describe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keys(nodes: DataFrame) -> DataFrame:
-    """key, node: each chunk without each of its slots; a key holds the chunk, the slot left out and the rest."""
+    """key, node: each chunk without each of its slots, as a 64-bit name of chunk, place and the other slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
                 data, _ = common.text_bytes(batch.column(1))
-                chunks = data.view("<u2").reshape(-1, CHUNKS, CHUNK).astype(np.uint64)
-                out = np.empty((len(chunks), CHUNKS, CHUNK), np.uint64)
-                for gone in range(CHUNK):
-                    a, b, c = (k for k in range(CHUNK) if k != gone)
-                    place = np.arange(CHUNKS, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(gone)
-                    out[:, :, gone] = place << np.uint64(48) | chunks[:, :, a] << np.uint64(32) | chunks[:, :, b] << np.uint64(16) | chunks[:, :, c]
+                chunks = data.view("<u2").reshape(-1, CHUNKS, CHUNK).astype(np.uint64) * PLACED
+                whole_chunk = chunks.sum(axis=2, dtype=np.uint64)
+                out = _mix(whole_chunk[:, :, None] - chunks + WAYS)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out.ravel().astype(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), SLOTS))], ["key", "node"]
                 )
@@ -187,33 +193,74 @@ def links(df: DataFrame, described: DataFrame, percent: int = PERCENT, id_col: s
     nodes = described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("wanted"), F.min("signature").alias("signature"))
     nodes = common.written(nodes, "nodes")
     filed = keys(nodes)
-    hubs = filed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("key", "hub")
-    star = common.written(filed.join(hubs, "key").select("key", "node", "hub"), "star")
+    several = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    star = common.written(filed.join(several, "key"), "star")
+    weights = common.written(star.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    weighed = star.join(weights, "node")
+    hubs = weighed.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
 
-    shared = star.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    shared = star.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
     pairs = shared.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
     met = star.select("node").distinct()
     hashes = common.written(sets(df, nodes.join(met, "node", "left_semi").select("wanted"), id_col, text_col).dropDuplicates(["node"]), "sets")
     first = common.written(confirmed(pairs.selectExpr("hub AS a", "node AS b"), hashes, percent), "links")
     roots = common.written(components(first), "roots")
 
-    rows = common.written(_open_keys(star, roots), "open")
-    chosen = rows.groupBy("key").agg(F.max_by(F.struct("node", "root"), F.xxhash64("key", "node")).alias("hub"))
-    pairs = rows.join(chosen, "key").where("root <> hub.root").selectExpr("least(node, hub.node) AS a", "greatest(node, hub.node) AS b").distinct()
-    second = common.written(confirmed(pairs, hashes, percent).union(first), "links")
+    families = common.written(components(pairs.selectExpr("hub AS a", "node AS b")), "families").withColumnRenamed("root", "family")
+    rows = common.written(_open_keys(star.select("key", "node"), roots), "open")
+    second = common.written(_within_families(rows, families, hashes, percent).union(first), "links")
     roots2 = common.written(components(second), "roots")
 
-    rows2 = common.written(_open_keys(rows.select("key", "node"), roots2).join(nodes.select("node", "signature"), "node"), "open")
-    near = F.expr("aggregate(sequence(1, 128, 2), 0, (n, k) -> n + int(substring(x.signature, k, 2) <> substring(y.signature, k, 2)))") <= DISTANCE
+    rows2 = _open_keys(rows.select("key", "node"), roots2).join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    rows2 = common.written(rows2.join(nodes.select("node", "signature"), "node"), "open")
+    near = F.expr(f"aggregate(sequence(1, {2 * SLOTS}, 2), 0, (n, k) -> n + int(substring(x.signature, k, 2) <> substring(y.signature, k, 2)))") <= DISTANCE
     x, y = rows2.where("root <> major").alias("x"), rows2.alias("y")
-    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))) & near
-    pairs = x.join(y, meets).selectExpr("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b").distinct()
+    apart = (F.col("x.family") != F.col("y.family")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & near).selectExpr("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b").distinct()
     third = common.written(confirmed(pairs, hashes, percent).union(second), "links")
     roots3 = common.written(components(third), "roots")
-    common.dropped(star, rows, rows2, hashes, roots, roots2, first, second, nodes)
+    common.dropped(star, weights, rows, rows2, hashes, roots, roots2, first, second, nodes)
     return third, roots3
 
 
+def _within_families(rows: DataFrame, families: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of one family, one at least for each node and component that are linked."""
+    members = rows.select("node", "root").distinct().join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    sizes = members.groupBy("family", "root").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("family").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most")).where("roots > 1")
+    several = several.select("family", "major", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"), F.ceil((F.col("n") - F.col("most")) / TILE).cast("int").alias("probes"))
+    own = members.join(several, "family").join(hashes, "node")
+    tile = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["node", "root", "family", "hashes"]
+    kept = own.select(*columns, tile("tiles", 1).alias("tile"), every("probes").alias("probe"), F.lit(False).alias("asks"))
+    asks = own.where("root <> major").select(*columns, every("tiles").alias("tile"), tile("probes", 2).alias("probe"), F.lit(True).alias("asks"))
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        asking = table.column("asks").to_numpy()
+        nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
+        found = [_unplaned(h.as_py()) for h in table.column("hashes")]
+        here = np.flatnonzero(~asking)
+        if not len(here) or not asking.any():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        sizes = np.array([len(found[k]) for k in here], np.int64)
+        all_ = np.concatenate([found[k] for k in here])
+        owner = np.repeat(np.arange(len(here)), sizes)
+        order = np.argsort(all_, kind="stable")
+        all_, owner = all_[order], owner[order]
+        a, b = [], []
+        for k in np.flatnonzero(asking):
+            lo, hi = np.searchsorted(all_, found[k], "left"), np.searchsorted(all_, found[k], "right")
+            both = np.bincount(owner[common.ragged(lo, hi - lo)], minlength=len(here))
+            near = (100 * both >= percent * (len(found[k]) + sizes - both)) & (roots[here] != roots[k])
+            for r in np.unique(roots[here][near]):
+                a.append(int(nodes[k]))
+                b.append(int(nodes[here][near & (roots[here] == r)].min()))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return kept.union(asks).groupBy("family", "tile", "probe").applyInArrow(meet, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach), kept.
 
