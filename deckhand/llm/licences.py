@@ -11,13 +11,17 @@ The rules follow from a list of licences and a list of ways to refer to one.
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The characters of words after lower-casing.
-WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+#: What stands between words, before lower-casing.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A text without any of these has no keyword. Searching for them is cheap; keywords themselves are looked up after.
+HINTS = ("licen", "commons", "domain", "granted", "proprietary", "redistribution", "reserved", "spdx", "wtfpl", "cc")
 #: Phrases whose every place counts, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -85,7 +89,7 @@ LICENCES = (
 )
 #: Ways to refer to a licence by name: pattern around {n}, more priority (less is stronger), confidence, keyword.
 FORMS = (
-    ("(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{n}) licen[cs]e", 10, 1.0, "under"),
+    ("(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{n}) licen[cs]e", 10, 1.0, "{l}"),
     ("(?:subject to|governed by|covered by|according to) (?:the )?(?:terms of )?(?:the )?(?:{n}) licen[cs]e", 12, 0.95, "{l}"),
     ("(?:copy|terms|text|conditions) of the (?:{n}) licen[cs]e", 14, 0.9, "{l}"),
     ("(?:{n}) licen[cs]e", 30, 0.8, "{l}"),
@@ -95,7 +99,7 @@ FORMS = (
 #: The same with a version {v}; these are longer, so that they win over the plain ones.
 VERSIONED = (
     ("(?:{n}) licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )?{v}(?: or (?:any )?later)?", 5, 1.0, "{l}"),
-    ("(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{n}) licen[cs]e (?:either )?(?:version |v )?{v}(?: or (?:any )?later)?", 1, 1.0, "under"),
+    ("(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{n}) licen[cs]e (?:either )?(?:version |v )?{v}(?: or (?:any )?later)?", 1, 1.0, "{l}"),
 )
 #: By identifier {i}, as words.
 IDENTIFIED = (
@@ -188,14 +192,21 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
     own = [f"`{c}`" for c in df.columns if c not in new]
-    lower = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = df.select(*own, F.regexp_extract_all(lower, F.lit(WORD), F.lit(1)).alias("_words"))
+    blank = F.trim(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), BETWEEN, " "))
+    words = df.select(*own, F.concat(F.lit(" "), blank, F.lit(" ")).alias("_words"))
+    spaces = F.octet_length("_words") - F.octet_length(F.replace("_words", F.lit(" "), F.lit("")))
+    counted = words.select(*own, F.when(F.col("_words") == "  ", 0).otherwise(spaces - 1).cast("long").alias("n_words"), F.lower("_words").alias("_low"), "_words")
+    hinted = functools.reduce(operator.or_, (F.col("_low").contains(h) for h in HINTS))
+    # Only A-Z are lower-cased for the rules; this takes long, but few texts get so far.
+    lower = F.translate("_words", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    joined = counted.select(*own, "n_words", F.when(hinted, lower).alias("_joined"))
     wanted = F.expr(f"array({', '.join(map(_literal, keywords()))})")
-    gated = words.select(*own, F.size("_words").cast("long").alias("n_words"), F.array_intersect("_words", wanted).alias("_keys"), "_words")
-    some = F.size("_keys") > 0
+    keys = F.filter(wanted, lambda k: F.col("_joined").contains(F.concat(F.lit(" "), k, F.lit(" "))))
+    gated = joined.select(*own, "n_words", "_joined", F.when(F.col("_joined").isNotNull(), keys).alias("_keys"))
+    some = F.coalesce(F.size("_keys") > 0, F.lit(False))
     ruled = gated.select(
         *own, "n_words",
-        F.when(some, F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))).alias("_joined"),
+        F.when(some, F.col("_joined")).alias("_joined"),
         F.when(some, F.flatten(F.transform("_keys", lambda k: F.element_at(rule_table(), k)))).alias("_rules"),
     )
     found = ruled.select(*own, "n_words", "_joined", F.coalesce(F.flatten(F.expr(PLACES)), F.expr(f"CAST(array() AS {DETECTION})")).alias("_found"))
