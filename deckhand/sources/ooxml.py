@@ -16,6 +16,8 @@ from xml.etree import ElementTree as ET
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Namespaces, required parts, and the largest package.
 NS = {
@@ -209,7 +211,7 @@ def parse_presentation(data: bytes) -> dict:
 
 
 def problem(path: str, length: int, data: bytes | None) -> str | None:
-    """Why a file isn't a package, or None."""
+    """Why a file isn't a package, or None. (Spark's reader leaves out empty files by itself.)"""
     if not path.lower().endswith(".pptx"):
         return "wrong extension"
     if not length:
@@ -260,14 +262,17 @@ def _package(data: bytes) -> Iterator[dict]:
 
 
 def packages(spark: SparkSession, path: str) -> DataFrame:
-    """All packages below a path: rows of kind ``slide`` and ``package``, and ``reject`` with an error.
+    """All packages below a path, parsed."""
+    return parsed(binary(spark, path))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """Rows of kind ``slide`` and ``package``, and ``reject`` with an error, of files as the binary source reads them.
 
     A slide that isn't well-formed keeps its row, with its number and the error. A file is parsed by one
     task, as its parts share one archive; files larger than 100 MB are rejected without being unzipped.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    fields = spark.createDataFrame([], SCHEMA).schema
+    fields = T.StructType.fromDDL(SCHEMA)
     arrow = to_arrow_schema(fields)
     blank = dict.fromkeys(fields.names)
 
@@ -279,8 +284,8 @@ def packages(spark: SparkSession, path: str) -> DataFrame:
                 rows = [{"kind": "reject", "error": why}] if why else _package(f["content"])
                 yield pa.RecordBatch.from_pylist([blank | own | r for r in rows], schema=arrow)
 
-    files = binary(spark, path).select("path", "modificationTime", "length", F.when(F.col("length") <= MAX_BYTES, F.col("content")).alias("content"))
-    return files.mapInArrow(run, fields)
+    content = F.when(F.col("length") <= MAX_BYTES, F.col("content")).alias("content")
+    return files.select("path", "modificationTime", "length", content).mapInArrow(run, fields)
 
 
 def parts(spark: SparkSession, path: str) -> DataFrame:
