@@ -50,7 +50,7 @@ def explode(block: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, the sequence of their indices through all texts, and each text's number of words."""
     pattern, seen, order, pieces = regex.compile(vocab.SPACED), {}, [], []
     for text in block:
-        head, *tail = text.split(" ") if text else ()
+        head, *tail = text.split(" ")
         if any(not c or c[0].isspace() for c in tail):
             head, *tail = re.split(r" (?=\S)", text)
         order.append(seen.setdefault((head,), len(seen)))
