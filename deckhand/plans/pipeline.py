@@ -66,7 +66,8 @@ def grouped(df: DataFrame, spec: Spec, seq: str) -> DataFrame:
 def sort_key(df: DataFrame, field: str, order: str) -> list[Column]:
     """Numbers by value come before other text, which goes without regard to case; null counts as empty text."""
     c, kind = resolved(df, field)
-    parts = [numeric(c, kind), F.lower(text(c))]
+    number = numeric(c, kind)
+    parts = [number, F.when(number.isNull(), F.lower(text(c)))]
     return [parts[0].asc_nulls_last(), parts[1].asc()] if order == "asc" else [parts[0].desc_nulls_last(), parts[1].desc()]
 
 
