@@ -26,8 +26,10 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.selectExpr("m AS a", "b")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every larger node has one smaller one, which is no larger node itself."""
+    twice = edges.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select(F.col("b").alias("a"))
+    return edges.select("a").join(edges.selectExpr("b AS a"), "a", "left_semi").union(twice).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,12 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
     current = common.written(edges, "edges")
-    before = _mark(current)
-    while True:
+    while not _settled(current):
         following = common.written(small_star(large_star(current)), "edges")
         common.dropped(current)
-        current, now = following, _mark(following)
-        if now == before:
-            break
-        before = now
+        current = following
     return current.selectExpr("b AS node", "a AS root").union(current.selectExpr("a AS node", "a AS root")).distinct()

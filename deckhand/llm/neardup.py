@@ -217,10 +217,12 @@ def links(df: DataFrame, described: DataFrame, percent: int = PERCENT, id_col: s
     x, y = rows2.where("root <> major").alias("x"), rows2.alias("y")
     apart = (F.col("x.family") != F.col("y.family")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & near).selectExpr("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b").distinct()
-    third = common.written(confirmed(pairs, hashes, percent).union(second), "links")
-    roots3 = common.written(components(third), "roots")
-    common.dropped(star, weights, rows, rows2, hashes, roots, roots2, first, second, nodes)
-    return third, roots3
+    more = common.written(confirmed(pairs, hashes, percent), "links")
+    common.dropped(star, weights, rows, rows2, hashes, roots, nodes)
+    if more.isEmpty():
+        return second, roots2
+    third = more.union(second)
+    return third, common.written(components(third), "roots")
 
 
 def _within_families(rows: DataFrame, families: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
