@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,24 +29,30 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 
 @dataclass(frozen=True)
 class Licence:
-    """label; pattern of its name without the word licence; versions; its identifiers as words; a word its name has."""
+    """label; pattern of its name without the word licence; versions; its identifiers as words; words of which its name has one."""
 
     label: str
     name: str
     versions: tuple[str, ...] = ()
     ids: tuple[str, ...] = ()
+    words: tuple[str, ...] = ()
+
+    @property
+    def keywords(self) -> tuple[str, ...]:
+        """The words given, or the first of the name that isn't optional."""
+        return self.words or (re.sub(r"\(\?:[^()]*\)\?", "", self.name).split()[0].strip("|"),)
 
 
 LICENCES = (
-    Licence("mit", "mit(?: expat)?|expat", (), ("mit",)),
+    Licence("mit", "mit(?: expat)?|expat", (), ("mit",), ("mit", "expat")),
     Licence("apache", "apache(?: software)?", ("1 0", "1 1", "2 0", "2"), ("apache",)),
     Licence("gpl", "(?:gnu )?general public", ("1", "2", "3", "2 0", "3 0"), ("gpl",)),
-    Licence("lgpl", "(?:gnu )?(?:lesser|library) general public", ("2", "2 1", "3", "3 0"), ("lgpl",)),
+    Licence("lgpl", "(?:gnu )?(?:lesser|library) general public", ("2", "2 1", "3", "3 0"), ("lgpl",), ("general",)),
     Licence("agpl", "(?:gnu )?affero general public", ("1", "3", "3 0"), ("agpl",)),
     Licence("gfdl", "(?:gnu )?free documentation", ("1 1", "1 2", "1 3"), ("gfdl",)),
-    Licence("bsd", "(?:new |modified |simplified |revised )?(?:bsd|berkeley software distribution)(?: (?:[0234]|two|three|four) clause)?", (), ("bsd",)),
-    Licence("bsd-2-clause", "(?:bsd (?:2|two) clause|simplified bsd|freebsd)", (), ("bsd 2 clause",)),
-    Licence("bsd-3-clause", "(?:bsd (?:3|three) clause|(?:new|modified|revised) bsd)", (), ("bsd 3 clause",)),
+    Licence("bsd", "(?:new |modified |simplified |revised )?(?:bsd|berkeley software distribution)(?: (?:[0234]|two|three|four) clause)?", (), ("bsd",), ("bsd", "berkeley")),
+    Licence("bsd-2-clause", "(?:bsd (?:2|two) clause|simplified bsd|freebsd)", (), ("bsd 2 clause",), ("bsd", "freebsd")),
+    Licence("bsd-3-clause", "(?:bsd (?:3|three) clause|(?:new|modified|revised) bsd)", (), ("bsd 3 clause",), ("bsd",)),
     Licence("mpl", "mozilla public", ("1 0", "1 1", "2 0"), ("mpl",)),
     Licence("epl", "eclipse public", ("1 0", "2 0"), ("epl",)),
     Licence("edl", "eclipse distribution", ("1 0",), ("edl",)),
@@ -85,27 +92,27 @@ LICENCES = (
     Licence("busl", "business source", ("1 1",), ("busl",)),
     Licence("elastic", "elastic", ("2 0",), ("elastic",)),
     Licence("llama", "llama (?:[234](?: [0-9])? )?community", (), ()),
-    Licence("openrail", "(?:bigscience |creativeml )?(?:open )?(?:rail|openrail)(?: m)?", (), ("openrail",)),
+    Licence("openrail", "(?:bigscience |creativeml )?(?:open )?(?:rail|openrail)(?: m)?", (), ("openrail",), ("rail", "openrail")),
 )
-#: Ways to refer to a licence by name: pattern around {n}, more priority (less is stronger), confidence, keyword.
+#: Ways to refer to a licence by name: pattern around {n}, priority (less is stronger), confidence.
 FORMS = (
-    ("(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{n}) licen[cs]e", 10, 1.0, "{l}"),
-    ("(?:subject to|governed by|covered by|according to) (?:the )?(?:terms of )?(?:the )?(?:{n}) licen[cs]e", 12, 0.95, "{l}"),
-    ("(?:copy|terms|text|conditions) of the (?:{n}) licen[cs]e", 14, 0.9, "{l}"),
-    ("(?:{n}) licen[cs]e", 30, 0.8, "{l}"),
-    ("(?:{n}) licensed", 32, 0.7, "licensed"),
-    ("dual licensed under (?:the )?(?:{n})", 20, 0.85, "licensed"),
+    ("(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{n}) licen[cs]e", 10, 1.0),
+    ("(?:subject to|governed by|covered by|according to) (?:the )?(?:terms of )?(?:the )?(?:{n}) licen[cs]e", 12, 0.95),
+    ("(?:copy|terms|text|conditions) of the (?:{n}) licen[cs]e", 14, 0.9),
+    ("(?:{n}) licen[cs]e", 30, 0.8),
+    ("(?:{n}) licensed", 32, 0.7),
+    ("dual licensed under (?:the )?(?:{n})", 20, 0.85),
 )
 #: The same with a version {v}; these are longer, so that they win over the plain ones.
 VERSIONED = (
-    ("(?:{n}) licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )?{v}(?: or (?:any )?later)?", 5, 1.0, "{l}"),
-    ("(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{n}) licen[cs]e (?:either )?(?:version |v )?{v}(?: or (?:any )?later)?", 1, 1.0, "{l}"),
+    ("(?:{n}) licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )?{v}(?: or (?:any )?later)?", 5, 1.0),
+    ("(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{n}) licen[cs]e (?:either )?(?:version |v )?{v}(?: or (?:any )?later)?", 1, 1.0),
 )
 #: By identifier {i}, as words.
 IDENTIFIED = (
-    ("spdx licen[cs]e identifier {i}(?: [0-9]+(?: [0-9]+)?)?(?: only| or later)?", 0, 1.0, "spdx"),
-    ("(?:opensource org|spdx org) licenses {i}(?: [0-9]+(?: [0-9]+)?)?", 3, 0.95, "licenses"),
-    ("licen[cs]e {i}(?: [0-9]+(?: [0-9]+)?)?", 40, 0.5, "license"),
+    ("spdx licen[cs]e identifier {i}(?: [0-9]+(?: [0-9]+)?)?(?: only| or later)?", 0, 1.0),
+    ("(?:opensource org|spdx org) licenses {i}(?: [0-9]+(?: [0-9]+)?)?", 3, 0.95),
+    ("licen[cs]e {i}(?: [0-9]+(?: [0-9]+)?)?", 40, 0.5),
 )
 OTHERS = (
     ("cc-by", "(?:licensed under )?cc by(?: [1-4] [05])?", 26, 0.85, "cc"),
@@ -130,19 +137,16 @@ OTHERS = (
 DETECTION = "array<struct<label:string,priority:int,confidence:double,base:boolean,at:int,size:int>>"
 
 
-def rules() -> list[tuple[str, str, int, float, str, bool]]:
-    """label, pattern, priority, confidence, keyword, whether it is a base phrase; some hundreds, in order of priority."""
+def rules() -> list[tuple[str, str, int, float, tuple[str, ...], bool]]:
+    """label, pattern, priority, confidence, keywords (a match has one), whether it is a base phrase; in order of priority."""
     found = []
     for x in LICENCES:
-        own = [(p, rank, c, k) for p, rank, c, k in FORMS]
-        own += [(p.replace("{v}", f"(?:{v})"), rank, c, k) for v in sorted(x.versions, key=len, reverse=True) for p, rank, c, k in VERSIONED]
-        own += [(p.replace("{i}", i), rank, c, k) for i in x.ids for p, rank, c, k in IDENTIFIED]
-        for p, rank, c, k in own:
-            for spelt in ("license", "licence") if k == "{l}" else (None,):
-                pattern = p.replace("{n}", x.name)
-                found.append((x.label, pattern.replace("licen[cs]e", spelt) if spelt else pattern, rank, c, spelt or k, False))
-    found += [(*o, False) for o in OTHERS]
-    found += [(label, phrase, 80, 0.6, "license", True) for phrase, label in BASE.items()]
+        own = [(p, rank, c) for p, rank, c in FORMS]
+        own += [(p.replace("{v}", f"(?:{v})"), rank, c) for v in sorted(x.versions, key=len, reverse=True) for p, rank, c in VERSIONED]
+        found += [(x.label, p.replace("{n}", x.name), rank, c, x.keywords, False) for p, rank, c in own]
+        found += [(x.label, p.replace("{i}", i), rank, c, (i.split()[0],), False) for i in x.ids for p, rank, c in IDENTIFIED]
+    found += [(label, pattern, rank, c, (k,), False) for label, pattern, rank, c, k in OTHERS]
+    found += [(label, phrase, 80, 0.6, (phrase.split()[0],), True) for phrase, label in BASE.items()]
     return sorted(found, key=lambda r: (r[2], r[0], r[1]))
 
 
@@ -153,24 +157,25 @@ def _literal(x: str) -> str:
 def rule_table() -> Column:
     """Rules by keyword, as a literal map."""
     by: dict[str, list[str]] = {}
-    for label, pattern, priority, confidence, keyword, base in rules():
-        whole = f"(?<= )(?:{pattern})(?= )"
-        by.setdefault(keyword, []).append(f"named_struct('label', {_literal(label)}, 'pattern', {_literal(whole)}, 'priority', {priority}, 'confidence', {confidence}D, 'base', {str(base).lower()})")
+    for label, pattern, priority, confidence, words, base in rules():
+        whole = f" (?:{pattern})(?= )"
+        for keyword in words:
+            by.setdefault(keyword, []).append(f"named_struct('label', {_literal(label)}, 'pattern', {_literal(whole)}, 'priority', {priority}, 'confidence', {confidence}D, 'base', {str(base).lower()})")
     return F.expr("map(" + ", ".join(f"{_literal(k)}, array({', '.join(v)})" for k, v in by.items()) + ")")
 
 
 def keywords() -> list[str]:
-    return sorted({r[4] for r in rules()})
+    return sorted({k for r in rules() for k in r[4]})
 
 
-#: All matches of a rule r in _words: pieces between them give their places.
+#: All matches of a rule r in _joined, each after the space before it: pieces between them give their places.
 PLACES = f"""
-transform(_rules, r -> aggregate(
+transform(filter(_rules, r -> _joined RLIKE r.pattern), r -> aggregate(
     zip_with(regexp_extract_all(_joined, r.pattern, 0), slice(split(_joined, r.pattern, -1), 1, size(regexp_extract_all(_joined, r.pattern, 0))),
              (m, before) -> struct(length(before) AS skipped, length(m) AS size)),
     struct(0 AS at, CAST(array() AS {DETECTION}) AS found),
     (s, x) -> struct(s.at + x.skipped + x.size AS at,
-                     concat(s.found, array(struct(r.label AS label, r.priority AS priority, r.confidence AS confidence, r.base AS base, s.at + x.skipped AS at, x.size AS size))) AS found),
+                     concat(s.found, array(struct(r.label AS label, r.priority AS priority, r.confidence AS confidence, r.base AS base, s.at + x.skipped + 1 AS at, x.size - 1 AS size))) AS found),
     s -> s.found))
 """
 #: A detection goes if one that overlaps it is longer and covers it, or has the stronger priority and isn't covered by it.
@@ -207,7 +212,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     ruled = gated.select(
         *own, "n_words",
         F.when(some, F.col("_joined")).alias("_joined"),
-        F.when(some, F.flatten(F.transform("_keys", lambda k: F.element_at(rule_table(), k)))).alias("_rules"),
+        F.when(some, F.array_distinct(F.flatten(F.transform("_keys", lambda k: F.element_at(rule_table(), k))))).alias("_rules"),
     )
     found = ruled.select(*own, "n_words", "_joined", F.coalesce(F.flatten(F.expr(PLACES)), F.expr(f"CAST(array() AS {DETECTION})")).alias("_found"))
     kept = found.select(*own, "n_words", "_joined", "_found", F.expr(KEPT).alias("detections"))
