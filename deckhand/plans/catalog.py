@@ -303,7 +303,7 @@ def formatting_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("html_escape", """SELECT doc_id, replace(replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS html FROM documents""")
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tables.escaped(F.left("text", F.lit(200))).alias("html"))
+    return table(spark, sf_dir, "documents").select("doc_id", tables.escaped(F.col("text")).alias("html"))
 
 
 @query("truncate_text", "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 97) || '...' ELSE text END AS short FROM documents")
