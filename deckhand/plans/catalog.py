@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deckhand.functions import ordinals
@@ -229,8 +229,9 @@ SPANS = "SELECT l_orderkey, l_linenumber - 1 AS col, 1 + (l_partkey % 3) AS span
         SELECT l_orderkey, col, span, value, row_number() OVER (PARTITION BY l_orderkey ORDER BY col) - 1 AS logical_col FROM c WHERE col > cover""",
 )
 def merged_cell_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.first("l_partkey").alias("p"), F.first("l_returnflag").alias("value")).where("n = 1")
-    cells = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("col"), (1 + F.col("p") % 3).alias("span"), "value")
+    """An order is a row of cells; lines with the same number stand side by side, by part and flag (all else that the result depends on)."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")) - 1
+    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", place.alias("col"), (1 + F.col("l_partkey") % 3).alias("span"), F.col("l_returnflag").alias("value"))
     return tables.compacted(cells, ["l_orderkey"], "col", "span").withColumn("logical_col", F.col("logical_col").cast("long"))
 
 

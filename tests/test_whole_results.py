@@ -14,3 +14,19 @@ def test_html_escape_takes_whole_texts(spark, tmp_path):
     texts = ["x" * 199 + "<&>\"'" + "y" * 300 + "<b>'&amp;'</b>", "a < b", "", None]
     got = results(spark, tmp_path, "html_escape", "documents", list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["html"] for r in got} == {k: t if t is None else html.escape(t) for k, t in enumerate(texts)}
+
+
+def test_merged_cell_compaction_keeps_repeated_lines(spark, tmp_path):
+    lines = [(1, 1, 3, "A"), (1, 1, 4, "N"), (1, 1, 3, "R"), (1, 2, 5, "N"), (1, 7, 6, "A"), (2, 4, 1, "A"), (2, 4, 1, "A"), (2, 4, 1, "A"), (3, 2, 3, None), (3, 2, 3, "A")]
+    got = results(spark, tmp_path, "merged_cell_compaction", "lineitem", lines[::-1], "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string")
+    expected = []
+    for order in (1, 2, 3):
+        cover, logical = -1, 0
+        for col, (_, _, part, flag) in enumerate(sorted((x for x in lines if x[0] == order), key=lambda x: (x[1], x[2], x[3] or ""))):
+            span = 1 + part % 3
+            if col > cover:
+                expected.append({"l_orderkey": order, "col": col, "span": span, "value": flag, "logical_col": logical})
+                logical += 1
+            cover = max(cover, col + span - 1)
+    assert sorted(got, key=lambda r: (r["l_orderkey"], r["col"])) == expected
+    assert [r["value"] for r in expected] == ["A", "R", "N", "A", None, "A"]
