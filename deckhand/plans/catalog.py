@@ -273,8 +273,9 @@ def argmax_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey""",
 )
 def flat_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").withColumn("h", F.concat(F.lit("h"), F.col("l_linenumber").cast("string")))
-    return rows.groupBy("l_orderkey").pivot("h", ["h1", "h2", "h3"]).agg(F.max("l_quantity"))
+    """Every order has a row, and every line number a column."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("h", F.concat(F.lit("h"), F.col("l_linenumber").cast("string")))
+    return rows.groupBy("l_orderkey").pivot("h", [f"h{k}" for k in range(1, 8)]).agg(F.max("l_quantity"))
 
 
 @query("row_col_value", "SELECT n_nationkey AS row, c.col, c.value FROM nation, LATERAL (VALUES (0, n_name), (1, n_regionkey::VARCHAR)) AS c(col, value)")

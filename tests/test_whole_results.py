@@ -30,3 +30,10 @@ def test_merged_cell_compaction_keeps_repeated_lines(spark, tmp_path):
             cover = max(cover, col + span - 1)
     assert sorted(got, key=lambda r: (r["l_orderkey"], r["col"])) == expected
     assert [r["value"] for r in expected] == ["A", "R", "N", "A", None, "A"]
+
+
+def test_flat_pivot_has_all_orders_and_lines(spark, tmp_path):
+    lines = [(1, 1, 5.0), (1, 3, 7.0), (1, 3, 9.0), (1, 7, 2.0), (2, 4, 1.0), (2, 5, 3.0), (3, 2, None), (3, 6, 8.0)]
+    got = results(spark, tmp_path, "flat_pivot", "lineitem", lines, "l_orderkey long, l_linenumber int, l_quantity double")
+    whole = [{"l_orderkey": o} | {f"h{n}": max((q for k, m, q in lines if (k, m) == (o, n) and q is not None), default=None) for n in range(1, 8)} for o in (1, 2, 3)]
+    assert sorted(got, key=lambda r: r["l_orderkey"]) == whole
