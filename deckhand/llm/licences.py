@@ -1,9 +1,9 @@
 """Licence scans: ordered signature rules behind a keyword prefilter, in DataFrame functions only.
 
 A text becomes its words, lower-cased and joined by single spaces, so that line breaks and marks don't
-matter. A rule is a regular expression over that string with a label, a priority, a confidence and a
-keyword, a word that every match has. Rules run only where the text has their keyword, which most texts
-don't have of any rule. Every match is a detection with an interval; of overlapping ones, those inside
+matter. A rule is a regular expression over that string with a label, a priority, a confidence and
+keywords, words of which every match has one. Rules run only where the text has one of theirs, which most
+texts don't have of any rule. Every match is a detection with an interval; of overlapping ones, those inside
 a longer one go, and else those of the lower priority go.
 
 The rules follow from a list of licences and a list of ways to refer to one.
@@ -115,24 +115,24 @@ IDENTIFIED = (
     ("licen[cs]e {i}(?: [0-9]+(?: [0-9]+)?)?", 40, 0.5),
 )
 OTHERS = (
-    ("cc-by", "(?:licensed under )?cc by(?: [1-4] [05])?", 26, 0.85, "cc"),
-    ("cc-by-sa", "(?:licensed under )?cc by sa(?: [1-4] [05])?", 22, 0.9, "cc"),
-    ("cc-by-nc", "(?:licensed under )?cc by nc(?: [1-4] [05])?", 22, 0.9, "cc"),
-    ("cc-by-nd", "(?:licensed under )?cc by nd(?: [1-4] [05])?", 22, 0.9, "cc"),
-    ("cc-by-nc-sa", "(?:licensed under )?cc by nc sa(?: [1-4] [05])?", 18, 0.95, "cc"),
-    ("cc-by-nc-nd", "(?:licensed under )?cc by nc nd(?: [1-4] [05])?", 18, 0.95, "cc"),
-    ("cc0", "(?:cc0|cc zero)(?: 1 0)?(?: universal)?", 22, 0.9, "cc0"),
-    ("cc-by", "creative commons attribution(?: licen[cs]e)?(?: (?:version )?[1-4] [05])?(?: international| unported)?", 26, 0.95, "commons"),
-    ("cc-by-sa", "creative commons attribution share ?alike(?: licen[cs]e)?(?: (?:version )?[1-4] [05])?(?: international| unported)?", 22, 0.95, "commons"),
-    ("cc-by-nc", "creative commons attribution non ?commercial(?: licen[cs]e)?(?: (?:version )?[1-4] [05])?(?: international| unported)?", 22, 0.95, "commons"),
-    ("creative-commons", "creative commons", 60, 0.4, "commons"),
-    ("public-domain", "(?:dedicated to|released (?:in)?to|placed in|in) the public domain", 25, 0.8, "domain"),
-    ("unlicense", "(?:the )?unlicense", 25, 0.9, "unlicense"),
-    ("wtfpl", "wtfpl|do what the fuck you want to public license", 25, 0.9, "wtfpl"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 2, 1.0, "granted"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 2, 1.0, "redistribution"),
-    ("proprietary", "all rights reserved", 70, 0.2, "reserved"),
-    ("proprietary", "(?:confidential and proprietary|proprietary and confidential)", 50, 0.6, "proprietary"),
+    ("cc-by", "(?:licensed under )?cc by(?: [1-4] [05])?", 26, 0.85, ("cc",)),
+    ("cc-by-sa", "(?:licensed under )?cc by sa(?: [1-4] [05])?", 22, 0.9, ("cc",)),
+    ("cc-by-nc", "(?:licensed under )?cc by nc(?: [1-4] [05])?", 22, 0.9, ("cc",)),
+    ("cc-by-nd", "(?:licensed under )?cc by nd(?: [1-4] [05])?", 22, 0.9, ("cc",)),
+    ("cc-by-nc-sa", "(?:licensed under )?cc by nc sa(?: [1-4] [05])?", 18, 0.95, ("cc",)),
+    ("cc-by-nc-nd", "(?:licensed under )?cc by nc nd(?: [1-4] [05])?", 18, 0.95, ("cc",)),
+    ("cc0", "(?:cc0|cc zero)(?: 1 0)?(?: universal)?", 22, 0.9, ("cc0", "cc")),
+    ("cc-by", "creative commons attribution(?: licen[cs]e)?(?: (?:version )?[1-4] [05])?(?: international| unported)?", 26, 0.95, ("commons",)),
+    ("cc-by-sa", "creative commons attribution share ?alike(?: licen[cs]e)?(?: (?:version )?[1-4] [05])?(?: international| unported)?", 22, 0.95, ("commons",)),
+    ("cc-by-nc", "creative commons attribution non ?commercial(?: licen[cs]e)?(?: (?:version )?[1-4] [05])?(?: international| unported)?", 22, 0.95, ("commons",)),
+    ("creative-commons", "creative commons", 60, 0.4, ("commons",)),
+    ("public-domain", "(?:dedicated to|released (?:in)?to|placed in|in) the public domain", 25, 0.8, ("domain",)),
+    ("unlicense", "(?:the )?unlicense", 25, 0.9, ("unlicense",)),
+    ("wtfpl", "wtfpl|do what the fuck you want to public license", 25, 0.9, ("wtfpl", "fuck")),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 2, 1.0, ("granted",)),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 2, 1.0, ("redistribution",)),
+    ("proprietary", "all rights reserved", 70, 0.2, ("reserved",)),
+    ("proprietary", "(?:confidential and proprietary|proprietary and confidential)", 50, 0.6, ("proprietary",)),
 )
 DETECTION = "array<struct<label:string,priority:int,confidence:double,base:boolean,at:int,size:int>>"
 
@@ -145,7 +145,7 @@ def rules() -> list[tuple[str, str, int, float, tuple[str, ...], bool]]:
         own += [(p.replace("{v}", f"(?:{v})"), rank, c) for v in sorted(x.versions, key=len, reverse=True) for p, rank, c in VERSIONED]
         found += [(x.label, p.replace("{n}", x.name), rank, c, x.keywords, False) for p, rank, c in own]
         found += [(x.label, p.replace("{i}", i), rank, c, (i.split()[0],), False) for i in x.ids for p, rank, c in IDENTIFIED]
-    found += [(label, pattern, rank, c, (k,), False) for label, pattern, rank, c, k in OTHERS]
+    found += [(label, pattern, rank, c, words, False) for label, pattern, rank, c, words in OTHERS]
     found += [(label, phrase, 80, 0.6, (phrase.split()[0],), True) for phrase, label in BASE.items()]
     return sorted(found, key=lambda r: (r[2], r[0], r[1]))
 
