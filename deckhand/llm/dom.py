@@ -12,6 +12,10 @@ import re
 #: Fixed values of the language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select".split())
+#: Of these, the ones that a / at the end of the tag completes.
+FOREIGN = frozenset(("svg", "math"))
+#: There the / is the end of a value without quotes.
+IN_VALUE = re.compile(r"""=\s*[^\s"'>]*/\Z""")
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup head hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -55,10 +59,10 @@ class Page:
             if m[1]:
                 self._end(stack, tag)
             elif tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
                 self._start(stack, tag, m[3])
                 stack.pop()
-                at = end.end()
+                if not (tag in FOREIGN and m[3].endswith("/") and not IN_VALUE.search(m[3])):
+                    at = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at).end()
             elif tag in VOID:
                 if tag in ("br", "wbr", "img"):
                     self.runs.append((stack[-1], self.block, " " if tag == "br" else ""))

@@ -3,6 +3,7 @@
 import re
 
 from deckhand.llm import licences
+from deckhand.llm.dom import Page
 
 
 def ways(pattern):
@@ -25,3 +26,11 @@ def test_licences_named_in_full_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.labels, r.score) for r in licences.licence_digest(docs).collect()}
     assert got == {k: (label, 0.9 if label else 0.0) for k, label in enumerate(texts.values())}
+
+
+def test_self_closed_svg_and_math_end_where_they_stand():
+    lines = lambda source: (p := Page(source)).lines([True] * len(p.tags))
+    assert lines('<p>Hello <svg class="i"/> world</p><p>More</p>') == ["Hello world", "More"]
+    assert lines('<p>a <SVG/>b <math x = "1" />c <svg width=9 />d <svg><path d="M0"/>not this</svg>e</p><p>f</p>') == ["a b c d e", "f"]
+    assert lines("<p>a<svg href=x/>not this</svg>b<script src='x'/>nor this</script>c</p>") == ["abc"]
+    assert Page("<p>a<svg class='i'/>b</p>").tags == ["#", "p", "svg"]
