@@ -34,8 +34,12 @@ FORMATS = {
     "intl": r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z-])[1-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
 }
+#: A number of the North American plan with its country code, of which "phone" has the usual ways to write it.
+NORTH_AMERICAN = r"^1[2-9][0-9]{2}[2-9][0-9]{6}$"
+#: Country codes, which no other begins with: of one digit, the assigned ones of two, else three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: What all formats need at least; the check that most texts end with.
-HINT = r"[0-9@]|(?i:password|passwd|secret|token|api_?key)"
+HINT = r"[0-9@]|AKIA|gh[pousr]_|sk-|(?i:password|passwd|secret|token|api_?key)"
 #: Groups in it are all non-capturing but the one in "date".
 ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
 
@@ -183,8 +187,8 @@ def new_phone(x: Column) -> Column:
 
 
 def kept_of_intl(m: Column) -> Column:
-    """How many digits stay: the country code, up to the first mark or two digits, and the next digit."""
-    return F.when(m.rlike(r"^\+[0-9]{1,3}[ .(-]"), F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})", 1))).otherwise(2) + 1
+    """How many digits stay: the country code and the next digit."""
+    return F.length(F.regexp_extract(digits(m), COUNTRY, 0)) + 1
 
 
 def domain_of_intl(m: Column) -> Column:
@@ -229,9 +233,10 @@ def kind_of(m: Column) -> Column:
     """The first format that a piece passes; null if none, and then the piece stays."""
     more = {"date": lambda: date_of(m).isNotNull(), "intl": lambda: F.length(digits(m)).between(8, 15), "card": lambda: luhn_sum(digits(m)) % 10 == 0}
     kind = F.lit(None).cast("string")
+    whole = lambda k: m.rlike(rf"\A(?:{FORMATS[k]})\z")
     for k in reversed(FORMATS):
-        whole = m.rlike(rf"\A(?:{FORMATS[k]})\z")
-        kind = F.when(whole & more[k]() if k in more else whole, k).otherwise(kind)
+        found = whole(k) & more[k]() if k in more else whole(k)
+        kind = F.when(found | (whole("intl") & digits(m).rlike(NORTH_AMERICAN)) if k == "phone" else found, k).otherwise(kind)
     return kind
 
 
