@@ -1,18 +1,20 @@
-"""Removal of passages that an earlier document has, byte for byte, by bucketed suffixes.
+"""Removal of passages that an earlier document has, byte for byte, by a bucketed join of anchored windows.
 
 A byte goes if a string of 50 bytes that covers it also starts in a document with a smaller id. Sorting
-the suffixes of all texts would settle this, but a corpus has as many suffixes as bytes. So, as in a
-blockwise construction with a cover sample, only sampled suffixes are compared, a bucket at a time:
+the suffixes of all texts would settle this, but a corpus has as many suffixes as bytes. The blockwise
+construction with a cover sample that the name stands for is not built either: no suffix is sorted, and
+no ranks of a cover sample exist that could settle ties. This is a join by hash, a bucket at a time, of
+windows of 50 bytes around sampled places:
 
 1. Cover. Of the 35 16-byte strings in every string of 50 bytes the one with the least hash is taken.
    The choice depends on those 50 bytes alone, so two equal strings sample the same place: about one
    suffix in eighteen stands for all. (A periodic difference cover also meets in every pair of
-   strings, but at places that depend on positions, and has to keep one suffix in five.)
-2. Ranks. Sampled 16-byte strings are dealt into buckets by hash; a bucket's task finds those that two
-   documents share. All others are done with.
-3. Buckets. A shared sample goes with its 34 bytes before and after into its bucket. There the suffixes
-   from every one of the 35 places around the sample are ordered by the name of their first 50 bytes
-   and by document, and each learns whether a smaller document has the same 50 bytes.
+   strings, but at places that depend on positions; by estimate, not measured, it keeps one in five.)
+2. Shared samples. Sampled 16-byte strings are dealt into buckets by hash; a bucket's task finds those
+   that two documents share, by 48 bits of the hash. All others are done with. (``ranks`` in the code.)
+3. Buckets. A shared sample goes with its 34 bytes before and after into its bucket. There the strings
+   of 50 bytes from every one of the 35 places around the sample are grouped by their 64-bit names, and
+   each learns whether a smaller document has the same.
 
 Documents are kept in blocks, compressed, in files of the shared folder, from which steps 2 and 3 read
 them by offset, so that no text is shuffled. A string that occurs often leaves a block once, with the
