@@ -1,6 +1,7 @@
 """Queries of the catalogue against plain Python versions, on small tables whose rows must all count."""
 
 import html
+import itertools
 
 from deckhand.plans import catalog
 
@@ -37,3 +38,15 @@ def test_flat_pivot_has_all_orders_and_lines(spark, tmp_path):
     got = results(spark, tmp_path, "flat_pivot", "lineitem", lines, "l_orderkey long, l_linenumber int, l_quantity double")
     whole = [{"l_orderkey": o} | {f"h{n}": max((q for k, m, q in lines if (k, m) == (o, n) and q is not None), default=None) for n in range(1, 8)} for o in (1, 2, 3)]
     assert sorted(got, key=lambda r: r["l_orderkey"]) == whole
+
+
+def test_partial_sequence_has_all_users_and_scores(spark, tmp_path):
+    pattern = ["signup", "view", "error", "purchase"]
+    logs = [list(x) for n in (1, 2, 3) for x in itertools.product(["click", *pattern], repeat=n)]
+    logs += [pattern, ["view", "signup", "signup", "view", "click", "error", "view", "purchase"], pattern[::-1], [None, "signup"]]
+    events = [(u, 100 * u + k, t) for u, steps in enumerate(logs) for k, t in enumerate(steps)]
+    got = results(spark, tmp_path, "partial_sequence", "events", events[::-1], "user_id long, event_id long, event_type string")
+    # Brute force: the longest beginning of the pattern among all choices of steps in order.
+    share = lambda steps: max(k for k in range(5) if any(list(x) == pattern[:k] for x in itertools.combinations(steps, k))) / 4
+    assert {r["user_id"]: r["score"] for r in got} == {u: share(steps) for u, steps in enumerate(logs)}
+    assert {r["score"] for r in got} == {0, 0.25, 0.5, 0.75, 1}
