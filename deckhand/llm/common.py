@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import struct
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,70 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/deckhand-{os.getuid()}"
-    return found.rstrip("/") if "://" in found or found.startswith("file:") else f"file://{os.path.abspath(found)}"
+    if "://" in found or found.startswith("file:"):
+        return found.rstrip("/")
+    # Without a scheme the path is one of the cluster's default file system, not of each machine's own.
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(found)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+#: Lists of the paths that open temporary() blocks made, the innermost last.
+_made: list[list[str]] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. Results read from it, so it stays until clean()."""
-    return f"{shared_dir(spark)}/deckhand/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. Results read from it, so it stays until clean() or the end of a temporary() block."""
+    path = f"{shared_dir(spark)}/deckhand/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the scratch paths that a block made when it ends, but those of tables that it passes to what it gets."""
+    _made.append([])
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table._deckhand_path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in _made.pop():
+            if path not in kept:
+                clean(spark, path)
+
+
+def others(df: DataFrame, new: Iterable[str]) -> list[str]:
+    """Columns of df but those that new ones replace; names are equal as the session sees them, by default without regard to case."""
+    fold = str if df.sparkSession.conf.get("spark.sql.caseSensitive", "false") == "true" else str.lower
+    replaced = {fold(n) for n in new}
+    return [c for c in df.columns if fold(c) not in replaced]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def ddl(df: DataFrame, names: list[str]) -> str:
+    """Names and types of columns, for a schema."""
+    return ", ".join(f"{quoted(n)} {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def clean(spark: SparkSession, path: str | None = None) -> None:
@@ -43,7 +104,8 @@ def clean(spark: SparkSession, path: str | None = None) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: shuffle files go with their job, and a batch for Python is bounded in bytes too.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -52,12 +114,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Shuffle files of the job that writes it go when it ends, so that steps don't add up on disk.
     """
     spark = df.sparkSession
-    path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path = scratch(spark, name)
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     table = spark.read.schema(df.schema).parquet(path)
     table._deckhand_path = path
     return table
@@ -77,13 +142,62 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def publish(fs: pafs.FileSystem, temporary: str, final: str) -> None:
-    """Renames a finished file; attempts of one task write the same bytes, so the last one to rename is as good."""
+    """Renames a finished file. Attempts of one task write the same bytes, so one that is there already stays."""
     if isinstance(fs, pafs.LocalFileSystem):
         os.replace(temporary, final)
-    else:
-        if fs.get_file_info(final).type != pafs.FileType.NotFound:
-            fs.delete_file(final)
-        fs.move(temporary, final)
+        return
+    there = lambda: fs.get_file_info(final).type != pafs.FileType.NotFound
+    if not there():
+        try:
+            fs.move(temporary, final)
+            return
+        except OSError:
+            if not there():
+                raise
+    fs.delete_file(temporary)
+
+
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Gives memory that is free in this worker back to the system.
+
+    Workers live on and serve the next stages, whose own workers and whose JVM need the room.
+    """
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc().malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task for mapInArrow, which releases its memory when it ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def frugal_group(run: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """The same for a group of applyInArrow."""
+
+    def wrapped(key: tuple, table: pa.Table) -> pa.Table:
+        try:
+            return run(key, table)
+        finally:
+            release()
+
+    return wrapped
 
 
 def texts(column: pa.Array) -> list[str]:
