@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and a join, and is written to the shared folder, so neither the driver
-nor a task ever holds a component.
+Every step is a grouped minimum and a join, and is written to the shared folder. The minima are written
+before they are joined, so that both sides of a join are plain shuffles, of which Spark splits a part that
+one node fills: neither the driver nor a task ever holds a component.
 """
 
 from __future__ import annotations
@@ -15,21 +16,25 @@ from deckhand.llm import common
 def large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node are linked to the least of it and its neighbours."""
     both = edges.union(edges.selectExpr("b AS a", "a AS b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
-    return both.join(least, "a").where("b > a").selectExpr("m AS a", "b").where("a <> b").distinct()
+    least = common.written(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m"), "least")
+    out = common.written(both.join(least, "a").where("b > a").selectExpr("m AS a", "b").where("a <> b").distinct(), "edges")
+    common.dropped(least)
+    return out
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them; edges go from smaller to larger."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    least = common.written(edges.groupBy("b").agg(F.min("a").alias("m")), "least")
     moved = edges.join(least, "b").selectExpr("m AS a", "a AS b").where("a <> b")
-    return moved.union(least.selectExpr("m AS a", "b")).distinct()
+    out = common.written(moved.union(least.selectExpr("m AS a", "b")).distinct(), "edges")
+    common.dropped(least)
+    return out
 
 
 def _settled(edges: DataFrame) -> bool:
     """Whether the edges are stars: every larger node has one smaller one, which is no larger node itself."""
     twice = edges.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select(F.col("b").alias("a"))
-    return edges.select("a").join(edges.selectExpr("b AS a"), "a", "left_semi").union(twice).isEmpty()
+    return edges.select("a").distinct().join(edges.selectExpr("b AS a"), "a", "left_semi").union(twice).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
     current = common.written(edges, "edges")
     while not _settled(current):
-        following = common.written(small_star(large_star(current)), "edges")
-        common.dropped(current)
-        current = following
-    return current.selectExpr("b AS node", "a AS root").union(current.selectExpr("a AS node", "a AS root")).distinct()
+        large = large_star(current)
+        small = small_star(large)
+        common.dropped(current, large)
+        current = small
+    return current.selectExpr("b AS node", "a AS root").union(current.selectExpr("a AS node", "a AS root").distinct())

@@ -7,17 +7,20 @@ chunk with one error at most; so each chunk is filed six times, each time withou
 such pair meets under one key at least. A pair at similarity 0.75 misses all 20 chunks with probability
 2.4e-7, however far its signatures are apart; pairs that share a passage only, at 0.2, rarely meet.
 
-Documents with equal sets are one node from the start. Pairs that meet are confirmed on the full sets in
-three rounds, so that a group of n copies costs about n comparisons and not n squared:
+Documents with equal sets, by 128-bit names, are one node from the start. Pairs that meet are confirmed on
+the full sets in rounds, so that a group of n copies costs about n comparisons and not n squared:
 
 1. a node with the weightiest node of its keys (of those the one it shares most keys with). A node weighs
    as much as all its keys have nodes; in a group of copies that is the text they were made from, or near;
-2. within families, which are the trees of those first pairs: every node outside the family's largest
-   component with all of other components. A family is cut into tiles, a pair of tiles is one task, and
-   each set goes to its tiles once. Only one link to each component is kept;
-3. where a key still holds several components: every node outside its largest one with all nodes of other
-   components and families within 56 slots (30 are expected at similarity 0.75, and 5.5 deviations more
-   are 56). After this no pair that meets within the distance is left out.
+2. a node that wasn't like that one with all nodes that are linked to it by now, for it was near them;
+3. where a key still holds several components: signatures of nodes outside its largest one are compared with
+   those of other components, and of the pairs within 56 slots (30 are expected at similarity 0.75, and 5.5
+   deviations more are 56) each node is confirmed with the nearest of each component;
+4. all other of those pairs whose components are still apart. After this no pair that meets within the
+   distance is left out.
+
+Nodes that share a template but are not alike cost a comparison of signatures where they share a key, in
+tiles of bounded size, and never make up a family that is compared as a whole.
 """
 
 from __future__ import annotations
@@ -41,8 +44,10 @@ SLOTS = CHUNKS * CHUNK
 #: Slots that may differ in the last round.
 DISTANCE = 56
 REMEMBERED = 300_000
-#: Nodes in a tile of a family.
-TILE = 1000
+#: Nodes and shingles in a tile at most, as far as dealing by hash keeps to it; a larger set stands for itself.
+TILE, TILE_SHINGLES = 1000, 1 << 20
+#: Pairs of signatures compared at a time, and bytes of text.
+AT_ONCE, SLICE_BYTES = 50_000, 2 << 20
 
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,33 +98,37 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (_mix(least) >> np.uint64(20) & np.uint64(0xFFFF)).astype("<u2")
 
 
-def _fingerprint(s: np.ndarray) -> int:
-    return int(_mix(s + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.int64))
+def _names(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell apart sets."""
+    first, second = _mix(s + np.uint64(0x9E3779B97F4A7C15)), _mix(s * MULTIPLIERS[0] + ADDENDS[0])
+    return tuple(int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (first, second))
+
+
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(common.quoted(id_col)).cast("long").alias("id"), F.col(common.quoted(text_col)).alias("text"))
 
 
 def describe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (equal for equal sets; null for empty ones), signature."""
+    """doc_id, n_shingles, f1, f2 (equal for equal sets; null for empty ones), signature."""
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "node", "signature"],
-            )
+        for whole in batches:
+            for lo, hi in common.slices(common.text_bytes(whole.column(1))[1], SLICE_BYTES):
+                sets = [shingles(t.as_py()) for t in whole.column(1)[lo:hi]]
+                names = [_names(s) if len(s) else (None, None) for s in sets]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1))]
+                columns.append(pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()))
+                yield pa.RecordBatch.from_arrays([whole.column(0)[lo:hi], *columns], ["doc_id", "n_shingles", "f1", "f2", "signature"])
+        _words.clear()
 
-    docs = df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"`{text_col}` AS text")
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, signature binary")
+    return _documents(df, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, signature binary")
 
 
 def keys(nodes: DataFrame) -> DataFrame:
     """key, node: each chunk without each of its slots, as a 64-bit name of chunk, place and the other slots."""
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
@@ -136,17 +145,21 @@ def keys(nodes: DataFrame) -> DataFrame:
 
 
 def sets(df: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """node, hashes (sorted, 48 bits in three 16-bit planes) of the documents whose ids are wanted."""
+    """node, hashes (sorted, 48 bits in three 16-bit planes) of wanted: node, f1, f2, wanted (an id that has this set)."""
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                found = [shingles(t.as_py()) for t in whole.column(1)[lo : lo + 1000]]
-                found = [(_fingerprint(s), _planes(s)) for s in found if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["node", "hashes"])
+            for lo, hi in common.slices(common.text_bytes(whole.column(1))[1], SLICE_BYTES):
+                found = [shingles(t.as_py()) for t in whole.column(1)[lo:hi]]
+                found = [(*_names(s), _planes(s)) for s in found if len(s)]
+                columns = list(zip(*found)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["f1", "f2", "hashes"])
+        _words.clear()
 
-    docs = df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"`{text_col}` AS text")
-    return docs.join(wanted, docs.id.eqNullSafe(wanted.wanted), "left_semi").mapInArrow(run, "node long, hashes binary")
+    docs = _documents(df, id_col, text_col)
+    made = docs.join(wanted.select("wanted"), docs.id.eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(run, "f1 long, f2 long, hashes binary")
+    return made.join(wanted.select("f1", "f2", "node"), ["f1", "f2"]).dropDuplicates(["f1", "f2"]).select("node", "hashes")
 
 
 def _planes(s: np.ndarray) -> bytes:
@@ -167,102 +180,187 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def confirmed(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
+    """Those of the written pairs (a, b) whose full sets are similar enough.
 
+    A node's set goes once to all its partners and not to each, and partners of one node are parted where
+    they are many.
+    """
+
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, own = None, None
         for batch in batches:
-            rows = [c.to_pylist() for c in batch.columns[:2]]
-            keep = [linked(_unplaned(x.as_py()), _unplaned(y.as_py()), percent) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(r, keep) if k], pa.int64()) for r in rows], ["a", "b"])
+            a, chunk, b = (c.to_pylist() for c in batch.columns[:3])
+            keep = []
+            for k, (x, c, y) in enumerate(zip(a, chunk, b)):
+                data = batch.column(3)[k].as_py()
+                if y is None:
+                    of, own = (x, c), _unplaned(data)
+                elif of == (x, c) and linked(own, _unplaned(data), percent):
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([v[k] for k in keep], pa.int64()) for v in (a, b)], ["a", "b"])
+
+    many = common.written(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > TILE).selectExpr("a", f"CAST(ceil(n / {TILE}) AS INT) AS chunks"), "many")
+    parted = pairs.select("a", "b").join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "chunks").cast("int"), F.lit(0)).alias("chunk"))
+    partners = parted.join(hashes.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "hashes")
+    owners = parted.select("a", "chunk").distinct().join(hashes.withColumnRenamed("node", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "hashes")
+    dealt = owners.union(partners).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(run, "a long, b long")
 
-    with_a = pairs.join(hashes.selectExpr("node AS a", "hashes AS x"), "a")
-    with_b = with_a.join(hashes.selectExpr("node AS b", "hashes AS y"), "b")
-    return with_b.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+def _rooted(rows: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
+    """Adds a node's root; a node without links is its own."""
+    return rows.join(roots.select(F.col("node").alias(node), F.col("root").alias("_root")), node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
 
 
 def _open_keys(star: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, node, root, major: the rows of keys that hold several components, with each key's largest."""
-    rows = star.join(roots, "node", "left").selectExpr("key", "node", "coalesce(root, node) AS root")
+    """key, node, root, and of its key major (the largest component), n and asks (its nodes, and those outside it), where a key holds several components."""
+    rows = _rooted(star.select("key", "node"), roots)
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("major"))
-    return rows.join(several.where("roots > 1").select("key", "major"), "key")
+    several = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    several = common.written(several.selectExpr("key", "major", "n", "n - most AS asks"), "open")
+    return rows.join(several, "key")
 
 
-def links(df: DataFrame, described: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (a, b) between nodes, enough of them to connect all that are linked; and node, root."""
-    nodes = described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("wanted"), F.min("signature").alias("signature"))
-    nodes = common.written(nodes, "nodes")
+def links(df: DataFrame, nodes: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """node, root of all linked nodes. nodes: node, f1, f2, wanted, n_shingles, signature."""
     filed = keys(nodes)
-    several = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    several = common.written(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     star = common.written(filed.join(several, "key"), "star")
-    weights = common.written(star.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    weighed = star.join(weights, "node")
-    hubs = weighed.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
-
+    weights = star.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = common.written(star.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub")), "hubs")
     shared = star.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    pairs = shared.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
-    met = star.select("node").distinct()
-    hashes = common.written(sets(df, nodes.join(met, "node", "left_semi").select("wanted"), id_col, text_col).dropDuplicates(["node"]), "sets")
+    pairs = common.written(shared.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")), "pairs")
+    met = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
+    hashes = common.written(sets(df, nodes.join(met, "node", "left_semi").select("node", "f1", "f2", "wanted"), id_col, text_col), "sets")
+    common.dropped(several, hubs)
+
     first = common.written(confirmed(pairs.selectExpr("hub AS a", "node AS b"), hashes, percent), "links")
     roots = common.written(components(first), "roots")
 
-    families = common.written(components(pairs.selectExpr("hub AS a", "node AS b")), "families").withColumnRenamed("root", "family")
-    rows = common.written(_open_keys(star.select("key", "node"), roots), "open")
-    second = common.written(_within_families(rows, families, hashes, percent).union(first), "links")
+    tried = _rooted(_rooted(pairs, roots, "node", "own"), roots, "hub", "family")
+    tried = common.written(tried.select("node", "own", F.when(F.col("own") != F.col("family"), F.col("family")).alias("family")), "tried")
+    second = common.written(_with_families(tried.where("family IS NOT NULL"), roots, nodes, hashes, percent).union(first), "links")
     roots2 = common.written(components(second), "roots")
 
-    rows2 = _open_keys(rows.select("key", "node"), roots2).join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
-    rows2 = common.written(rows2.join(nodes.select("node", "signature"), "node"), "open")
-    near = F.expr(f"aggregate(sequence(1, {2 * SLOTS}, 2), 0, (n, k) -> n + int(substring(x.signature, k, 2) <> substring(y.signature, k, 2)))") <= DISTANCE
-    x, y = rows2.where("root <> major").alias("x"), rows2.alias("y")
-    apart = (F.col("x.family") != F.col("y.family")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & near).selectExpr("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b").distinct()
-    more = common.written(confirmed(pairs, hashes, percent), "links")
-    common.dropped(star, weights, rows, rows2, hashes, roots, nodes)
-    if more.isEmpty():
-        return second, roots2
-    third = more.union(second)
-    return third, common.written(components(third), "roots")
-
-
-def _within_families(rows: DataFrame, families: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components of one family, one at least for each node and component that are linked."""
-    members = rows.select("node", "root").distinct().join(families, "node", "left").withColumn("family", F.coalesce("family", "node"))
-    sizes = members.groupBy("family", "root").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("family").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most")).where("roots > 1")
-    several = several.select("family", "major", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"), F.ceil((F.col("n") - F.col("most")) / TILE).cast("int").alias("probes"))
-    own = members.join(several, "family").join(hashes, "node")
+    # Of a node: its root after the first round, and the component that it has been compared with.
+    past = nodes.select("node", "signature").join(tried.select("node", "own", "family"), "node", "left")
+    near = common.written(_near(_open_keys(star, roots2).join(past, "node")), "near")
+    found, last = second, roots2
+    if not near.isEmpty():
+        nearest = common.written(near.groupBy("a", "rb").agg(F.min_by("b", F.struct("d", "b")).alias("b")).select("a", "b").distinct(), "nearest")
+        found = common.written(confirmed(nearest, hashes, percent).union(second), "links")
+        last = common.written(components(found), "roots")
+        apart = _rooted(_rooted(near.select("a", "b"), last, "a", "p"), last, "b", "q").where("p <> q").select("a", "b")
+        rest = common.written(apart.join(nearest, ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            found = common.written(confirmed(rest, hashes, percent).union(found), "links")
+            last = common.written(components(found), "roots")
+        common.dropped(nearest, rest)
+    common.dropped(star, pairs, tried, near, hashes)
+    return last
+
+
+def _with_families(asking: DataFrame, roots: DataFrame, nodes: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between a node and the component, its family, that it asks to join; one at most for each.
+
+    asking: node, family. A family is cut into tiles, and so are those who ask; a pair of tiles is one task,
+    and each set goes to its tiles once.
+    """
+    size = nodes.select("node", "n_shingles")
+    wanted = asking.join(size, "node").groupBy("family").agg(F.count("*").alias("asks"), F.sum("n_shingles").alias("asked"))
+    members = roots.withColumnRenamed("root", "family").join(wanted.select("family"), "family", "left_semi").join(size, "node")
+    held = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    tiles = lambda n, shingles: F.ceil(F.greatest(F.col(n) / TILE, F.col(shingles) / TILE_SHINGLES)).cast("int")
+    plan = common.written(wanted.join(held, "family").select("family", tiles("n", "shingles").alias("tiles"), tiles("asks", "asked").alias("probes")), "families")
     tile = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["node", "root", "family", "hashes"]
-    kept = own.select(*columns, tile("tiles", 1).alias("tile"), every("probes").alias("probe"), F.lit(False).alias("asks"))
-    asks = own.where("root <> major").select(*columns, every("tiles").alias("tile"), tile("probes", 2).alias("probe"), F.lit(True).alias("asks"))
+    kept = members.select("family", "node").join(plan, "family").join(hashes, "node").select("node", "family", "hashes", tile("tiles", 1).alias("tile"), every("probes").alias("probe"), F.lit(False).alias("asks"))
+    asks = asking.select("family", "node").join(plan, "family").join(hashes, "node").select("node", "family", "hashes", every("tiles").alias("tile"), tile("probes", 2).alias("probe"), F.lit(True).alias("asks"))
 
+    @common.frugal_group
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        asking = table.column("asks").to_numpy()
-        nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
-        found = [_unplaned(h.as_py()) for h in table.column("hashes")]
-        here = np.flatnonzero(~asking)
-        if not len(here) or not asking.any():
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        sizes = np.array([len(found[k]) for k in here], np.int64)
-        all_ = np.concatenate([found[k] for k in here])
-        owner = np.repeat(np.arange(len(here)), sizes)
-        order = np.argsort(all_, kind="stable")
-        all_, owner = all_[order], owner[order]
-        a, b = [], []
-        for k in np.flatnonzero(asking):
-            lo, hi = np.searchsorted(all_, found[k], "left"), np.searchsorted(all_, found[k], "right")
-            both = np.bincount(owner[common.ragged(lo, hi - lo)], minlength=len(here))
-            near = (100 * both >= percent * (len(found[k]) + sizes - both)) & (roots[here] != roots[k])
-            for r in np.unique(roots[here][near]):
-                a.append(int(nodes[k]))
-                b.append(int(nodes[here][near & (roots[here] == r)].min()))
+        asking_ = table.column("asks").to_numpy()
+        nodes_ = table.column("node").to_numpy()
+        here, a, b = np.flatnonzero(~asking_), [], []
+        if len(here) and asking_.any():
+            found = [_unplaned(table.column("hashes")[int(k)].as_py()) for k in here]
+            sizes = np.array([len(x) for x in found], np.int64)
+            all_, owner = np.concatenate(found), np.repeat(np.arange(len(here)), sizes)
+            order = np.argsort(all_, kind="stable")
+            all_, owner = all_[order], owner[order]
+            for k in np.flatnonzero(asking_):
+                own = _unplaned(table.column("hashes")[int(k)].as_py())
+                lo, hi = np.searchsorted(all_, own, "left"), np.searchsorted(all_, own, "right")
+                both = np.bincount(owner[common.ragged(lo, hi - lo)], minlength=len(here))
+                near = 100 * both >= percent * (len(own) + sizes - both)
+                if near.any():
+                    a.append(int(nodes_[k]))
+                    b.append(int(nodes_[here][near].min()))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return kept.union(asks).groupBy("family", "tile", "probe").applyInArrow(meet, "a long, b long")
 
 
+def _near(rows: DataFrame) -> DataFrame:
+    """Pairs a, b within the distance d that meet under an open key, with different roots ra and rb, and haven't been compared.
+
+    rows: key, node, root, major, n, asks, signature, own, family. A node outside its key's largest component
+    asks all others of the key; keys are cut into tiles as families are.
+    """
+    tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    tile = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), tiles(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), tiles(n) - 1))
+    one, asking = (tiles("n") == 1) & (tiles("asks") == 1), F.col("root") != F.col("major")
+    columns = ["key", "node", "root", "major", "signature", F.coalesce("own", "node").alias("own"), F.coalesce("family", F.lit(-1)).alias("family")]
+    # Role: 0 is asked, 1 asks, 2 does both, which only keys of one tile need.
+    kept = rows.select(*columns, every("asks").alias("i"), tile("n", 3).alias("j"), F.when(one & asking, 2).otherwise(0).alias("role"))
+    asks = rows.where(asking & ~one).select(*columns, tile("asks", 4).alias("i"), every("n").alias("j"), F.lit(1).alias("role"))
+
+    def compared(t: pa.Table) -> pa.RecordBatch:
+        key, i, j, node, root, major, own, family, role = (t.column(c).to_numpy() for c in ("key", "i", "j", "node", "root", "major", "own", "family", "role"))
+        sig = common.text_bytes(t.column("signature"))[0].view("<u2").reshape(-1, SLOTS)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(key))
+        group = np.cumsum(new) - 1
+        asking_ = np.flatnonzero(role > 0)
+        lo, size = starts[group[asking_]], (ends - starts)[group[asking_]]
+        upto, out, at = np.cumsum(size), [], 0
+        while at < len(asking_):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, "right")))
+            x, y = np.repeat(asking_[at:to], size[at:to]), common.ragged(lo[at:to], size[at:to])
+            some = (role[y] != 1) & (root[x] != root[y]) & ((root[y] == major[y]) | (node[x] < node[y])) & (own[y] != family[x]) & (own[x] != family[y])
+            x, y = x[some], y[some]
+            d = np.count_nonzero(sig[x] != sig[y], axis=1)
+            close = d <= DISTANCE
+            out.append(np.stack([node[x], node[y], d, root[x], root[y]])[:, close])
+            at = to
+        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((5, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in found], ["a", "b", "d", "ra", "rb"])
+
+    @common.frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups stand one after another; the last one of a batch may go on in the next."""
+        left: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if left is None else pa.concat_tables([left, t]).combine_chunks()
+            last = [t.column(c)[-1] for c in ("key", "i", "j")] if t.num_rows else None
+            if last is None:
+                continue
+            same = np.logical_and.reduce([t.column(c).to_numpy() == v.as_py() for c, v in zip(("key", "i", "j"), last)])
+            n = t.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            if n:
+                yield compared(t.slice(0, n).combine_chunks())
+            left = t.slice(n).combine_chunks()
+        if left is not None:
+            yield compared(left)
+
+    dealt = kept.unionByName(asks).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long, d long, ra long, rb long").dropDuplicates(["a", "b"])
+
+
 def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach), kept.
 
@@ -272,8 +370,12 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     component the document with its id is kept. Other columns are ignored; an empty table gives no rows.
     """
     described = common.written(describe(df, id_col, text_col), "signatures")
-    _, roots = links(df, described, percent, id_col, text_col)
-    labelled = described.drop("signature").join(roots, "node", "left").selectExpr("doc_id", "n_shingles", "coalesce(root, node) AS root")
-    least = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    found = labelled.join(least, "root", "left").selectExpr("doc_id", "n_shingles", "CASE WHEN root IS NULL THEN doc_id ELSE least END AS component_id")
+    nodes = described.where("f1 IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("wanted"), F.max("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
+    nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rooted = _rooted(nodes.select("node", "f1", "f2", "wanted"), links(df, nodes, percent, id_col, text_col))
+    rooted = common.written(rooted, "rooted")
+    least = common.written(rooted.groupBy("root").agg(F.min("wanted").alias("least")), "least")
+    named = rooted.join(least, "root").select("f1", "f2", "least")
+    found = described.drop("signature").join(named, ["f1", "f2"], "left")
+    found = found.selectExpr("doc_id", "n_shingles", "CASE WHEN f1 IS NULL THEN doc_id ELSE least END AS component_id")
     return found.selectExpr("*", "doc_id <=> component_id AS kept")
