@@ -1,26 +1,29 @@
-"""Removal of passages that an earlier document has, byte for byte, by a bucketed join of anchored windows.
+"""Removal of passages that an earlier document has, byte for byte: blockwise sorting of suffixes around a cover sample.
 
 A byte goes if a string of 50 bytes that covers it also starts in a document with a smaller id. Sorting
-the suffixes of all texts would settle this, but a corpus has as many suffixes as bytes. The blockwise
-construction with a cover sample that the name stands for is not built either: no suffix is sorted, and
-no ranks of a cover sample exist that could settle ties. This is a join by hash, a bucket at a time, of
-windows of 50 bytes around sampled places:
+the suffixes of all texts would settle this, but a corpus has as many suffixes as bytes. So a cover sample is
+taken that meets every string of 50 bytes, and suffixes are sorted a bucket at a time, ties by the ranks of
+the sampled suffix that they reach:
 
 1. Cover. Of the 35 16-byte strings in every string of 50 bytes the one with the least hash is taken.
    The choice depends on those 50 bytes alone, so two equal strings sample the same place: about one
-   suffix in eighteen stands for all. (A periodic difference cover also meets in every pair of
-   strings, but at places that depend on positions; by estimate, not measured, it keeps one in five.)
+   suffix in eighteen stands for all. (This takes the place of a periodic difference cover, which meets in
+   every pair of strings too, but keeps one suffix in five; the README has what that comes to.)
 2. Shared samples. Sampled 16-byte strings are dealt into buckets by hash; a bucket's task finds those
-   that two documents share, by 48 bits of the hash. All others are done with. (``ranks`` in the code.)
-3. Buckets. A shared sample goes with its 34 bytes before and after into its bucket. There the strings
-   of 50 bytes from every one of the 35 places around the sample are grouped by their 64-bit names, and
-   each learns whether a smaller document has the same.
+   that two documents share, by 48 bits of the hash. All others are done with.
+3. Buckets. A shared sample goes with its 34 bytes before and after into its bucket. There the sampled
+   suffixes are sorted, and so are the bytes before them, read backwards; both give ranks, and from the common
+   prefixes of neighbours the classes of equal strings of every length. A suffix that starts some bytes before
+   a sample is then settled by those bytes and, where they tie, by the rank of the sample: so the strings of
+   50 bytes from each of the 35 places fall into classes, and each learns whether a smaller document has it.
+4. Strings that occur very often, such as a line of a site's footer, would fill one bucket with all their
+   surroundings. Their strings of 50 bytes go to buckets of their own names, of 128 bits, instead.
 
 Documents are kept in blocks, compressed, in files of the shared folder, from which steps 2 and 3 read
-them by offset, so that no text is shuffled. A string that occurs often leaves a block once, with the
-least document of the block; the others of the block need no comparison. Strings are compared by
-64-bit names. Files are written under names of their own and renamed, so lost executors do no harm; the
-input must be a table or another input that is read alike each time.
+them by offset, so that no text is shuffled. Equal surroundings leave a block once, with the least document
+of the block that has them, after their bytes have been compared. Files are written under names of their own
+and renamed, so lost executors do no harm; the input must be a table or another input that is read alike
+each time.
 """
 
 from __future__ import annotations
@@ -45,16 +48,16 @@ BLOCK_BYTES = 8 << 20
 #: Places whose hashes are held at a time; positions among them take the low bits of a key.
 STEP = (1 << 20) - 64
 LOW = np.uint64((1 << 20) - 1)
+#: A string that occurs so often, as estimated within a factor of two, gets no bucket of its own.
+OFTEN = 1 << 14
+#: Contexts that are worked on at a time.
+AT_ONCE = 50_000
 #: Documents without an id come last.
 NO_ID = (1 << 63) - 1
 
 _rng = np.random.default_rng(50)
 LETTERS = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, 256, dtype=np.uint64)
 ODD = _rng.integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Powers for the names of strings, and the inverse of the base.
-BASE = int(ODD[6])
-INVERSE = np.uint64(pow(BASE, -1, 1 << 64))
-LAST = np.uint64(pow(BASE, SPAN - 1, 1 << 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -120,18 +123,24 @@ def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarr
         yield int(b), order[cuts[b] : cuts[b + 1]]
 
 
-def shared(rows: list[bytes]) -> list[np.ndarray]:
-    """Of each block's strings (sorted), those that two documents have."""
+def shared(rows: list[bytes], often_from: int = OFTEN) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each block's strings (sorted), those that two documents have, and whether they occur very often.
+
+    A string comes with a byte: whether several documents of the block have it, and twice the logarithm of its number there.
+    """
     parts = [unpacked(r) for r in rows]
     hashes = [_wide(p[0]) for p in parts]
-    h, several = np.concatenate(hashes), np.concatenate([np.frombuffer(p[1], bool) for p in parts])
+    h, notes = np.concatenate(hashes), np.concatenate([np.frombuffer(p[1], np.uint8) for p in parts])
     order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
-    keep = several
-    keep[order[1:][same]] = True
-    keep[order[:-1][same]] = True
-    ends = np.cumsum([len(x) for x in hashes])
-    return [x[k] for x, k in zip(hashes, np.split(keep, ends[:-1]))]
+    first = np.concatenate([[True], h[order][1:] != h[order][:-1]])[: len(h)]
+    starts = np.flatnonzero(first)
+    total = np.add.reduceat(np.exp2(notes[order] >> 1), starts)
+    several = np.maximum.reduceat(notes[order] & 1, starts).astype(bool) | (np.diff(np.append(starts, len(h))) > 1)
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(first) - 1
+    keep, often = several[group], (total >= often_from)[group]
+    ends = np.cumsum([len(x) for x in hashes])[:-1]
+    return [(x[k], o[k]) for x, k, o in zip(hashes, np.split(keep, ends), np.split(often, ends))]
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -153,30 +162,76 @@ def names_of(around: np.ndarray) -> np.ndarray:
     return _mix(total)
 
 
+def ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes, and the common prefix of each with the one before it."""
+    n, width = rows.shape
+    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = rows
+    order = np.lexsort(wide.view(">u8").astype(np.uint64).T[::-1])
+    prefix = np.zeros(n, np.int64)
+    for lo in range(1, n, 100_000):
+        at = order[lo - 1 : lo + 100_000]
+        differ = rows[at[1:]] != rows[at[:-1]]
+        prefix[lo : lo + 100_000] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return order, prefix
+
+
+def classes(order: np.ndarray, prefix: np.ndarray, length: int) -> np.ndarray:
+    """Equal numbers for rows whose first bytes are equal."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(prefix < length) - 1
+    return out
+
+
 def compared(around: np.ndarray, left: np.ndarray, right: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each context a mask of the places from which 50 bytes are also in a context of a smaller document."""
+    """For each context a mask of the places from which 50 bytes are also in a context of a smaller document.
+
+    Bytes that a context lacks are zeros; they take no part, as only places whose 50 bytes lie in it count.
+    """
     by_doc = np.argsort(docs, kind="stable")
     around, left, right, docs = around[by_doc], left[by_doc].astype(np.int64), right[by_doc].astype(np.int64), docs[by_doc]
     masks = np.zeros(len(docs), np.uint64)
-    name = np.zeros(len(docs), np.uint64)
-    power = 1
-    for k in range(SPAN):
-        name += LETTERS[around[:, k]] * np.uint64(power)
-        power = power * BASE % (1 << 64)
+    suffixes, prefixes = ranked(around[:, SIDE:]), ranked(around[:, :SIDE][:, ::-1])
     for o in range(WINDOW):
         rows = np.flatnonzero((o >= SIDE - left) & (o <= right))
-        n, d = name[rows], docs[rows]
+        n, d = (classes(*prefixes, SIDE - o) * len(docs) + classes(*suffixes, GRAM + o))[rows], docs[rows]
         order = np.argsort(n, kind="stable")
         first = np.concatenate([[True], n[order][1:] != n[order][:-1]])[: len(order)]
         least = d[order][first][np.cumsum(first) - 1]
         masks[rows[order[least < d[order]]]] |= np.uint64(1 << o)
-        if o < WINDOW - 1:
-            name = (name - LETTERS[around[:, o]]) * INVERSE + LETTERS[around[:, o + SPAN]] * LAST
     out = np.empty_like(masks)
     out[by_doc] = masks
     return out
 
 
+def windows(around: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each place the contexts that have 50 bytes from there, and their names in two halves."""
+    bases = [int(ODD[6]), int(ODD[3])]
+    names, last = [], []
+    for base in bases:
+        name, power = np.zeros(len(around), np.uint64), 1
+        for k in range(SPAN):
+            name += LETTERS[around[:, k]] * np.uint64(power)
+            power = power * base % (1 << 64)
+        names.append(name)
+        last.append(np.uint64(pow(base, SPAN - 1, 1 << 64)))
+    for o in range(WINDOW):
+        rows = np.flatnonzero((o >= SIDE - left.astype(np.int64)) & (o <= right))
+        yield o, rows, _mix(names[0][rows]), _mix(names[1][rows])
+        if o < WINDOW - 1:
+            for k, base in enumerate(bases):
+                names[k] = (names[k] - LETTERS[around[:, o]]) * np.uint64(pow(base, -1, 1 << 64)) + LETTERS[around[:, o + SPAN]] * last[k]
+
+
+def repeated(first: np.ndarray, second: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has a string of the same name."""
+    order = np.lexsort((docs, second, first))
+    new = np.concatenate([[True], (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])])[: len(order)]
+    out = np.empty(len(docs), bool)
+    out[order] = docs[order][new][np.cumsum(new) - 1] < docs[order]
+    return out
+
+
 def _to_bytes(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -184,18 +239,19 @@ def _to_bytes(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", often_from: int = OFTEN) -> DataFrame:
     """df without the repeated bytes, and n_bytes, n_removed, n_spans, spans, kept (the remaining bytes).
 
     The text column is the remaining bytes as text, without characters that were cut in part; ``kept``
     has them all. A null text counts as empty; texts under 50 bytes never change. Rows that repeat an id
     don't remove each other's text; rows without an id come after all others, and don't remove each
-    other's text. Other columns stay; those named as new ones are replaced. An empty table stays empty.
+    other's text. Other columns stay; those named as new ones, in any case of letters, are replaced. An
+    empty table stays empty.
     """
     spark = df.sparkSession
     new = ["n_bytes long", "n_removed long", "n_spans long", "spans array<struct<start:bigint,length:bigint>>", "kept binary"]
-    df = df.select([c for c in df.columns if c not in [x.split()[0] for x in new]])
-    buckets, folder = common.shuffle_partitions(spark), common.scratch(spark, "suffixes")
+    df = df.select(*map(common.quoted, common.others(df, [x.split()[0] for x in new])))
+    buckets, folder = max(common.shuffle_partitions(spark), common.input_bytes(df) >> 26), common.scratch(spark, "suffixes")
     id_at, text_at = df.columns.index(id_col), df.columns.index(text_col)
 
     def block_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,6 +272,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ["block", "bucket", "at", "size", "payload"],
         )
 
+    @common.frugal
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = common.open_fs(folder)
         pid = TaskContext.get().partitionId()
@@ -236,27 +293,32 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 h, of = h[order], of[order]
                 starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
                 several = np.maximum.reduceat(of, starts) != np.minimum.reduceat(of, starts) if len(h) else np.zeros(0, bool)
+                number = np.diff(np.append(starts, len(h)))
+                notes = (several + 2 * np.ceil(np.log2(np.maximum(number, 1)))).astype(np.uint8)
                 h = h[starts]
-                some = [(b, packed(_narrow(h[own_]), several[own_].tobytes())) for b, own_ in _by_bucket(_bucket(h, buckets), buckets)]
+                some = [(b, packed(_narrow(h[own_]), notes[own_].tobytes())) for b, own_ in _by_bucket(_bucket(h, buckets), buckets)]
                 yield rows_of(pid << 32 | k, at, len(segment), some)
                 at, k = at + len(segment), k + 1
         if f is not None:
             f.close()
             common.publish(fs, own, f"{root}/blocks-{pid:07d}")
 
-    def ranks(key: tuple, table: pa.Table) -> pa.Table:
+    @common.frugal_group
+    def met(key: tuple, table: pa.Table) -> pa.Table:
         payload = table.column("payload").to_pylist()
         some = [k for k, p in enumerate(payload) if p is not None]
         out: list = [None] * len(payload)
-        for k, h in zip(some, shared([payload[k] for k in some]) if some else ()):
-            out[k] = _narrow(h) if len(h) else None
+        for k, (h, often) in zip(some, shared([payload[k] for k in some], often_from) if some else ()):
+            out[k] = packed(_narrow(h), often.tobytes()) if len(h) else None
         return table.set_column(4, "payload", pa.array(out, pa.binary()))
 
+    @common.frugal_group
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         block = key[0].as_py()
         rows = table.to_pylist()
         at, size = next((r["at"], r["size"]) for r in rows if r["at"] is not None)
-        wanted = [_wide(r["payload"]) for r in rows if r["payload"] is not None]
+        parts = [unpacked(r["payload"]) for r in rows if r["payload"] is not None]
+        wanted, often = [_wide(p[0]) for p in parts], [_wide(p[0])[np.frombuffer(p[1], bool)] for p in parts]
         data, offsets, ids = block_of(stored(block, at, size))
         places, h = samples(data, offsets) if wanted else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         h &= np.uint64((1 << 48) - 1)
@@ -266,36 +328,59 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kind, least = np.zeros(len(places), np.int64), np.zeros(0, np.int64)
         if len(places):
             names, of = np.empty(len(places), np.uint64), np.empty(len(places), np.int64)
-            for lo in range(0, len(places), 50_000):
-                around, left, right, doc = contexts(data, offsets, places[lo : lo + 50_000])
-                names[lo : lo + 50_000] = names_of(around) + _mix(left.astype(np.uint64) << np.uint64(8) | right)
-                of[lo : lo + 50_000] = ids[doc]
+            for lo in range(0, len(places), AT_ONCE):
+                around, left, right, doc = contexts(data, offsets, places[lo : lo + AT_ONCE])
+                names[lo : lo + AT_ONCE] = names_of(around) + _mix(left.astype(np.uint64) << np.uint64(8) | right)
+                of[lo : lo + AT_ONCE] = ids[doc]
             order = np.lexsort((of, names))
             first = np.concatenate([[True], names[order][1:] != names[order][:-1]])
             kind[order] = np.cumsum(first) - 1
             chosen, least = order[first], of[order[first]]
-            for b, own_ in _by_bucket(_bucket(h[chosen], buckets), buckets):
+            like, unlike = order[~first], []
+            for lo in range(0, len(like), AT_ONCE):
+                x, y = (contexts(data, offsets, places[at[lo : lo + AT_ONCE]])[:3] for at in (like, chosen[kind[like]]))
+                unlike.append(like[lo : lo + AT_ONCE][(x[0] != y[0]).any(axis=1) | (x[1] != y[1]) | (x[2] != y[2])])
+            if unlike and len(unlike := np.concatenate(unlike)):  # equal names of different bytes
+                kind[unlike] = len(chosen) + np.arange(len(unlike))
+                chosen, least = np.append(chosen, unlike), np.append(least, of[unlike])
+            dealt = np.isin(h[chosen], np.concatenate(often))
+            plain = np.flatnonzero(~dealt)
+            for b, own_ in _by_bucket(_bucket(h[chosen[plain]], buckets), buckets):
+                own_ = plain[own_]
                 around, left, right, _ = contexts(data, offsets, places[chosen[own_]])
-                some.append((b, packed(own_.astype("<u4").tobytes(), least[own_].astype("<i8").tobytes(), left.tobytes(), right.tobytes(), zipped(around))))
+                some.append((b, packed(b"c", own_.astype("<u4").tobytes(), least[own_].astype("<i8").tobytes(), left.tobytes(), right.tobytes(), zipped(around))))
+            dealt = np.flatnonzero(dealt)
+            for lo in range(0, len(dealt), AT_ONCE):
+                own_ = dealt[lo : lo + AT_ONCE]
+                around, left, right, _ = contexts(data, offsets, places[chosen[own_]])
+                found = [(own_[rows], np.full(len(rows), o, np.uint8), n1, n2) for o, rows, n1, n2 in windows(around, left, right)]
+                kinds, at_, n1, n2 = (np.concatenate(x) for x in zip(*found))
+                for b, w in _by_bucket(_bucket(n1, buckets), buckets):
+                    some.append((b, packed(b"w", kinds[w].astype("<u4").tobytes(), least[kinds[w]].astype("<i8").tobytes(), at_[w].tobytes(), n1[w].tobytes(), n2[w].tobytes())))
         note, own = f"{root}/places-{block}", f"{root}/.{uuid.uuid4().hex}"
         with fs.open_output_stream(own) as f:
             f.write(packed(zipped(places.astype("<u4")), zipped(kind.astype("<u4")), zipped(least.astype("<i8"))))
         common.publish(fs, own, note)
         return pa.Table.from_batches([rows_of(block, at, size, some)])
 
+    @common.frugal_group
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        payload = table.column("payload").to_pylist()
-        parts = [unpacked(p) for p in payload if p is not None]
+        payload = [p and unpacked(p) for p in table.column("payload").to_pylist()]
         out: list = [None] * len(payload)
-        if parts:
-            around = np.frombuffer(b"".join(unzipped(p[4]) for p in parts), np.uint8).reshape(-1, WIDTH)
-            left, right, docs = (np.frombuffer(b"".join(p[k] for p in parts), t) for k, t in ((2, np.uint8), (3, np.uint8), (1, "<i8")))
-            masks = compared(around, left, right, docs)
-            ends = np.cumsum([len(p[2]) for p in parts])
-            for k, p, m in zip((k for k, p in enumerate(payload) if p is not None), parts, np.split(masks, ends[:-1])):
-                out[k] = packed(p[0], zipped(m))
+        of = lambda kind: [(k, p[1:]) for k, p in enumerate(payload) if p and p[0] == kind]
+        column = lambda some, k, t: np.frombuffer(b"".join(p[k] for _, p in some), t)
+        if some := of(b"c"):
+            around = np.frombuffer(b"".join(unzipped(p[4]) for _, p in some), np.uint8).reshape(-1, WIDTH)
+            masks = compared(around, column(some, 2, np.uint8), column(some, 3, np.uint8), column(some, 1, "<i8"))
+            for (k, p), m in zip(some, np.split(masks, np.cumsum([len(p[2]) for _, p in some])[:-1])):
+                out[k] = packed(b"c", p[0], zipped(m))
+        if some := of(b"w"):
+            gone = repeated(column(some, 3, np.uint64), column(some, 4, np.uint64), column(some, 1, "<i8"))
+            for (k, p), g in zip(some, np.split(gone, np.cumsum([len(p[2]) for _, p in some])[:-1])):
+                out[k] = packed(b"w", np.frombuffer(p[0], "<u4")[g].tobytes(), np.frombuffer(p[2], np.uint8)[g].tobytes()) if g.any() else None
         return table.set_column(4, "payload", pa.array(out, pa.binary()))
 
+    @common.frugal_group
     def remove(key: tuple, table: pa.Table) -> pa.Table:
         block = key[0].as_py()
         rows = table.to_pylist()
@@ -308,8 +393,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         masks = np.zeros(len(least), np.uint64)
         for r in rows:
             if r["payload"] is not None:
-                kinds, m = unpacked(r["payload"])
-                masks[np.frombuffer(kinds, "<u4")] = np.frombuffer(unzipped(m), np.uint64)
+                what, kinds, m = unpacked(r["payload"])
+                kinds = np.frombuffer(kinds, "<u4")
+                if what == b"c":
+                    masks[kinds] = np.frombuffer(unzipped(m), np.uint64)
+                else:
+                    np.bitwise_or.at(masks, kinds, np.uint64(1) << np.frombuffer(m, np.uint8).astype(np.uint64))
         edges = np.zeros(len(data) + 1, np.int32)
         if len(places):
             doc = np.searchsorted(offsets, places, "right") - 1
@@ -344,10 +433,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.table(columns, names=[*batch.schema.names, *(x.split()[0] for x in new)])
 
     schema = "block long, bucket int, at long, size long, payload binary"
-    rows = df.mapInArrow(cover, schema).groupBy("bucket").applyInArrow(ranks, schema).groupBy("block").applyInArrow(gather, schema)
+    rows = df.mapInArrow(cover, schema).groupBy("bucket").applyInArrow(met, schema).groupBy("block").applyInArrow(gather, schema)
     masks = rows.groupBy("bucket").applyInArrow(compare, schema)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
-    return masks.groupBy("block").applyInArrow(remove, ", ".join([*kinds, *new]))
+    return masks.groupBy("block").applyInArrow(remove, ", ".join([common.ddl(df, df.columns), *new]))
 
 
 def repeat_digest(df: DataFrame) -> DataFrame:
