@@ -6,23 +6,22 @@ keywords, words of which every match has one. Rules run only where the text has
 texts don't have of any rule. Every match is a detection with an interval; of overlapping ones, those inside
 a longer one go, and else those of the lower priority go.
 
-The rules follow from a list of licences and a list of ways to refer to one.
+The rules are the hand-written signatures of licence texts and notices (see ``signatures``), and those that
+follow from a list of licences and a list of ways to refer to one by name.
 """
 
 from __future__ import annotations
 
-import functools
-import operator
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deckhand.llm import common, signatures
+
 #: What stands between words, before lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A text without any of these has no keyword. Searching for them is cheap; keywords themselves are looked up after.
-HINTS = ("licen", "commons", "domain", "granted", "proprietary", "redistribution", "reserved", "spdx", "wtfpl", "cc")
 #: Phrases whose every place counts, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -134,7 +133,7 @@ OTHERS = (
     ("proprietary", "all rights reserved", 70, 0.2, ("reserved",)),
     ("proprietary", "(?:confidential and proprietary|proprietary and confidential)", 50, 0.6, ("proprietary",)),
 )
-DETECTION = "array<struct<label:string,priority:int,confidence:double,base:boolean,at:int,size:int>>"
+DETECTION = "array<struct<at:int,size:int,label:string,priority:int,confidence:double,base:boolean>>"
 
 
 def rules() -> list[tuple[str, str, int, float, tuple[str, ...], bool]]:
@@ -146,6 +145,7 @@ def rules() -> list[tuple[str, str, int, float, tuple[str, ...], bool]]:
         found += [(x.label, p.replace("{n}", x.name), rank, c, x.keywords, False) for p, rank, c in own]
         found += [(x.label, p.replace("{i}", i), rank, c, (i.split()[0],), False) for i in x.ids for p, rank, c in IDENTIFIED]
     found += [(label, pattern, rank, c, words, False) for label, pattern, rank, c, words in OTHERS]
+    found += [(*x, False) for x in signatures.signatures()]
     found += [(label, phrase, 80, 0.6, (phrase.split()[0],), True) for phrase, label in BASE.items()]
     return sorted(found, key=lambda r: (r[2], r[0], r[1]))
 
@@ -168,22 +168,65 @@ def keywords() -> list[str]:
     return sorted({k for r in rules() for k in r[4]})
 
 
-#: All matches of a rule r in _joined, each after the space before it: pieces between them give their places.
-PLACES = f"""
-transform(filter(_rules, r -> _joined RLIKE r.pattern), r -> aggregate(
-    zip_with(regexp_extract_all(_joined, r.pattern, 0), slice(split(_joined, r.pattern, -1), 1, size(regexp_extract_all(_joined, r.pattern, 0))),
-             (m, before) -> struct(length(before) AS skipped, length(m) AS size)),
-    struct(0 AS at, CAST(array() AS {DETECTION}) AS found),
-    (s, x) -> struct(s.at + x.skipped + x.size AS at,
-                     concat(s.found, array(struct(r.label AS label, r.priority AS priority, r.confidence AS confidence, r.base AS base, s.at + x.skipped + 1 AS at, x.size - 1 AS size))) AS found),
-    s -> s.found))
-"""
-#: A detection goes if one that overlaps it is longer and covers it, or has the stronger priority and isn't covered by it.
-KEPT = """
-filter(_found, d -> NOT exists(_found, e -> e.at < d.at + d.size AND d.at < e.at + e.size AND (
+#: A text without any of these words has no match.
+HINTS = tuple(keywords())
+
+
+#: Entries of an array that are worked on together.
+BLOCK = 64
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for a body that uses a value by name, which is worked out once however often the body uses it. The result is copied."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _blocks(array: str, size: int) -> str:
+    """SQL for an array that isn't empty, cut into arrays of a size."""
+    return f"transform(sequence(0, (size({array}) - 1) DIV {size}), k -> slice({array}, k * {size} + 1, {size}))"
+
+
+def places() -> str:
+    """All matches of every rule in _joined, each after the space before it.
+
+    Pieces between matches give their places by running sums, first of blocks, then within each: an array
+    that grows by single entries would be copied with every one.
+    """
+    total = "aggregate({}, 0, (n, y) -> n + y.skipped + y.size)"
+    at = f"starts[b] + {total.format('slice(g, 1, i)')} + x.skipped + 1"
+    in_block = f"transform(g, (x, i) -> struct({at} AS at, x.size - 1 AS size, r.label AS label, r.priority AS priority, r.confidence AS confidence, r.base AS base))"
+    starts = f"aggregate(transform(blocks, g -> {total.format('g')}), array(0), (a, n) -> concat(a, array(element_at(a, -1) + n)))"
+    whole = _let("blocks", _blocks("gaps", BLOCK), _let("starts", starts, f"flatten(transform(blocks, (g, b) -> {in_block}))"))
+    gaps = "zip_with(m, slice(split(_joined, r.pattern, -1), 1, size(m)), (x, before) -> struct(length(before) AS skipped, length(x) AS size))"
+    return f"flatten(transform(filter(_rules, r -> _joined RLIKE r.pattern), r -> {_let('m', 'regexp_extract_all(_joined, r.pattern, 0)', _let('gaps', gaps, whole))}))"
+
+
+#: Neighbours on each side that a detection is first held against.
+NEIGHBOURS = 8
+#: A detection d goes if one, e, that overlaps it is longer and covers it, or has the stronger priority and isn't covered by it.
+BEATEN = """e.at < d.at + d.size AND d.at < e.at + e.size AND (
     (e.at <= d.at AND e.at + e.size >= d.at + d.size AND e.size > d.size)
-    OR (e.priority < d.priority AND NOT (d.at <= e.at AND d.at + d.size >= e.at + e.size AND d.size > e.size)))))
-"""
+    OR (e.priority < d.priority AND NOT (d.at <= e.at AND d.at + d.size >= e.at + e.size AND d.size > e.size)))"""
+
+
+def kept() -> str:
+    """The detections of _found that none beats, by place.
+
+    Blocks of neighbours are held against those blocks only that reach into them, and each detection against
+    its few neighbours there, if the last of them lie beyond its reach and that of the longest detection.
+    """
+    few = f"slice(near, greatest(p - {NEIGHBOURS}, 0) + 1, {2 * NEIGHBOURS + 1})"
+    before = f"(p <= {NEIGHBOURS} OR near[p - {NEIGHBOURS}].at + longest <= d.at)"
+    after = f"(p + {NEIGHBOURS} >= size(near) - 1 OR near[p + {NEIGHBOURS}].at >= d.at + d.size)"
+    beaten = f"exists(CASE WHEN {before} AND {after} THEN {few} ELSE near END, e -> {BEATEN})"
+    each = f"filter(b, (d, q) -> NOT {_let('p', 'q + before', beaten)})"
+    reach = "filter(sequence(0, size(blocks) - 1), j -> spans[j].lo < spans[i].hi AND spans[j].hi > spans[i].lo)"
+    longest = _let("longest", "array_max(transform(near, x -> x.size))", each)
+    near = _let("near", "flatten(transform(js, j -> blocks[j]))", longest)
+    of_block = _let("js", reach, _let("before", f"{BLOCK} * (array_position(js, i) - 1)", near))
+    spans = "transform(blocks, b -> struct(b[0].at AS lo, array_max(transform(b, x -> x.at + x.size)) AS hi))"
+    whole = _let("blocks", _blocks("found", BLOCK), _let("spans", spans, f"flatten(transform(blocks, (b, i) -> {of_block}))"))
+    return f"CASE WHEN size(_found) = 0 THEN _found ELSE {_let('found', 'array_sort(_found)', whole)} END"
 
 
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -191,43 +234,45 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     n_words; n_base, first_word and last_word: places of the base phrases, and the least and greatest
     word at which one starts (null if none); base_labels; labels: of the detections that are left, and
-    the base ones; score: the greatest confidence of those, 0 without any; detections. A null text is
-    empty: no words, no labels. Rows are worked on one by one, so repeated rows give equal results and
-    an empty table stays empty; columns of df with the names of new ones are replaced.
+    the base ones; score: the greatest confidence of those, 0 without any; detections, by place. A null
+    text is empty: no words, no labels. Rows are worked on one by one, so repeated rows give equal results
+    and an empty table stays empty; time grows with the text, also where all of it is licences. Columns of
+    df with the names of new ones, in any case of letters, are replaced; all others may have any name.
     """
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
-    own = [f"`{c}`" for c in df.columns if c not in new]
-    blank = F.trim(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), BETWEEN, " "))
-    words = df.select(*own, F.concat(F.lit(" "), blank, F.lit(" ")).alias("_words"))
+    own = F.struct(*(F.col(common.quoted(c)) for c in common.others(df, new))).alias("_own")
+    blank = F.trim(F.regexp_replace(F.coalesce(F.col(common.quoted(text_col)), F.lit("")), BETWEEN, " "))
+    words = df.select(own, F.concat(F.lit(" "), blank, F.lit(" ")).alias("_words"))
     spaces = F.octet_length("_words") - F.octet_length(F.replace("_words", F.lit(" "), F.lit("")))
-    counted = words.select(*own, F.when(F.col("_words") == "  ", 0).otherwise(spaces - 1).cast("long").alias("n_words"), F.lower("_words").alias("_low"), "_words")
-    hinted = functools.reduce(operator.or_, (F.col("_low").contains(h) for h in HINTS))
+    wanted = F.expr(f"array({', '.join(map(_literal, keywords()))})")
+    # This also lower-cases other letters, of which some become a-z: so a text may be looked at in vain, but none is left out.
+    hinted = F.arrays_overlap(F.split(F.lower("_words"), " "), wanted)
+    counted = words.select("_own", F.when(F.col("_words") == "  ", 0).otherwise(spaces - 1).cast("long").alias("n_words"), "_words", hinted.alias("_hinted"))
     # Only A-Z are lower-cased for the rules; this takes long, but few texts get so far.
     lower = F.translate("_words", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    joined = counted.select(*own, "n_words", F.when(hinted, lower).alias("_joined"))
-    wanted = F.expr(f"array({', '.join(map(_literal, keywords()))})")
-    keys = F.filter(wanted, lambda k: F.col("_joined").contains(F.concat(F.lit(" "), k, F.lit(" "))))
-    gated = joined.select(*own, "n_words", "_joined", F.when(F.col("_joined").isNotNull(), keys).alias("_keys"))
+    joined = counted.select("_own", "n_words", F.when(F.col("_hinted"), lower).alias("_joined"))
+    keys = F.array_intersect(F.split("_joined", " "), wanted)
+    gated = joined.select("_own", "n_words", "_joined", F.when(F.col("_joined").isNotNull(), keys).alias("_keys"))
     some = F.coalesce(F.size("_keys") > 0, F.lit(False))
     ruled = gated.select(
-        *own, "n_words",
+        "_own", "n_words",
         F.when(some, F.col("_joined")).alias("_joined"),
         F.when(some, F.array_distinct(F.flatten(F.transform("_keys", lambda k: F.element_at(rule_table(), k))))).alias("_rules"),
     )
-    found = ruled.select(*own, "n_words", "_joined", F.coalesce(F.flatten(F.expr(PLACES)), F.expr(f"CAST(array() AS {DETECTION})")).alias("_found"))
-    kept = found.select(*own, "n_words", "_joined", "_found", F.expr(KEPT).alias("detections"))
+    found = ruled.select("_own", "n_words", "_joined", F.coalesce(F.expr(places()), F.expr(f"CAST(array() AS {DETECTION})")).alias("_found"))
+    left = found.select("_own", "n_words", "_joined", "_found", F.expr(kept()).alias("_kept"))
     base = "filter(_found, d -> d.base)"
     word_at = "CAST(length(left(_joined, {0})) - length(replace(left(_joined, {0}), ' ', '')) - 1 AS LONG)"
     listed = "array_join(array_sort(array_distinct(transform({}, d -> d.label))), ',')"
-    return kept.select(
-        *own, "n_words",
+    return left.select(
+        "_own.*", "n_words",
         F.expr(f"CAST(size({base}) AS LONG) AS n_base"),
         F.expr(word_at.format(f"array_min(transform({base}, d -> d.at))") + " AS first_word"),
         F.expr(word_at.format(f"array_max(transform({base}, d -> d.at))") + " AS last_word"),
         F.expr(listed.format(base) + " AS base_labels"),
-        F.expr(listed.format(f"concat(detections, {base})") + " AS labels"),
-        F.expr("coalesce(array_max(transform(detections, d -> d.confidence)), 0D) AS score"),
-        "detections",
+        F.expr(listed.format(f"concat(_kept, {base})") + " AS labels"),
+        F.expr("coalesce(array_max(transform(_kept, d -> d.confidence)), 0D) AS score"),
+        F.col("_kept").alias("detections"),
     )
 
 
