@@ -1,7 +1,11 @@
-"""A page's elements and text, read leniently.
+"""A page's elements and text, read leniently and in time that grows with the page.
 
-Tags are found by one pattern; whatever isn't a tag is text. Paragraphs, list items, cells and options
-end where the next begins, an unknown end tag is ignored, and an inline end tag never closes a block.
+Tags are found from one < to the next; whatever isn't a tag is text. Paragraphs, list items, cells and
+options end where the next begins, an unknown end tag is ignored, and an inline end tag never closes a
+block. Scripts, styles and the head's title hold no elements and no text of the page. In a drawing only
+its text elements and foreign objects show text. The content of all other elements is read like any other.
+
+A quote that never ends is an ordinary character. A tag that never ends takes the rest of the page.
 """
 
 from __future__ import annotations
@@ -11,9 +15,11 @@ import re
 
 #: Fixed values of the language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select".split())
-#: Of these, the ones that a / at the end of the tag completes.
-FOREIGN = frozenset(("svg", "math"))
+RAW = frozenset("script style title".split())
+#: These and what lies in them are completed by a / at the end of the tag; a title there isn't the head's.
+FOREIGN = ("svg", "math")
+#: What shows text in a drawing.
+DRAWN = ("text", "foreignobject")
 #: There the / is the end of a value without quotes.
 IN_VALUE = re.compile(r"""=\s*[^\s"'>]*/\Z""")
 BLOCKS = frozenset(
@@ -31,10 +37,48 @@ ENDS = {
     "tbody": (("tbody", "thead", "tr", "td", "th"), ("table",)),
     "body": (("head",), ()),
 }
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile("[>\"']")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-label|style|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+class _Ends:
+    """Where tags end: behind the next > outside quotes. What one search finds, later ones use."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {c: source.rfind(c) for c in "\"'"}
+        #: The next special character for all places between two, and the end of a tag by its first one.
+        self.lo = self.hi = -1
+        self.known: dict[int, int] = {}
+
+    def special(self, at: int) -> int:
+        if not self.lo <= at <= self.hi:
+            m = SPECIAL.search(self.source, at)
+            self.lo, self.hi = at, m.start() if m else len(self.source)
+        return self.hi
+
+    def of(self, at: int) -> int:
+        n, passed = len(self.source), []
+        end = None
+        q = self.special(at)
+        while end is None:
+            if q >= n:
+                end = n
+            elif q in self.known:
+                end = self.known[q]
+            elif self.source[q] == ">":
+                end = q + 1
+            else:
+                passed.append(q)
+                c = self.source[q]
+                m = SPECIAL.search(self.source, self.source.index(c, q + 1) + 1 if q < self.last[c] else q + 1)
+                q = m.start() if m else n
+        self.known.update(dict.fromkeys(passed, end))
+        return end
+
+
 class Page:
     """Elements in page order (tags, parents, names from attributes, inline or not) and runs of text.
 
@@ -44,66 +88,95 @@ class Page:
     def __init__(self, source: str):
         self.tags, self.parents, self.names, self.runs = ["#"], [-1], [""], []
         self.block = 0
-        stack, at = [0], 0
-        while at < len(source):
-            m = TAG.search(source, at)
-            if m is None:
-                self._text(stack[-1], source[at:])
-                break
-            if m.start() > at:
-                self._text(stack[-1], source[at : m.start()])
-            at = m.end()
-            if not m[2]:
-                continue
-            tag = m[2].lower()
-            if m[1]:
-                self._end(stack, tag)
-            elif tag in RAW:
-                self._start(stack, tag, m[3])
-                stack.pop()
-                if not (tag in FOREIGN and m[3].endswith("/") and not IN_VALUE.search(m[3])):
-                    at = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at).end()
-            elif tag in VOID:
-                if tag in ("br", "wbr", "img"):
-                    self.runs.append((stack[-1], self.block, " " if tag == "br" else ""))
-                elif tag == "hr":
-                    self.block += 1
+        #: Open elements; for each tag, and for all blocks, their places on that stack.
+        self._stack, self._places, self._blocks = [0], {}, []
+        ends, at, n, text = _Ends(source), 0, len(source), 0
+        while (k := source.find("<", at)) >= 0:
+            if source.startswith("<!--", k):
+                at = source.find("-->", k + 4)
+                at = n if at < 0 else at + 3
+                self._text(source, text, k)
+            elif source.startswith(("<!", "<?"), k):
+                at = source.find(">", k)
+                at = n if at < 0 else at + 1
+                self._text(source, text, k)
+            elif m := NAME.match(source, k + 1):
+                self._text(source, text, k)
+                at = self._tag(source, m, ends.of(m.end()))
             else:
-                self._start(stack, tag, m[3])
+                at = k + 1
+                continue
+            text = at
+        self._text(source, text, n)
+
+    def _tag(self, source: str, m: re.Match, end: int) -> int:
+        """Takes a tag and returns where to go on."""
+        tag = m[2].lower()
+        if m[1]:
+            self._end(tag)
+            return end
+        attributes = source[m.end() : end].removesuffix(">")
+        if tag in VOID:
+            if tag in ("br", "wbr", "img"):
+                self.runs.append((self._stack[-1], self.block, " " if tag == "br" else ""))
+            elif tag == "hr":
+                self.block += 1
+            return end
+        self._start(tag, attributes)
+        foreign = self._last(FOREIGN) > 0
+        if tag in RAW and not (tag == "title" and foreign):
+            self._cut(len(self._stack) - 1)
+            found = RAW_END[tag].search(source, end)
+            return found.end() if found else len(source)
+        if foreign and attributes.endswith("/") and not IN_VALUE.search(attributes[-1000:]):
+            self._cut(len(self._stack) - 1)
+        return end
 
-    def _text(self, element: int, text: str) -> None:
-        self.runs.append((element, self.block, html.unescape(text) if "&" in text else text))
+    def _text(self, source: str, lo: int, hi: int) -> None:
+        if lo < hi and self._last(("svg",)) <= self._last(DRAWN):
+            text = source[lo:hi]
+            self.runs.append((self._stack[-1], self.block, html.unescape(text) if "&" in text else text))
 
-    def _start(self, stack: list[int], tag: str, attributes: str) -> None:
+    def _start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
             self.block += 1
             if "p" not in (ended := ENDS.get(tag, ((), ()))[0]):
-                self._close(stack, ("p",), ("table", "td", "button"))
+                self._close(("p",), ("table", "td", "button"))
             if ended:
-                self._close(stack, ended, ENDS[tag][1])
+                self._close(ended, ENDS[tag][1])
+            self._blocks.append(len(self._stack))
+        self._places.setdefault(tag, []).append(len(self._stack))
         self.tags.append(tag)
-        self.parents.append(stack[-1])
+        self.parents.append(self._stack[-1])
         self.names.append(" ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)).lower() if attributes.strip() else "")
-        stack.append(len(self.tags) - 1)
-
-    def _close(self, stack: list[int], tags: tuple, fence: tuple) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[k]] in tags:
-                del stack[k:]
-                return
-            if self.tags[stack[k]] in fence:
-                return
-
-    def _end(self, stack: list[int], tag: str) -> None:
-        block = tag in BLOCKS
-        self.block += block
-        for k in range(len(stack) - 1, 0, -1):
-            open_ = self.tags[stack[k]]
-            if open_ == tag:
-                del stack[k:]
-                return
-            if not block and open_ in BLOCKS:
-                return
+        self._stack.append(len(self.tags) - 1)
+
+    def _cut(self, place: int) -> None:
+        """Ends the open elements from a place of the stack on."""
+        for element in reversed(self._stack[place:]):
+            tag = self.tags[element]
+            self._places[tag].pop()
+            if tag in BLOCKS:
+                self._blocks.pop()
+        del self._stack[place:]
+
+    def _last(self, tags: tuple) -> int:
+        """The highest place of an open element of these tags, or 0."""
+        return max((p[-1] for t in tags if (p := self._places.get(t))), default=0)
+
+    def _close(self, tags: tuple, fence: tuple) -> None:
+        place = self._last(tags)
+        if place > self._last(fence):
+            self._cut(place)
+
+    def _end(self, tag: str) -> None:
+        place = self._last((tag,))
+        if tag in BLOCKS:
+            self.block += 1
+        elif self._blocks and self._blocks[-1] > place:
+            return
+        if place:
+            self._cut(place)
 
     def lines(self, keep) -> list[str]:
         """The text of blocks, of the runs whose element is kept; white space becomes one space."""

@@ -11,6 +11,7 @@ The potentials are trained on made-up pages whose main text is known, by the exa
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from deckhand.llm import common
 from deckhand.llm.dom import BLOCKS, Page
 from deckhand.llm.pages import MARK, Maker
 
 #: Made-up pages on which the model is trained, and the seed of the first.
 TRAINING_PAGES, SEED, STEPS = 700, 1000, 150
-BATCH = 200
+#: Pages of about so many bytes are worked on together.
+BATCH_BYTES = 1 << 19
 
 KINDS = ["p", "h1", "h2", "h3 h4 h5 h6", "div", "section", "article", "main", "nav menu", "header", "footer", "aside", "ul ol dl", "li dt dd", "a", "form button label input fieldset select textarea option", "table tbody thead tr td th", "blockquote pre", "figure figcaption", "body html #", "b i em strong u span small code"]
 KIND = {tag: k for k, tags in enumerate(KINDS) for tag in tags.split()}
@@ -45,11 +48,15 @@ class Model:
     pairs: np.ndarray
 
 
-@functools.lru_cache(maxsize=100_000)
-def _named(name: str) -> tuple[int, ...]:
+@functools.lru_cache(maxsize=20_000)
+def _remembered(name: str) -> tuple[int, ...]:
     return tuple(k for k, p in enumerate(NAMED) if p.search(name))
 
 
+def _named(name: str) -> tuple[int, ...]:
+    return _remembered(name) if len(name) < 200 else _remembered.__wrapped__(name)
+
+
 def features(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One row an element; parents; kinds of children. Text counts for an element and for all above it."""
     n = len(page.tags)
@@ -85,6 +92,10 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, np.array(page.parents), np.array([CHILD.get(k, 3) for k in kinds])
 
 
+def _log_sum(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
 class Forest:
     """Trees of several pages, with their elements by depth."""
 
@@ -101,16 +112,30 @@ class Forest:
         cuts = np.searchsorted(depth[order], np.arange(1, depth.max() + 2))
         self.levels = np.split(order, cuts)[1:-1]
 
+    def _pair(self, model: Model, k: int) -> list[list[float]]:
+        return model.pairs[self.child[k]].tolist()
+
     def marginals(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of content for each element; of pairs for each element and its parent; log of the sums at the roots."""
         up = np.column_stack([np.zeros(len(self.x)), self.x @ model.weights])
         message = np.zeros_like(up)
         for level in reversed(self.levels):
+            if len(level) == 1:  # a long chain is quicker number by number
+                k, p = level[0], self.parents[level[0]]
+                message[k] = [_log_sum(a + up[k, 0], b + up[k, 1]) for a, b in self._pair(model, k)]
+                up[p] += message[k]
+                continue
             message[level] = np.logaddexp.reduce(model.pairs[self.child[level]] + up[level][:, None, :], axis=2)
             np.add.at(up, self.parents[level], message[level])
         down = up.copy()
         pairs = np.zeros((len(self.x), 2, 2))
         for level in self.levels:
+            if len(level) == 1:
+                k, p = level[0], self.parents[level[0]]
+                joint = [[down[p, y] - message[k, y] + a + up[k, 0], down[p, y] - message[k, y] + b + up[k, 1]] for y, (a, b) in enumerate(self._pair(model, k))]
+                down[k] = _log_sum(joint[0][0], joint[1][0]), _log_sum(joint[0][1], joint[1][1])
+                pairs[k] = np.array(joint) - _log_sum(down[k, 0], down[k, 1])
+                continue
             outside = down[self.parents[level]] - message[level]
             joint = outside[:, :, None] + model.pairs[self.child[level]] + up[level][:, None, :]
             down[level] = np.logaddexp.reduce(joint, axis=1)
@@ -165,21 +190,22 @@ def extract(df: DataFrame, html_col: str = "html", text_col: str = "text", model
     """Adds each page's main text and keeps all other columns; one of that name is replaced.
 
     A null or empty page, or one without main text, gives an empty text. Rows are worked on one by one,
-    so repeated rows get equal texts, and an empty table stays empty. Pages may be of any length.
+    so repeated rows get equal texts, and an empty table stays empty. Pages may be of any length and depth:
+    time and memory grow with the page. A column that differs from the new one by case only is replaced too.
     """
     model = model or trained()
-    own = [c for c in df.columns if c != text_col]
+    own = common.others(df, [text_col])
     at = own.index(html_col)
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(lo, BATCH)
+            for lo, hi in common.slices(common.text_bytes(whole.column(at))[1], BATCH_BYTES):
+                batch = whole.slice(lo, hi - lo)
                 found = main_texts([s or "" for s in batch.column(at).to_pylist()], model)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*own, text_col])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*own).schema)
-    return df.select(*own).mapInArrow(run, f"{kinds}, `{text_col}` string")
+    return df.select(*map(common.quoted, own)).mapInArrow(run, f"{common.ddl(df, own)}, {common.quoted(text_col)} string")
 
 
 def page_digest(df: DataFrame) -> DataFrame:
