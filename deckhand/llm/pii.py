@@ -16,12 +16,16 @@ Names in mail addresses and secrets have no such order; they get letters of a ke
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckhand.llm import common
+
 ROUNDS = 8
-#: A key for tests and examples; a corpus gets one of its own.
-KEY = "deckhand"
+#: The setting that holds the key of a corpus. Its name has "secret" in it, so that Spark redacts it where it lists settings.
+KEY_SETTING = "spark.deckhand.pii.secret"
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 FORMATS = {
@@ -258,22 +262,39 @@ def pseudonyms(key: str, pieces: Column) -> Column:
     return F.transform(x, lambda x: F.struct(x["kind"].alias("kind"), new(x).alias("new")))
 
 
-def pseudonymize(df: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's settings. A session without one gets one at random, which holds as long as it does.
+
+    With a key that nobody knows pseudonyms can't be undone, and they are equal within the session only; to
+    link values across sessions, or to undo pseudonyms, set a key and keep it.
+    """
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, found)
+    return found
+
+
+def pseudonymize(df: DataFrame, key: str | None = None, text_col: str = "text") -> DataFrame:
     """df with personal data in its text replaced, and pii_kinds: the kinds of what was replaced, in order.
 
-    A null text stays null and has no kinds; a text without personal data stays as it is, byte for
-    byte. Rows are worked on one by one, so repeated rows, ties, empty tables and very long texts need
-    nothing special; other columns stay, and one named pii_kinds is replaced.
+    Without a key the session's is taken. A null text stays null and has no kinds; a text without personal
+    data stays as it is, byte for byte. Rows are worked on one by one, so repeated rows, ties, empty tables
+    and very long texts need nothing special; other columns stay, and one named pii_kinds, in any case of
+    letters, is replaced.
     """
-    text = F.col(f"`{text_col}`")
+    key = key or session_key(df.sparkSession)
+    text = F.col(common.quoted(text_col))
+    text_name, found_name = common.fresh(df, "_text", "_found")
     hit = text.rlike(HINT)
     nothing = F.expr("CAST(array() AS array<struct<kind:string,new:string>>)")
     found = F.when(hit, pseudonyms(key, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).otherwise(nothing)
-    between = F.split(F.col("_text"), ANY, -1)
-    joined = F.concat(between[0], F.array_join(F.zip_with(F.col("_found.new"), F.slice(between, 2, F.greatest(F.size("_found"), F.lit(1))), lambda n, b: F.concat(n, b)), ""))
-    kinds = F.filter(F.col("_found.kind"), lambda k: k.isNotNull())
-    columns = [F.col(f"`{c}`") if c != text_col else F.when(F.size("_found") > 0, joined).otherwise(F.col("_text")).alias(c) for c in df.columns if c != "pii_kinds"]
-    return df.withColumns({"_text": text, "_found": found}).select(*columns, kinds.alias("pii_kinds"))
+    between = F.split(F.col(text_name), ANY, -1)
+    joined = F.concat(between[0], F.array_join(F.zip_with(F.col(f"{found_name}.new"), F.slice(between, 2, F.greatest(F.size(found_name), F.lit(1))), lambda n, b: F.concat(n, b)), ""))
+    kinds = F.filter(F.col(f"{found_name}.kind"), lambda k: k.isNotNull())
+    replaced = F.when(F.size(found_name) > 0, joined).otherwise(F.col(text_name))
+    columns = [F.col(common.quoted(c)) if c != text_col else replaced.alias(c) for c in common.others(df, ["pii_kinds"])]
+    return df.withColumns({text_name: text, found_name: found}).select(*columns, kinds.alias("pii_kinds"))
 
 
 def pii_digest(df: DataFrame) -> DataFrame:
