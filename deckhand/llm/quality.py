@@ -19,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deckhand.llm import common
+
 SYMBOLS = b"#*$%&|<>"
 UPPER, DIGITS, STOPS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:"
 N_FEATURES = 12
 #: Documents on which the field is fitted, at most.
 SAMPLE = 1500
+#: Bytes of text that are worked on at a time.
+SLICE_BYTES = 1 << 20
 #: A document stays if this share of its words is in content lines.
 CONTENT_SHARE = 0.5
 
@@ -191,10 +195,16 @@ COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fits the field on the ``sample`` labelled documents whose ids have the smallest hashes."""
+    """Fits the field on the ``sample`` labelled documents whose ids have the smallest hashes.
+
+    Labels without an id or a quality don't count; an id with several labels has the least of them, and one
+    with several texts the least of those, so that the sample is the same each time. Labels of documents
+    that aren't there, and empty tables, leave fewer documents or none; see fit().
+    """
     picked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = F.broadcast(picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most ``sample`` rows
-    rows = documents.join(picked, "doc_id").select("doc_id", "text", "quality").limit(2 * sample).collect()
+    found = documents.select("doc_id", "text").join(picked, "doc_id")
+    rows = found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()  # at most ``sample`` rows
     rows = sorted((r.doc_id, r.text or "", r.quality) for r in rows)
     return fit([t.encode() for _, t, _ in rows], [q > 0 for *_, q in rows])
 
@@ -202,17 +212,19 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fiel
 def assess(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """Adds the rules' counts and the verdict to every row, and keeps all its columns.
 
-    A null text counts as empty: no words, so the rules fail it. Repeated rows get equal verdicts; an
-    empty table stays empty; columns of df with the names of new ones are replaced.
+    A null text counts as empty: no words, so the rules fail it. Texts of any length are read whole, some
+    megabytes at a time. Repeated rows get equal verdicts; an empty table stays empty; columns of df with the
+    names of new ones, in any case of letters, are replaced.
     """
     added = [c.split()[0] for c in COLUMNS.split(", ")]
-    own = [c for c in df.columns if c not in added]
+    own = common.others(df, added)
     at = own.index(text_col)
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
+            for lo, hi in common.slices(common.text_bytes(whole.column(at))[1], SLICE_BYTES):
+                batch = whole.slice(lo, hi - lo)
                 found = [describe((t or "").encode()) for t in batch.column(at).to_pylist()]
                 lengths = np.array([len(f[5][0]) for f in found], np.int64)
                 lines = np.concatenate([line_features(*f[5]) for f in found] or [np.zeros((0, N_FEATURES))])
@@ -226,8 +238,7 @@ def assess(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
                 new += [pa.array(failed), pa.array(~failed & (share >= CONTENT_SHARE)), pa.array(share)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*own, *added])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*own).schema)
-    return df.select(*own).mapInArrow(run, f"{kinds}, {COLUMNS}")
+    return df.select(*map(common.quoted, own)).mapInArrow(run, f"{common.ddl(df, own)}, {COLUMNS}")
 
 
 def quality_digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
