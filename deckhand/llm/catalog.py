@@ -29,6 +29,11 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data, whole conversations, of which only the assistant's turns bear loss."""
+    return packing.pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_dom_sum_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.page_digest(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -53,4 +58,4 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_media_archive, op3_signature_rules, op4_vector_packing, op5_dom_sum_product, op6_bucketed_suffixes, op7_line_labelling, op8_word_bpe, op9_multi_index_hamming, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_media_archive, op3_signature_rules, op4_vector_packing, op5_dom_sum_product, op6_bucketed_suffixes, op7_line_labelling, op8_word_bpe, op9_multi_index_hamming, op10_token_records, packed_conversations)}

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from deckhand.llm import vocab
+from deckhand.llm import common, vocab
 
 #: Fixed value: the id that ends each document.
 END_ID = 2
@@ -125,7 +126,7 @@ def pack_examples(df: DataFrame, id_col: str, tokens_col: str, loss_col: str, li
     ids = df.schema[id_col].dataType
     kind = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[{"bigint": "long"}.get(ids.simpleString(), ids.simpleString())]
     schema = pa.schema([("example_id", kind), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tokens", pa.int64()), ("loss_tokens", pa.int64())])
-    picked = df.selectExpr(f"`{id_col}` AS i", f"CAST(`{tokens_col}` AS LONG) AS t", f"CAST(`{loss_col}` AS LONG) AS s")
+    picked = df.select(F.col(common.quoted(id_col)).alias("i"), F.col(common.quoted(tokens_col)).cast("long").alias("t"), F.col(common.quoted(loss_col)).cast("long").alias("s"))
     return picked.mapInArrow(run, f"example_id {ids.simpleString()}, sequence_id long, offset long, tokens long, loss_tokens long")
 
 
@@ -152,7 +153,7 @@ PIECES = pa.schema(
 )
 
 
-def pack_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limits: Limits = Limits()) -> DataFrame:
+def pack_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limits: Limits = Limits(), with_ids: bool = True) -> DataFrame:
     """Encodes every document, ends it with an id, and packs all ids into sequences; documents may be cut.
 
     One row a piece: doc_id, start (in its document), length, ids_crc32, doc_tokens, sequence_id,
@@ -160,7 +161,8 @@ def pack_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     fill sequences by themselves; the remainders are packed, so that all sequences but the last few of
     a window are full and those are as long as a power of two. A null text is empty and has the end id
     alone; a null id stays null; repeated rows are packed each; an empty table gives no rows; other
-    columns are ignored. All tokens of a document bear loss.
+    columns are ignored. A document's first token bears no loss, as nothing of it comes before. ``ids``
+    is left out on demand, which spares its transfer.
     """
     tokenizer = tokenizer or vocab.default_path("word_bpe_49k.json")
     size = min(limits.tokens, limits.loss_tokens)
@@ -173,6 +175,7 @@ def pack_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
                 packed = encode(text.as_py() or "") + end
                 yield doc_id, len(packed) // 2, packed
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, sequence = TaskContext.get().partitionId(), 0
         for docs in _windows(encoded(batches), limits):
@@ -180,24 +183,55 @@ def pack_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
             bins = [[(e, s, size)] for e, d in enumerate(docs) for s in range(0, d[1] - size + 1, size)]
             rest = [(e, d[1] % size) for e, d in enumerate(docs) if d[1] % size]
             lengths = np.array([n for _, n in rest], np.int64)
-            for b in place(lengths, lengths, limits, cut=True):
+            loss = lengths - np.array([docs[e][1] == n for e, n in rest], np.int64)
+            for b in place(lengths, loss, limits, cut=True):
                 bins.append([(rest[k][0], docs[rest[k][0]][1] - rest[k][1] + s, n) for k, s, n in b])
             for b in bins:
                 at = 0
                 for e, s, n in b:
                     doc_id, total, packed = docs[e]
                     ids = np.frombuffer(packed, "<u2", n, 2 * s).astype("<u4").tobytes()
-                    out.append((doc_id, s, n, zlib.crc32(ids), total, pid << 32 | sequence, at, ids))
+                    out.append((doc_id, s, n, zlib.crc32(ids), total, pid << 32 | sequence, at, ids)[:width])
                     at += n
                 sequence += 1
                 if len(out) >= 1024:
-                    yield _batch(out, PIECES)
+                    yield _batch(out, pieces)
                     out = []
-            yield _batch(out, PIECES)
+            yield _batch(out, pieces)
+        vocab.forget()
 
-    docs = df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
-    return docs.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    width = len(PIECES) if with_ids else len(PIECES) - 1
+    pieces = pa.schema(list(PIECES)[:width])
+    docs = df.select(F.col(common.quoted(id_col)).cast("long").alias("id"), F.col(common.quoted(text_col)).alias("text"))
+    return docs.mapInArrow(run, ", ".join(f"{f.name} {'binary' if f.name == 'ids' else 'long'}" for f in pieces))
 
 
 def pack_documents(df: DataFrame) -> DataFrame:
-    return pack_tokens(df).drop("ids")
+    return pack_tokens(df, with_ids=False)
+
+
+def conversation_lengths(turns: DataFrame, conv_col: str = "conv_id", role_col: str = "role", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """conv_id, tokens, loss_tokens of every conversation: each turn's ids and its end id, of which those of the assistant bear loss.
+
+    A null text is empty and has the end id alone; a turn without a role bears no loss; repeated turns count
+    each; turns without a conversation make up one without an id. Turns are encoded where they are, and only
+    their sums are shuffled, so that a long conversation is no hot key.
+    """
+    tokenizer = tokenizer or vocab.default_path("word_bpe_49k.json")
+
+    @common.frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = vocab.encoder(tokenizer, False).packed
+        for batch in batches:
+            sizes = pa.array([len(encode(t.as_py() or "")) // 2 + 1 for t in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes], ["conv_id", "role", "tokens"])
+        vocab.forget()
+
+    picked = turns.select(F.col(common.quoted(conv_col)).alias("conv_id"), F.col(common.quoted(role_col)).alias("role"), F.col(common.quoted(text_col)).alias("text"))
+    sized = picked.mapInArrow(run, f"{common.ddl(picked, ['conv_id', 'role'])}, tokens long")
+    return sized.groupBy("conv_id").agg(F.sum("tokens").alias("tokens"), F.coalesce(F.sum(F.when(F.col("role") == "assistant", F.col("tokens"))), F.lit(0)).alias("loss_tokens"))
+
+
+def pack_conversations(turns: DataFrame, limits: Limits = Limits(segments=64, loss_tokens=2048)) -> DataFrame:
+    """Instruction data: whole conversations placed under limits on tokens, on conversations and on the assistant's tokens of a sequence."""
+    return pack_examples(conversation_lengths(turns), "conv_id", "tokens", "loss_tokens", limits).withColumnRenamed("example_id", "conv_id")

@@ -20,8 +20,8 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Pieces in one of the two generations that a worker keeps, about 80 MB each.
-CACHE_PIECES = 500_000
+#: Pieces in one of the two generations that a worker keeps, about 30 MB each.
+CACHE_PIECES = 200_000
 #: Pieces of these characters, on whose classes, case and form all libraries agree, are split here.
 PLAIN = re.compile("[\\n!-~\u00a1-\u012f\u0131-\u024f]+")
 #: The patterns in the two kinds of tokenizer files.
@@ -119,6 +119,9 @@ def merges(path: str) -> tuple[tiktoken.Encoding, bytes]:
     return tiktoken.Encoding("merges", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}), b"\xff" if suffix else b""
 
 
+_encoders: dict[tuple[str, bool], "Encoder"] = {}
+
+
 class Encoder:
     """Encodes whole texts to packed 16-bit ids, as the tokenizers library does without special tokens."""
 
@@ -131,6 +134,11 @@ class Encoder:
         self.first = _Pieces(tokenizer, merge, "", not keeps_space, end)
         self.rest = _Pieces(tokenizer, merge, " ", False, end) if keeps_space else self.first
 
+    def forget(self) -> None:
+        for pieces in (self.first, self.rest):
+            pieces.clear()
+            pieces.old = {}
+
     def packed(self, text: str) -> bytes:
         """A space before a visible character always starts a new token, or is dropped by the tokenizer."""
         head, space, tail = text.partition(" ")
@@ -143,7 +151,14 @@ class Encoder:
             return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
 
 
+def forget() -> None:
+    """Empties the caches of this worker's encoders; a task does so when it ends, as other stages need the room."""
+    for e in _encoders.values():
+        e.forget()
+
+
 @functools.cache
 def encoder(path: str, keeps_space: bool) -> Encoder:
     """One encoder for each worker process. keeps_space: whether tokens carry the space before a word."""
-    return Encoder(path, keeps_space)
+    found = _encoders[path, keeps_space] = Encoder(path, keeps_space)
+    return found
