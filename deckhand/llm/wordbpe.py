@@ -11,8 +11,9 @@ Encoding takes three steps.
 3. The ids of a block's words come together with its sequence, and documents are put together again
    by position.
 
-A "word" is a match of the pattern; a run of unusual characters stays one word here and is split by the
-encoder itself. Tasks write under names of their own and rename, and repeat identically, so lost
+A "word" is a match of the pattern, in any script. Characters that this module's patterns and the encoder's
+class differently, such as those of a newer Unicode, are found by asking both for all characters; a run with
+one of them stays one word here and is split by the encoder itself. Tasks write under names of their own and rename, and repeat identically, so lost
 executors do no harm. The input must be a table or another input that is read alike each time.
 """
 
@@ -31,13 +32,14 @@ import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from deckhand.llm import common, vocab
 from deckhand.llm.common import packed, ragged, unpacked, unzipped, zipped
 
 BLOCK_BYTES = 6 << 20
-#: Distinct words that a bucket's task remembers at a time.
-REMEMBERED = 1_000_000
+#: Bytes of input, as Spark estimates them, for which there is a bucket at least: so few enough words share one.
+BUCKET_BYTES = 32 << 20
 
 
 @functools.cache
@@ -46,8 +48,26 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=vocab.SPACED, mergeable_ranks=ranks, special_tokens={})
 
 
-def explode(block: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words, the sequence of their indices through all texts, and each text's number of words."""
+@functools.cache
+def unlike() -> str:
+    """Characters that the two pattern libraries class differently."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    found: set[str] = set()
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        theirs = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        theirs, ours = set(bytes(theirs.encode_ordinary(every)).decode()), set(regex.findall(kind, every))
+        found |= theirs ^ ours
+        if kind == r"\s" and not all(c.isspace() for c in theirs):
+            raise ValueError("the encoder has white space that isn't any here")
+    return "".join(sorted(found))
+
+
+def explode(block: list[str], apart: str = "") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, the sequence of their indices through all texts, and each text's number of words.
+
+    Pieces with a character of ``apart`` are left whole.
+    """
+    odd = re.compile(f"[{re.escape(apart)}]") if apart else re.compile(r"(?!)")
     pattern, seen, order, pieces = regex.compile(vocab.SPACED), {}, [], []
     for text in block:
         head, *tail = text.split(" ")
@@ -60,10 +80,10 @@ def explode(block: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     flat, lengths = [], []
     for key in seen:
         piece, spaced = (key[0], key[0]) if isinstance(key, tuple) else (key, " " + key)
-        if vocab.PLAIN.fullmatch(piece):
+        if piece.isascii() or not odd.search(piece):
             found = [spaced] if piece.isalpha() else pattern.findall(spaced)
         else:
-            found = [spaced] if spaced else []
+            found = [spaced]
         flat += [words.setdefault(w, len(words)) for w in found]
         lengths.append(len(found))
     lengths, order = np.array(lengths, np.int64), np.array(order, np.int64)
@@ -80,9 +100,10 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other columns are ignored; an empty table gives no rows.
     """
     spark = df.sparkSession
-    ranks = ranks or vocab.default_path("byte_bpe_multi_50k.tiktoken")
-    buckets, path = common.shuffle_partitions(spark), common.scratch(spark, "positions")
+    ranks, apart = ranks or vocab.default_path("byte_bpe_multi_50k.tiktoken"), unlike()
+    buckets, path = max(common.shuffle_partitions(spark), common.input_bytes(df) // BUCKET_BYTES), common.scratch(spark, "positions")
 
+    @common.frugal
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = common.open_fs(path)
         pid = TaskContext.get().partitionId()
@@ -91,7 +112,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             _, offsets = common.text_bytes(batch.column(1))
             for lo, hi in common.slices(offsets, BLOCK_BYTES):
                 ids = batch.column(0)[lo:hi]
-                words, sequence, counts = explode(common.texts(batch.column(1)[lo:hi]))
+                words, sequence, counts = explode(common.texts(batch.column(1)[lo:hi]), apart)
                 # The frequent words get the small ranks, so that the high bytes of a sequence are nearly all 0.
                 by_rank = np.argsort(-np.bincount(sequence, minlength=len(words)), kind="stable")
                 rank = np.empty(len(words), np.int64)
@@ -123,6 +144,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             f.close()
             common.publish(fs, own, name)
 
+    @common.frugal
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
         merge = encoding(ranks).encode_ordinary
@@ -140,13 +162,12 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     start += n
                     ids = known.get(word)
                     if ids is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
                         ids = known[word] = np.array(merge(word.decode()), "<u2").tobytes()
                     got.append(ids)
                 out.append(packed(own_words, zipped(np.array(list(map(len, got)), "<u4")), b"".join(got)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "at", "size")), pa.array(out, pa.binary())], ["block", "at", "size", "ids"])
 
+    @common.frugal_group
     def join(key: tuple, table: pa.Table) -> pa.Table:
         fs, root = common.open_fs(path)
         (at, size) = next((a, s) for a, s in zip(table.column("at").to_pylist(), table.column("size").to_pylist()) if a is not None)
@@ -171,7 +192,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             }
         )
 
-    docs = df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"`{text_col}` AS text")
+    docs = df.select(F.col(common.quoted(id_col)).cast("long").alias("id"), F.col(common.quoted(text_col)).alias("text"))
     words = docs.mapInArrow(split, "block long, bucket int, at long, size long, words binary").repartition(buckets, "bucket")
     return words.mapInArrow(encode, "block long, at long, size long, ids binary").groupBy("block").applyInArrow(join, "doc_id long, ids binary")
 
@@ -192,9 +213,13 @@ def decoded(ids: bytes, path: str) -> bytes:
 
 
 def decode_documents(df: DataFrame, ranks: str | None = None) -> DataFrame:
-    """Adds the bytes of each row's ids: doc_id, ids, decoded. Null ids decode to nothing."""
+    """Adds the bytes of each row's ids: doc_id, ids, decoded. Null ids decode to nothing.
+
+    Ids are joined with the token-byte table, which every task holds whole: its size is the vocabulary's.
+    """
     ranks = ranks or vocab.default_path("byte_bpe_multi_50k.tiktoken")
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [x or b"" for x in batch.column(1).to_pylist()]
