@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from deckhand.llm import common, vocab
 
@@ -35,6 +36,8 @@ MASK_DELTA = 0xA282EAD8
 END_ID = 0
 #: Bytes of a data file that one reading task takes.
 READ_BYTES = 32 << 20
+#: Characters of a text that order rows with the same id.
+HEAD = 16
 
 
 def masked_crc(data: bytes) -> int:
@@ -63,17 +66,20 @@ def unframe(data: bytes | memoryview, at: int) -> tuple[int | None, np.ndarray]:
 def write_records(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Writes every row's ids below ``path`` in ascending order of id and returns the manifest.
 
-    Rows are range-partitioned by id, so file k holds smaller ids than file k + 1 and no task sees
-    more than its share. A null id sorts first; rows that repeat an id are ordered by their text; a
-    null text counts as empty and has the end id alone. Other columns are ignored. An empty table
+    Rows are range-partitioned by id, so file k holds no larger ids than file k + 1. A null id sorts
+    first; rows that repeat an id, or have none, are ordered by the first characters of their text and by
+    its hash, by which they are parted too, so that no id makes a task larger than its share. A null text
+    counts as empty and has the end id alone. Other columns are ignored. An empty table
     gives no files. A task writes under a name of its own and renames at the end, so repeated or
     speculative attempts do no harm. Manifest, one row a file: file, records, ids, bytes.
     """
     spark = df.sparkSession
     tokenizer = tokenizer or vocab.default_path("byte_bpe_50k.json")
-    docs = df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
+    docs = df.select(F.col(common.quoted(id_col)).cast("long").alias("id"), F.col(common.quoted(text_col)).alias("text"))
+    docs = docs.withColumns({"head": F.coalesce(F.left("text", F.lit(HEAD)), F.lit("")), "hash": F.xxhash64("text")})
     parts = max(common.shuffle_partitions(spark), common.input_bytes(df) >> 26)
 
+    @common.frugal
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = common.open_fs(path)
         name = f"{root}/records-{TaskContext.get().partitionId():07d}"
@@ -90,6 +96,7 @@ def write_records(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 data.write(framed)
                 index.append((at, len(packed) // 2))
                 at, records, ids = at + len(framed), records + 1, ids + len(packed) // 2
+        vocab.forget()
         if data is not None:
             data.close()
             with fs.open_output_stream(f"{name}.index{own}") as f:
@@ -98,8 +105,8 @@ def write_records(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             common.publish(fs, name + own, f"{name}.data")
             yield pa.RecordBatch.from_pydict({"file": [f"{path}/{name.rpartition('/')[2]}"], "records": [records], "ids": [ids], "bytes": [at]})
 
-    ordered = docs.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    manifest = ordered.mapInArrow(write, "file string, records long, ids long, bytes long")
+    ordered = docs.repartitionByRange(parts, "id", "head", "hash").sortWithinPartitions("id", "head", "hash")
+    manifest = ordered.select("id", "text").mapInArrow(write, "file string, records long, ids long, bytes long")
     # One row a file; the files' number follows from spark.sql.shuffle.partitions, not from the rows.
     rows = sorted(map(tuple, manifest.collect()))
     return spark.createDataFrame(rows, "file string, records long, ids long, bytes long")
@@ -117,14 +124,15 @@ def read_records(spark: SparkSession, manifest: DataFrame, read_bytes: int = REA
         ranges += [(r.file, lo, min(lo + step, r.records), start) for lo in range(0, r.records, step)]
         start += r.ids
 
+    @common.frugal
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 fs, name = common.open_fs(r["file"])
                 with fs.open_input_file(f"{name}.index") as f:
-                    index = np.frombuffer(f.read(), "<u8").reshape(-1, 2).astype(np.int64)
+                    index = np.frombuffer(f.read(16 * r["hi"]), "<u8").reshape(-1, 2).astype(np.int64)
                 first = r["base"] + int(index[: r["lo"], 1].sum())
-                index = index[r["lo"] : r["hi"]]
+                index = index[r["lo"] :]
                 starts = first + np.concatenate([[0], np.cumsum(index[:, 1])])
                 with fs.open_input_file(f"{name}.data") as f:
                     f.seek(int(index[0, 0]))
@@ -149,6 +157,17 @@ def read_records(spark: SparkSession, manifest: DataFrame, read_bytes: int = REA
     return plan.mapInArrow(read, schema)
 
 
+def record_at(path: str, k: int) -> tuple[int | None, np.ndarray]:
+    """Record k of a data file, found by its index alone, so that records can be read in any order."""
+    fs, name = common.open_fs(path)
+    with fs.open_input_file(f"{name}.index") as f:
+        f.seek(16 * k)
+        at, n = struct.unpack("<QQ", f.read(16))
+    with fs.open_input_file(f"{name}.data") as f:
+        f.seek(at)
+        return unframe(f.read(25 + 2 * n), 0)
+
+
 def record_digest(df: DataFrame) -> DataFrame:
     """Writes the records, reads them back, and returns for each document what the files hold."""
     spark = df.sparkSession
