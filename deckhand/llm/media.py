@@ -1,27 +1,32 @@
 """Media columns: payloads stored as lossless images in archives, and a data source that streams them back.
 
-Each task writes one ZIP archive into a folder in the shared storage. A member is an 8-bit greyscale
-PNG, 192 samples wide. The data source ``deckhand_archive`` plans byte ranges over the archives of a
-folder from their sizes alone; the task of a range finds in the archive's directory the members whose
-headers lie in its range, reads each by its offset and streams batches through Arrow. A member that
-can't be read is tried again by itself, so a short fault doesn't repeat a whole range.
+Each task writes one ZIP archive into a folder in the shared storage, and beside it an index of its members'
+offsets, sizes and checks. A member is an 8-bit greyscale PNG, 192 samples wide. The data source ``deckhand_archive`` plans
+byte ranges over the archives of a folder from their sizes alone; the task of a range finds the members whose
+headers lie in its range, by a binary search of the index, or in the archive's directory where there is no
+index; it reads each by its offset and streams batches through Arrow. A member that can't be read is tried
+again by itself, so a short fault doesn't repeat a whole range.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import time
 import uuid
 import zipfile
 import zlib
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from deckhand.llm import common
@@ -95,10 +100,11 @@ def write_archives(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     id ("null" if none) and number of bytes, so that the media themselves are equal for equal texts.
     """
 
+    @common.frugal
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = common.open_fs(path)
         final = f"{root}/media-{TaskContext.get().partitionId():07d}.zip"
-        own, archive, n = f"{root}/.{uuid.uuid4().hex}", None, 0
+        own, archive, index = f"{root}/.{uuid.uuid4().hex}", None, array("Q")
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if archive is None:
@@ -106,16 +112,19 @@ def write_archives(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     stream = fs.open_output_stream(own, buffer_size=1 << 20)
                     archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED)
                 data = (text.as_py() or "").encode()
-                name = f"{'null' if doc_id is None else doc_id}_{len(data)}_{n}.png"
-                archive.writestr(zipfile.ZipInfo(name), to_png(padded(data)))
-                n += 1
+                member = zipfile.ZipInfo(f"{'null' if doc_id is None else doc_id}_{len(data)}_{len(index) // 3}.png")
+                archive.writestr(member, to_png(padded(data)))
+                index.extend((member.header_offset, member.compress_size, member.CRC))
         if archive is not None:
             archive.close()
             stream.close()
+            with fs.open_output_stream(f"{own}.index") as f:
+                f.write(np.array(index, "<u8").tobytes())
+            common.publish(fs, f"{own}.index", f"{final}.index")
             common.publish(fs, own, final)
-        yield pa.RecordBatch.from_pydict({"members": [n]})
+        yield pa.RecordBatch.from_pydict({"members": [len(index) // 3]})
 
-    docs = df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
+    docs = df.select(F.col(common.quoted(id_col)).cast("long").alias("id"), F.col(common.quoted(text_col)).alias("text"))
     docs.mapInArrow(write, "members long").agg({"members": "sum"}).collect()
 
 
@@ -141,12 +150,10 @@ class ArchiveReader(DataSourceReader):
         if not partition.path:
             return
         fs, _ = common.open_fs(self.folder)
-        with fs.open_input_file(partition.path) as f:
-            members = [m for m in zipfile.ZipFile(f).infolist() if partition.start <= m.header_offset < partition.end]
         rows, size, f = [], 0, fs.open_input_file(partition.path)
-        for m in members:
-            data, f = _member(fs, f, partition.path, m)
-            rows.append((partition.path, m.filename, m.header_offset, data))
+        for m in _members(fs, f, partition):
+            name, data, f = _member(fs, f, partition.path, m)
+            rows.append((partition.path, name, m.header_offset, data))
             size += len(data)
             if size >= BATCH_BYTES:
                 yield self._batch(rows)
@@ -162,23 +169,50 @@ class ArchiveReader(DataSourceReader):
         )
 
 
-def _member(fs: pafs.FileSystem, f: pa.NativeFile, path: str, m: zipfile.ZipInfo) -> tuple[bytes, pa.NativeFile]:
-    """One member by its offset; a failed read or check opens the file anew and tries this member again."""
+@dataclass(frozen=True)
+class Member:
+    """Of an index or a directory: where a member's header stands, its stored bytes and their check once unpacked."""
+
+    header_offset: int
+    compress_size: int
+    CRC: int
+
+
+def _members(fs: pafs.FileSystem, f: pa.NativeFile, part: ByteRange) -> list[Member]:
+    """The members whose headers lie in the range."""
+    found = fs.get_file_info(f"{part.path}.index")
+    if found.type != pafs.FileType.File:
+        every = zipfile.ZipFile(f).infolist()
+        return [Member(m.header_offset, m.compress_size, m.CRC) for m in every if part.start <= m.header_offset < part.end]
+    with fs.open_input_file(f"{part.path}.index") as index:
+
+        def offset(k: int) -> int:
+            index.seek(24 * k)
+            return struct.unpack("<Q", index.read(8))[0]
+
+        lo, hi = (bisect.bisect_left(range(found.size // 24), at, key=offset) for at in (part.start, part.end))
+        index.seek(24 * lo)
+        return [Member(*x) for x in np.frombuffer(index.read(24 * (hi - lo)), "<u8").reshape(-1, 3).tolist()]
+
+
+def _member(fs: pafs.FileSystem, f: pa.NativeFile, path: str, m: Member) -> tuple[str, bytes, pa.NativeFile]:
+    """Name and bytes of one member by its offset; a failed read or check opens the file anew and tries this member again."""
     for attempt in range(ATTEMPTS):
         try:
             f.seek(m.header_offset)
             head = f.read(30)
             if head[:4] != zipfile.stringFileHeader:
                 raise zipfile.BadZipFile(f"{path}: no member at {m.header_offset}")
-            name, extra = struct.unpack("<HH", head[26:30])
-            f.seek(m.header_offset + 30 + name + extra)
+            method, name_size, extra = struct.unpack("<8xH16xHH", head)
+            name = f.read(name_size).decode()
+            f.seek(m.header_offset + 30 + name_size + extra)
             data = f.read(m.compress_size)
-            if m.compress_type == zipfile.ZIP_DEFLATED:
+            if method == zipfile.ZIP_DEFLATED:
                 data = zlib.decompress(data, -15)
             if zlib.crc32(data) != m.CRC:
                 raise zipfile.BadZipFile(f"{path}: wrong check at {m.header_offset}")
-            return data, f
-        except (OSError, zipfile.BadZipFile, zlib.error):
+            return name, data, f
+        except (OSError, zipfile.BadZipFile, zlib.error, struct.error, UnicodeDecodeError):
             if attempt == ATTEMPTS - 1:
                 raise
             time.sleep(0.1 * 2**attempt)
@@ -231,4 +265,4 @@ def media_digest(df: DataFrame) -> DataFrame:
     """Stores every text, reads the archives back through the data source, and describes each member."""
     path = common.scratch(df.sparkSession, "media")
     write_archives(df, path)
-    return read_archives(df.sparkSession, path).select("member", "media").mapInArrow(digest, DIGEST)
+    return read_archives(df.sparkSession, path).select("member", "media").mapInArrow(common.frugal(digest), DIGEST)
