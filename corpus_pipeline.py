@@ -21,28 +21,49 @@ def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line labelling and the plain rules keep."""
+    """Documents that the line labelling and the plain rules keep.
+
+    A null text has no words and goes; rows that repeat stay or go together; without labels only the plain
+    rules decide; an empty table stays empty; all columns of docs stay, also those named as columns of the rules.
+    """
     field = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.assess(docs, field).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id; rows that repeat its id stay with it."""
+    """Of each group of near copies the document with the least id; rows that repeat its id stay with it.
+
+    Null and empty texts are like nothing and stay; rows without an id stay only if no row with an id is
+    like them; an empty table stays empty; all columns stay as they are.
+    """
     kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the passages of an earlier one; one that is nothing else stays, empty."""
+    """Every document without the passages of an earlier one; one that is nothing else stays, empty.
+
+    A null text becomes an empty one; rows that repeat an id, and rows without one, keep what only they share;
+    an empty table stays empty; other columns stay, but n_chars follows the text.
+    """
     return _as_documents(suffixes.remove_repeats(docs), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to pseudonyms."""
+    """Personal data gives way to pseudonyms under the session's key (see pii.session_key).
+
+    A null text stays null; equal texts stay equal; an empty table stays empty; other columns stay, but
+    n_chars follows the text.
+    """
     return _as_documents(pii.pseudonymize(docs), docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences.
+
+    A null text is one end id; rows that repeat an id, or have none, are packed each; an empty table gives no
+    pieces; only id and text count, whatever other columns there are.
+    """
     return packing.pack_documents(docs)
 
 
@@ -59,7 +80,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with common.temporary(spark) as keep:
+            docs = keep(common.written(stage(spark, before, sf_dir), name.replace(" ", "-")))
+        if before is not source:
+            common.dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
