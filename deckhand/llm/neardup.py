@@ -14,10 +14,10 @@ the full sets in rounds, so that a group of n copies costs about n comparisons a
    as much as all its keys have nodes; in a group of copies that is the text they were made from, or near;
 2. a node that wasn't like that one with all nodes that are linked to it by now, for it was near them;
 3. where a key still holds several components: signatures of nodes outside its largest one are compared with
-   those of other components, and of the pairs within 56 slots (30 are expected at similarity 0.75, and 5.5
-   deviations more are 56) each node is confirmed with the nearest of each component;
-4. all other of those pairs whose components are still apart. After this no pair that meets within the
-   distance is left out.
+   those of other components, and where some are within 56 slots (30 are expected at similarity 0.75, and 5.5
+   deviations more are 56) a node is confirmed with the nearest of each component;
+4. nodes that are still apart from a component that they came near to with all nodes of it. After this no
+   pair that meets within the distance is left out.
 
 Nodes that share a template but are not alike cost a comparison of signatures where they share a key, in
 tiles of bounded size, and never make up a family that is compared as a whole.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deckhand.llm import common
-from deckhand.llm.components import components
+from deckhand.llm.components import components, merged, rooted
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -208,14 +208,9 @@ def confirmed(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _rooted(rows: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
-    """Adds a node's root; a node without links is its own."""
-    return rows.join(roots.select(F.col("node").alias(node), F.col("root").alias("_root")), node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
-
-
 def _open_keys(star: DataFrame, roots: DataFrame) -> DataFrame:
     """key, node, root, and of its key major (the largest component), n and asks (its nodes, and those outside it), where a key holds several components."""
-    rows = _rooted(star.select("key", "node"), roots)
+    rows = rooted(star.select("key", "node"), roots, "node", "root")
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     several = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
     several = common.written(several.selectExpr("key", "major", "n", "n - most AS asks"), "open")
@@ -238,25 +233,23 @@ def links(df: DataFrame, nodes: DataFrame, percent: int = PERCENT, id_col: str =
     first = common.written(confirmed(pairs.selectExpr("hub AS a", "node AS b"), hashes, percent), "links")
     roots = common.written(components(first), "roots")
 
-    tried = _rooted(_rooted(pairs, roots, "node", "own"), roots, "hub", "family")
+    tried = rooted(rooted(pairs, roots, "node", "own"), roots, "hub", "family")
     tried = common.written(tried.select("node", "own", F.when(F.col("own") != F.col("family"), F.col("family")).alias("family")), "tried")
-    second = common.written(_with_families(tried.where("family IS NOT NULL"), roots, nodes, hashes, percent).union(first), "links")
-    roots2 = common.written(components(second), "roots")
+    joined = common.written(_with_families(tried.where("family IS NOT NULL"), roots, nodes, hashes, percent), "links")
+    roots2 = merged(roots, joined)
 
     # Of a node: its root after the first round, and the component that it has been compared with.
     past = nodes.select("node", "signature").join(tried.select("node", "own", "family"), "node", "left")
     near = common.written(_near(_open_keys(star, roots2).join(past, "node")), "near")
-    found, last = second, roots2
+    last = roots2
     if not near.isEmpty():
-        nearest = common.written(near.groupBy("a", "rb").agg(F.min_by("b", F.struct("d", "b")).alias("b")).select("a", "b").distinct(), "nearest")
-        found = common.written(confirmed(nearest, hashes, percent).union(second), "links")
-        last = common.written(components(found), "roots")
-        apart = _rooted(_rooted(near.select("a", "b"), last, "a", "p"), last, "b", "q").where("p <> q").select("a", "b")
-        rest = common.written(apart.join(nearest, ["a", "b"], "left_anti"), "rest")
+        last = merged(roots2, common.written(confirmed(near.select("a", "b"), hashes, percent), "links"))
+        apart = rooted(rooted(near.select("a", "family"), last, "a", "p"), last, "family", "q").where("p <> q")
+        rest = common.written(apart.select(F.col("a").alias("node"), "family"), "rest")
         if not rest.isEmpty():
-            found = common.written(confirmed(rest, hashes, percent).union(found), "links")
-            last = common.written(components(found), "roots")
-        common.dropped(nearest, rest)
+            alone = rest.select("family").distinct().join(roots2.select(F.col("root").alias("family")), "family", "left_anti").select(F.col("family").alias("node"), F.col("family").alias("root"))
+            last = merged(last, common.written(_with_families(rest, roots2.union(alone), nodes, hashes, percent), "links"))
+        common.dropped(rest)
     common.dropped(star, pairs, tried, near, hashes)
     return last
 
@@ -303,9 +296,9 @@ def _with_families(asking: DataFrame, roots: DataFrame, nodes: DataFrame, hashes
 
 
 def _near(rows: DataFrame) -> DataFrame:
-    """Pairs a, b within the distance d that meet under an open key, with different roots ra and rb, and haven't been compared.
+    """Of a node a and another component, its family, that come within the distance under an open key, the nearest node b at d.
 
-    rows: key, node, root, major, n, asks, signature, own, family. A node outside its key's largest component
+    Pairs that have been compared don't count. rows: key, node, root, major, n, asks, signature, own, family. A node outside its key's largest component
     asks all others of the key; keys are cut into tiles as families are.
     """
     tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int")
@@ -317,6 +310,10 @@ def _near(rows: DataFrame) -> DataFrame:
     kept = rows.select(*columns, every("asks").alias("i"), tile("n", 3).alias("j"), F.when(one & asking, 2).otherwise(0).alias("role"))
     asks = rows.where(asking & ~one).select(*columns, tile("asks", 4).alias("i"), every("n").alias("j"), F.lit(1).alias("role"))
 
+    def nearest(found: np.ndarray) -> np.ndarray:
+        found = found[:, np.lexsort(found[::-1])]
+        return found[:, np.concatenate([[True], (found[:2, 1:] != found[:2, :-1]).any(axis=0)])[: found.shape[1]]]
+
     def compared(t: pa.Table) -> pa.RecordBatch:
         key, i, j, node, root, major, own, family, role = (t.column(c).to_numpy() for c in ("key", "i", "j", "node", "root", "major", "own", "family", "role"))
         sig = common.text_bytes(t.column("signature"))[0].view("<u2").reshape(-1, SLOTS)
@@ -334,10 +331,10 @@ def _near(rows: DataFrame) -> DataFrame:
             x, y = x[some], y[some]
             d = np.count_nonzero(sig[x] != sig[y], axis=1)
             close = d <= DISTANCE
-            out.append(np.stack([node[x], node[y], d, root[x], root[y]])[:, close])
+            out.append(nearest(np.stack([node[x], root[y], d, node[y]])[:, close]))
             at = to
-        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((5, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in found], ["a", "b", "d", "ra", "rb"])
+        found = nearest(np.concatenate(out, axis=1)) if out else np.zeros((4, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in found], ["a", "family", "d", "b"])
 
     @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +355,8 @@ def _near(rows: DataFrame) -> DataFrame:
             yield compared(left)
 
     dealt = kept.unionByName(asks).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long, d long, ra long, rb long").dropDuplicates(["a", "b"])
+    found = dealt.mapInArrow(run, "a long, family long, d long, b long")
+    return found.groupBy("a", "family").agg(F.min(F.struct("d", "b")).alias("n")).select("a", "family", F.col("n.b").alias("b"))
 
 
 def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,10 +370,10 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     described = common.written(describe(df, id_col, text_col), "signatures")
     nodes = described.where("f1 IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("wanted"), F.max("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
     nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    rooted = _rooted(nodes.select("node", "f1", "f2", "wanted"), links(df, nodes, percent, id_col, text_col))
-    rooted = common.written(rooted, "rooted")
-    least = common.written(rooted.groupBy("root").agg(F.min("wanted").alias("least")), "least")
-    named = rooted.join(least, "root").select("f1", "f2", "least")
+    labelled = rooted(nodes.select("node", "f1", "f2", "wanted"), links(df, nodes, percent, id_col, text_col), "node", "root")
+    labelled = common.written(labelled, "labelled")
+    least = common.written(labelled.groupBy("root").agg(F.min("wanted").alias("least")), "least")
+    named = labelled.join(least, "root").select("f1", "f2", "least")
     found = described.drop("signature").join(named, ["f1", "f2"], "left")
     found = found.selectExpr("doc_id", "n_shingles", "CASE WHEN f1 IS NULL THEN doc_id ELSE least END AS component_id")
     return found.selectExpr("*", "doc_id <=> component_id AS kept")
