@@ -53,4 +53,4 @@ def predicate(c: Column, spec: Any) -> Column:
 
 def lenient(c: Column, total: Column) -> Column:
     """Of an array of ordinals those that exist, ascending."""
-    return F.array_sort(F.array_intersect(c, F.sequence(F.lit(1), F.greatest(total, F.lit(1)))))
+    return F.array_sort(F.array_distinct(F.filter(c, lambda x: (x >= 1) & (x <= total))))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
@@ -46,6 +47,20 @@ def numeric(c: Column, kind: str) -> Column:
     return c.try_cast("double")
 
 
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def same(c: Column, kind: str, value: Any, case_sensitive: bool) -> Column:
+    """Equality. A column of numbers equals a number, or text that is one, by value: 1.5E7 is 15000000, and 5.0 is "5"."""
+    if kind.startswith(NUMBERS):
+        if isinstance(value, bool) or (isinstance(value, str) and not re.match(NUMBER, value)):
+            return F.lit(False)
+        if value is not None:
+            exact = F.lit(value if isinstance(value, int) else float(value))
+            return F.coalesce(c == exact, F.lit(False))
+    return folded(c, case_sensitive) == fold(value, case_sensitive)
+
+
 def valid_pattern(pattern: str) -> bool:
     """Whether Java takes it as a pattern."""
     jvm = SparkSession.getActiveSession().sparkContext._jvm
@@ -123,9 +138,11 @@ def condition(c: Column, kind: str, name: str, value: Any = None, case_sensitive
     if name == "in_list":
         if not isinstance(value, (list, tuple)):
             return F.lit(False)
-        return folded(c, case_sensitive).isin([fold(v, case_sensitive) for v in value])
+        return combined([same(c, kind, v, case_sensitive) for v in value], "OR") if value else F.lit(False)
+    if name == "equals":
+        return same(c, kind, value, case_sensitive)
     x, v = folded(c, case_sensitive), fold(value, case_sensitive)
-    return {"equals": x == v, "contains": x.contains(v), "starts_with": x.startswith(v), "ends_with": x.endswith(v)}[name]
+    return {"contains": x.contains(v), "starts_with": x.startswith(v), "ends_with": x.endswith(v)}[name]
 
 
 def combined(parts: list[Column], logic: str = "AND") -> Column:

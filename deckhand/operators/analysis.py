@@ -86,7 +86,8 @@ def insights(df: DataFrame) -> DataFrame:
         F.min("objects").alias("_min"), F.max("objects").alias("_max"), F.count_if(~has(F.col("title"))).alias("untitled"),
         F.count_if(has(F.col("notes"))).alias("notes_count"), F.coalesce(F.sum(F.length("notes")), F.lit(0)).alias("notes_length"),
         F.count_if(F.col("slide_type") == "title_slide").alias("_titles"), F.count_if(F.col("slide_type") == "blank_slide").alias("_blanks"),
-        F.sum(F.coalesce("counts.images", F.lit(0)) + F.coalesce("counts.charts", F.lit(0))).alias("_visuals"),
+        F.count_if(F.col("slide_type").isin("table_slide", "chart_slide", "image_slide")).alias("_visuals"), F.count_if(F.col("slide_type") == "bullet_slide").alias("_bullets"),
+        F.array_sort(F.collect_list(F.when(F.col("objects") > 8, F.col("slide_number")))).alias("_crowded"),
     )
     kinds = rows.groupBy("file", "slide_type").agg(F.count("*").alias("n")).groupBy("file").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("slide_type", "n")))).alias("slide_types"), F.count("*").alias("_kinds"), F.max("n").alias("_most"))
@@ -100,18 +101,23 @@ def insights(df: DataFrame) -> DataFrame:
     consistency = F.array_compact(F.array(
         note((F.col("untitled") > 0) & (F.col("slides") - F.col("untitled") > F.col("untitled")), F.concat(F.col("untitled").cast("string"), F.lit(" slides without titles"))),
         note((F.col("_max") > 5 * F.col("_min")) & (F.col("_max") > 10), "large variation of content between slides")))
-    readable, complex_ = F.col("_r") * 10, F.col("_c") * 10
+    readable, complex_, n = F.col("_r") * 10, F.col("_c") * 10, F.col("slides")
+    crowded, inconsistent, faulty = F.size("_crowded") > 3, F.size(consistency) > 0, F.size(issues) > 0
     advice = F.array_compact(F.array(
-        note(complex_ > 7, "simplify crowded slides"), note(readable < 6, "shorten text"), note(F.col("avg_objects") > 6, "spread content over more slides"),
-        note(F.col("_visuals") == 0, "add images or charts"), note(F.col("notes_count") == 0, "add speaker notes")))
-    strengths = F.array_compact(F.array(note(readable >= 8, "readable"), note(F.col("_kinds") >= 4, "varied slides"), note(F.col("notes_count") * 2 >= F.col("slides"), "well documented by notes")))
+        note(F.col("_titles") == 0, "begin with a title slide"), note(n > 30, "split into shorter presentations"),
+        note(crowded, F.concat(F.lit("simplify crowded slides: "), F.array_join(F.transform("_crowded", lambda k: k.cast("string")), ", "))),
+        note(inconsistent, "settle inconsistencies"), note(F.col("_bullets") > n * 0.6, "show more and list less")))
+    strengths = F.array_compact(F.array(
+        note(n.between(5, 20), "fitting length"), note(F.col("_kinds") >= 4, "varied slides"), note(F.col("_visuals") > n * 0.3, "much to see"), note(~faulty, "sound structure")))
+    areas = F.array_compact(F.array(
+        note(F.col("_bullets") > n * 0.7, "too many lists"), note(F.col("_visuals") < n * 0.2, "too little to see"), note(faulty, "structure"), note(inconsistent, "consistency")))
     return x.select(
         "file", "slides", F.round("_m", 1).alias("estimated_minutes"), F.round(F.col("_m") * 0.8, 1).alias("least_minutes"), F.round(F.col("_m") * 1.2, 1).alias("most_minutes"),
         F.when(F.col("_m") > 0, F.round(F.col("slides") / F.col("_m"), 2)).otherwise(0.0).alias("slides_per_minute"), F.round(complex_, 1).alias("complexity_score"), F.round(readable, 1).alias("readability_score"),
         F.when(F.col("avg_objects") <= 3, "low").when(F.col("avg_objects") <= 6, "medium").otherwise("high").alias("content_density"),
         F.when((F.col("_kinds") >= 4) & (share <= 0.7), "well_balanced").when((F.col("_kinds") >= 3) & (share <= 0.8), "balanced").when(share >= 0.9, "monotonous").otherwise("somewhat_balanced").alias("visual_balance"),
         "slide_types", "notes_count", "notes_length", F.when(F.col("notes_count") > 0, F.col("notes_length") / F.col("notes_count")).alias("notes_average"),
-        issues.alias("issues"), consistency.alias("consistency_issues"), advice.alias("recommendations"), strengths.alias("strengths"),
+        issues.alias("issues"), consistency.alias("consistency_issues"), advice.alias("recommendations"), strengths.alias("strengths"), areas.alias("improvement_areas"),
     )
 
 
@@ -165,3 +171,32 @@ def sample(df: DataFrame, titles: int = 5, slides: int = 3, elements: int = 2) -
     w = Window.partitionBy("file").orderBy("slide_number")
     ranked = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max(titles, slides))
     return ranked.select("file", "slide_number", F.when(F.col("_k") <= titles, F.col("title")).alias("title"), F.when(F.col("_k") <= slides, F.transform(F.slice("texts", 1, elements), lambda t: shortened(t, 100))).alias("texts"))
+
+
+#: How much an overview holds.
+DEPTHS = ("basic", "detailed", "comprehensive")
+JUDGEMENTS = ("readability_score", "content_density", "visual_balance", "consistency_issues", "recommendations", "strengths", "improvement_areas")
+
+
+def overview(df: DataFrame, depth: str = "basic", with_samples: bool = True) -> DataFrame:
+    """One row a file: counts, duration, slide types and classifications; from ``detailed`` on its patterns; judgements only if ``comprehensive``."""
+    if depth not in DEPTHS:
+        raise ValueError(f"unknown depth: {depth}; known are {', '.join(DEPTHS)}")
+    judged = insights(df)
+    out = judged if depth == "comprehensive" else judged.drop(*JUDGEMENTS)
+    kinds = classified(df).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("slide_number", "slide_type", "confidence", "characteristics"))).alias("classifications"))
+    out = out.join(kinds, "file")
+    if depth != "basic":
+        each = F.struct("pattern_type", "pattern_name", "occurrences", "slides", "examples", "confidence")
+        out = out.join(patterns(df).groupBy("file").agg(F.array_sort(F.collect_list(each)).alias("patterns")), "file", "left")
+    if with_samples:
+        some = sample(df, slides=3 if depth != "basic" else 0)
+        in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("slide_number", c)))), lambda x: x[c])
+        out = out.join(some.groupBy("file").agg(in_order("title").alias("sample_titles"), F.flatten(in_order("texts")).alias("sample_texts")), "file", "left")
+    return out
+
+
+def with_formatting(overviews: DataFrame, summaries: DataFrame) -> DataFrame:
+    """An overview with the formatting summary of the same file in a struct; null if it has no text."""
+    kept = [c for c in summaries.columns if c != "file"]
+    return overviews.join(summaries.select("file", F.struct(*kept).alias("formatting")), "file", "left")

@@ -72,6 +72,12 @@ def extraction_summary(slides: DataFrame, kind: str) -> DataFrame:
     return slides.groupBy("file").agg(F.count("*").alias("slides_analyzed")).join(hits, "file", "left").na.fill(0)
 
 
+def paragraphs(found: Column) -> Column:
+    """Text of an array of para, run, text in order: runs directly after one another, paragraphs with text joined by a space."""
+    lines = F.transform(F.array_distinct(F.transform(found, lambda x: x["para"])), lambda p: F.array_join(F.transform(F.filter(found, lambda x: x["para"] == p), lambda x: x["text"]), ""))
+    return F.array_join(F.filter(lines, lambda x: F.trim(x) != ""), " ")
+
+
 def elements(slides: DataFrame) -> DataFrame:
     """One row a text element with its formatting: counts of flagged runs, and distinct sizes, colors and links."""
     flagged = lambda c: F.count_if(F.col(c) & (F.col("text") != ""))
@@ -80,7 +86,7 @@ def elements(slides: DataFrame) -> DataFrame:
     rows = runs(slides).withColumn("content_type", content)
     key = ["file", "slide_number", "container", "a", "b", "c"]
     out = rows.groupBy(*key, "content_type").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "run", "text"))), lambda x: x["text"]), "").alias("text_content"),
+        paragraphs(F.array_sort(F.collect_list(F.struct("para", "run", "text")))).alias("text_content"),
         flagged("bold").alias("bold_count"), flagged("italic").alias("italic_count"), flagged("underline").alias("underline_count"), flagged("strike").alias("strikethrough_count"),
         F.count_if(F.col("highlight").isNotNull()).alias("highlight_count"),
         F.array_sort(F.collect_set(F.coalesce("size", size))).alias("font_sizes"), F.array_sort(F.collect_set("color")).alias("font_colors"), F.array_sort(F.collect_set("rid")).alias("hyperlinks"),
@@ -124,7 +130,15 @@ def filtered(df: DataFrame, formatting_types: list[str] | None = None, content_t
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """One row a file: totals of its elements."""
+    """One row a file: totals of its elements, and how many there are by slide, content type, size and color."""
+    counted = lambda by: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(by).cast("string").alias("k"), "n"))))
+    out = _totals(df)
+    for by, name in (("slide", "slide_distribution"), ("content_type", "content_type_distribution"), ("size", "font_size_distribution"), ("color", "color_distribution")):
+        out = out.join(histogram(df, by).groupBy("file").agg(counted(by).alias(name)), "file", "left")
+    return out
+
+
+def _totals(df: DataFrame) -> DataFrame:
     return df.groupBy("file").agg(
         F.count("*").alias("total_elements"), F.count_if("has_formatting").alias("formatted_elements"),
         *(F.sum(f"{c}_count").alias(f"{c}_count") for c in ("bold", "italic", "underline", "strikethrough", "highlight")),

@@ -18,6 +18,8 @@ from deckhand.functions.predicates import combined, matches, text, valid_pattern
 KINDS = ("shapes", "text_boxes", "images", "tables", "charts", "media", "connectors", "groups")
 FIELDS = ("slide_number", "title", "subtitle", "layout_name", "layout_type", "object_counts", "preview_text_3boxes", "full_text", "table_info", "full_content", "notes", "section")
 ATTRIBUTES = ("title", "subtitle", "text_elements", "text", "tables", "images", "charts", "layout", "size", "sections", "notes", "object_counts", "placeholders", "section", "slide_number")
+#: Fields that a simple query may ask for.
+SIMPLE_FIELDS = ("slide_number", "title", "subtitle", "text", "extracted_tables")
 
 
 def joined(paras: Column, between: str = " ") -> Column:
@@ -29,7 +31,7 @@ def joined(paras: Column, between: str = " ") -> Column:
 def order(packages: DataFrame) -> DataFrame:
     """file, part, slide_number, slide_id as the presentation lists its slides."""
     top = packages.where("kind = 'package'").select("file", "rels", F.posexplode("slide_ids").alias("at", "s"))
-    named = top.select("file", (F.col("at") + 1).alias("slide_number"), F.col("s.id").alias("slide_id"), F.filter("rels", lambda r: r["rid"] == F.col("s.rid"))[0]["target"].alias("target"))
+    named = top.select("file", (F.col("at") + 1).alias("slide_number"), F.col("s.id").alias("slide_id"), F.get(F.filter("rels", lambda r: r["rid"] == F.col("s.rid")), F.lit(0))["target"].alias("target"))
     return named.select("file", "slide_number", "slide_id", F.concat(F.lit("ppt/"), F.regexp_replace("target", "^(/ppt/|\\.\\./)", "")).alias("part"))
 
 
@@ -54,22 +56,26 @@ def last_text(shapes: Column, kinds: list[str]) -> Column:
     return F.try_element_at(found, F.lit(-1))
 
 
+def slide_size(w: Column, h: Column) -> Column:
+    """Width and height in EMU and several units; null if the presentation states none."""
+    units = {"inches": (914400, 2), "cm": (914400 / 2.54, 2), "points": (914400 / 72, 1)}
+    both = [(side, c, unit) for unit in units for side, c in (("width", w), ("height", h))]
+    fields = [w.alias("width_emu"), h.alias("height_emu"), *(F.round(c / units[u][0], units[u][1]).alias(f"{side}_{u}") for side, c, u in both)]
+    return F.when(w.isNotNull() & h.isNotNull(), F.struct(*fields, F.when(h > 0, F.round(w / h, 2)).otherwise(0.0).alias("aspect_ratio")))
+
+
 def slides(packages: DataFrame) -> DataFrame:
-    """file, slide_number, part_number, titles, layout, notes, section, object_counts, text_elements, shapes, tables, rels."""
-    rows = packages.where("kind = 'slide'")
-    listed = order(packages)
-    member = sections(packages).where("slide_number IS NOT NULL").groupBy("file", "slide_number").agg(F.min_by("section", "section_ord").alias("section"))
-    fallback = F.coalesce("slide_number", "part_number")
+    """file, slide_number, part_number, titles, layout, notes, section, object_counts, text_elements, shapes, tables, rels, slide_size."""
+    # A package is parsed as a whole, so its slides know their places and sections: nothing is joined or shuffled.
     shapes = F.coalesce("shapes", F.expr("filter(shapes, s -> false)"))
-    view = rows.join(listed, ["file", "part"], "left").withColumn("slide_number", fallback).join(member, ["file", "slide_number"], "left")
-    return view.select(
-        "file", "slide_number", "part", "part_number", "slide_id", "error", "layout_name",
+    return packages.where("kind = 'slide'").select(
+        "file", "slide_number", "part", "part_number", "slide_id", "error", "digest", "layout_name",
         layout_type(shapes).alias("layout_type"),
         last_text(shapes, ["title", "ctrTitle"]).alias("title"),
         last_text(shapes, ["subTitle"]).alias("subtitle"),
         "notes", "section", F.col("counts").alias("object_counts"),
         F.filter(F.transform(shapes, lambda s: F.struct(s["idx"].alias("idx"), s["ph_type"].alias("ph_type"), joined(s["paras"]).alias("text"))), lambda e: e["text"] != "").alias("text_elements"),
-        "shapes", "tables", "rels", "comments",
+        "shapes", "tables", "rels", "comments", slide_size(F.col("width"), F.col("height")).alias("slide_size"),
     )
 
 
@@ -198,7 +204,7 @@ def fields(names: list[str] | None) -> list[Column]:
     computed = {
         "preview_text_3boxes": preview(F.col("text_elements"), F.col("title")),
         "full_text": preview(F.col("text_elements"), F.col("title"), None, 500),
-        "table_info": F.transform("tables", lambda t, k: F.struct(k.alias("table_index"), F.size(t["rows"]).alias("rows"), F.size(t["rows"][0]).alias("columns"), F.transform(t["rows"][0], lambda c: joined(c["paras"])).alias("headers"))),
+        "table_info": F.transform("tables", lambda t, k: F.struct(k.alias("table_index"), F.size(t["rows"]).alias("rows"), F.coalesce(F.size(F.get(t["rows"], F.lit(0))), F.lit(0)).alias("columns"), F.transform(F.get(t["rows"], F.lit(0)), lambda c: joined(c["paras"])).alias("headers"))),
         "full_content": F.struct("title", "subtitle", "layout_name", "layout_type", "text_elements", "object_counts", "notes"),
     }
     return [F.col("slide_number"), *(computed.get(n, F.col(n)).alias(n) for n in names if n != "slide_number")]
@@ -216,17 +222,66 @@ def attributes(view: DataFrame, wanted: list[str]) -> DataFrame:
         raise ValueError("at least one attribute is needed")
     if bad := [a for a in wanted if a not in ATTRIBUTES]:
         raise ValueError(f"unknown attributes: {', '.join(bad)}")
+    placeholders = F.filter("shapes", lambda s: s["ph_type"].isNotNull()).alias("placeholders")
+    plain = F.array_join(F.col("text_elements.text"), " ").alias("content_plain")
     alias = {
-        "text": ["text_elements"], "layout": ["layout_name", "layout_type"], "images": [F.col("object_counts.images").alias("images")],
-        "charts": [F.col("object_counts.charts").alias("charts")], "sections": ["section"], "size": [],
-        "placeholders": [F.filter("shapes", lambda s: s["ph_type"].isNotNull()).alias("placeholders")],
+        "text": ["text_elements", plain], "layout": ["layout_name", "layout_type"], "images": [F.col("object_counts.images").alias("images")],
+        "charts": [F.col("object_counts.charts").alias("charts")], "sections": ["section"], "size": ["slide_size"], "placeholders": [placeholders],
     }
     columns: list[Any] = ["file", "slide_number"]
     for a in wanted:
-        columns += [c for c in alias.get(a, [a]) if not (isinstance(c, str) and c in columns)]
+        columns += [c for c in alias.get(a, [a]) if not any(c is x or (isinstance(c, str) and isinstance(x, str) and c == x) for x in columns)]
     return view.select(*columns)
 
 
+def attribute_summary(view: DataFrame, wanted: list[str]) -> DataFrame:
+    """One row a file: its slides, and of the attributes asked for the sums over all slides."""
+    totals = []
+    if "object_counts" in wanted:
+        totals.append(F.struct(*(F.sum(F.coalesce(F.col("object_counts")[k], F.lit(0))).alias(k) for k in KINDS)).alias("total_objects"))
+    if "text" in wanted:
+        totals.append(F.sum(F.size("text_elements")).alias("total_text_elements"))
+    if "tables" in wanted:
+        totals.append(F.sum(F.coalesce(F.size("tables"), F.lit(0))).alias("total_tables"))
+    return view.groupBy("file").agg(F.count("*").alias("total_slides"), *totals)
+
+
+def with_counts(df: DataFrame) -> DataFrame:
+    """Fills object_counts that are missing from what the row holds: text elements, tables and placeholders."""
+    held = {"text_boxes": "text_elements", "tables": "tables", "shapes": "placeholders"}
+    count = lambda k: F.coalesce(F.size(held[k]), F.lit(0)) if held.get(k) in df.columns else F.lit(0)
+    made = F.struct(*(F.when(count(k) >= 0, count(k)).otherwise(0).alias(k) for k in KINDS))
+    return df.withColumn("object_counts", F.coalesce("object_counts", made) if "object_counts" in df.columns else made)
+
+
+def notes(view: DataFrame) -> DataFrame:
+    """file, slide_number, content of the slides that have notes."""
+    return view.where(F.trim(text(F.col("notes"))) != "").select("file", "slide_number", F.col("notes").alias("content"))
+
+
+def comments(view: DataFrame) -> DataFrame:
+    return view.select("file", "slide_number", F.explode("comments").alias("c")).select("file", "slide_number", "c.*")
+
+
+def slide_info(view: DataFrame, file: str, number: int) -> DataFrame:
+    """One slide of a file with all its attributes; a number that the file doesn't have is an error."""
+    own = view.where(F.col("file") == file)
+    found = own.where(F.col("slide_number") == number)
+    if found.isEmpty():
+        raise ValueError(f"{file} has slides 1 to {own.count()}, not {number}")
+    return found
+
+
+def content(packages: DataFrame) -> DataFrame:
+    """One row a file: its presentation, all its slides and all its notes, in order."""
+    view = slides(packages)
+    kept = ["slide_number", "title", "subtitle", "layout_name", "layout_type", "section", "text_elements", "tables", "object_counts", "notes"]
+    own = F.array_sort(F.collect_list(F.struct(*kept)))
+    noted = F.filter(F.col("slides"), lambda s: F.trim(text(s["notes"])) != "")
+    whole = view.groupBy("file").agg(own.alias("slides")).withColumn("notes", F.transform(noted, lambda s: F.struct(s["slide_number"].alias("slide_number"), s["notes"].alias("content"))))
+    return presentations(packages).join(whole, "file", "left")
+
+
 def links(view: DataFrame) -> DataFrame:
     """Every linked run with its target; an id that no relation explains stays as it is."""
     runs = view.select("file", "slide_number", F.explode("shapes").alias("s")).select("file", "slide_number", F.col("s.idx").alias("shape"), F.explode(F.flatten("s.paras")).alias("r"))
@@ -240,10 +295,10 @@ def presentations(packages: DataFrame) -> DataFrame:
     """One row a package: counts, flags, and the slide size in several units."""
     w, h = F.col("width"), F.col("height")
     return packages.where("kind = 'package'").select(
-        "file", F.size("slide_ids").alias("slide_count"), "slide_masters", "has_notes_master", "has_handout_master", "sections",
+        "file", F.size("slide_ids").alias("slide_count"), "slide_ids", "slide_masters", "has_notes_master", "has_handout_master", "sections",
         w.alias("width_emu"), h.alias("height_emu"), (w / 914400).alias("width_in"), (h / 914400).alias("height_in"),
         (w / 914400 * 2.54).alias("width_cm"), (h / 914400 * 2.54).alias("height_cm"), (w / 914400 * 72).alias("width_pt"), (h / 914400 * 72).alias("height_pt"),
-        F.when(h > 0, w / h).alias("aspect_ratio"),
+        F.when(h > 0, w / h).alias("aspect_ratio"), slide_size(w, h).alias("slide_size"),
     )
 
 

@@ -1,8 +1,9 @@
 """Registered queries over the supplied tables, each with its SQL twin where SQL can express it.
 
-None of these tables holds presentations, so the queries show the operators on analogues: conversations
-stand for files of slides (turns are ordinals), documents for text elements, pages for tagged text,
-events for step logs, and the business tables for records and extracted tables.
+None of these tables holds presentations. Queries over packages write conversations as packages and read them
+back (see ``package_queries``); the others show operators on analogues: conversations stand for files of slides
+(turns are ordinals), documents for text elements, pages for tagged text, events for step logs, and the
+business tables for records and extracted tables.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from deckhand.functions import ordinals
 from deckhand.operators import analysis, formatting, slides, tables, workflow
-from deckhand.plans import pipeline
+from deckhand.plans import package_queries, pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,9 +66,6 @@ predicate("pred_in_list", "orders", {"field": "o_orderpriority", "condition": "i
 predicate("pred_not_in_list", "orders", {"field": "o_orderpriority", "condition": "not_in_list", "value": ["1-urgent", "5-LOW"]}, ["o_orderkey", "o_orderpriority"], "lower(o_orderpriority) NOT IN ('1-urgent', '5-low')", "o_orderkey")
 predicate("pred_greater", "lineitem", {"field": "l_quantity", "condition": "greater_than", "value": "45"}, ["l_orderkey", "l_linenumber", "l_quantity"], "l_quantity > 45", "l_orderkey * 10 + l_linenumber")
 predicate("pred_less_equal", "lineitem", {"field": "l_discount", "condition": "less_equal", "value": 0.01}, ["l_orderkey", "l_linenumber", "l_discount"], "l_discount <= 0.01", "l_orderkey * 10 + l_linenumber")
-predicate("pred_not_empty", "documents", {"field": "source", "condition": "not_empty"}, ["doc_id", "source"], "trim(coalesce(source, '')) <> ''", "doc_id")
-predicate("pred_is_empty", "documents", {"field": "source", "condition": "is_empty"}, ["doc_id", "source"], "trim(coalesce(source, '')) = ''", "doc_id")
-predicate("pred_numeric_coercion", "events", {"field": "props", "condition": "greater_equal", "value": 1}, ["event_id", "props"], "try_cast(props AS DOUBLE) >= 1", "event_id")
 specified(
     "filter_or_logic", "orders",
     {"filter_logic": "OR", "filters": [{"field": "o_orderstatus", "condition": "equals", "value": "p"}, {"field": "o_totalprice", "condition": "greater_than", "value": 400000}]},
@@ -161,35 +159,6 @@ def object_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "counts.text_boxes", "counts.shapes", "counts.connectors")
 
 
-@query("section_semijoin", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE lower(r_name) = 'asia')")
-def section_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = table(spark, sf_dir, "region").where(F.lower("r_name") == "asia")
-    members = table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select("n_nationkey")
-    return table(spark, sf_dir, "customer").join(members, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey", "c_name")
-
-
-@query("section_range", "SELECT n_nationkey, r_name FROM nation JOIN region ON n_nationkey BETWEEN r_regionkey * 5 AND r_regionkey * 5 + 4")
-def section_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges of equal width are joined on the range's number, so that the join is on a key."""
-    regions = table(spark, sf_dir, "region").withColumn("bin", F.col("r_regionkey").cast("long"))
-    return table(spark, sf_dir, "nation").withColumn("bin", F.floor(F.col("n_nationkey") / 5)).join(regions, "bin").select("n_nationkey", "r_name")
-
-
-@query("required_parts_anti", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
-def required_parts_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
-
-
-LINKS = "SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS rid FROM pages"
-
-
-@query("link_resolution", f"WITH l AS ({LINKS}) SELECT l.page_id, l.rid, coalesce(t.url, l.rid) AS url FROM l LEFT JOIN (SELECT '/the' AS rid, 'https://example.com/the' AS url) t USING (rid)")
-def link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1))).alias("rid"))
-    targets = spark.range(1).select(F.lit("/the").alias("rid"), F.lit("https://example.com/the").alias("target"))
-    return found.join(targets, "rid", "left").select("page_id", "rid", F.coalesce("target", "rid").alias("url"))
-
-
 @query("notes_filter", "SELECT conv_id, turn FROM conversations WHERE trim(coalesce(text, '')) <> '' AND contains(lower(coalesce(text, '')), 'the')")
 def notes_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where(slides.notes_condition(F.col("text"), {"is_empty": False, "contains": "THE"})).select("conv_id", "turn")
@@ -220,7 +189,7 @@ def type_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.bigrams(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type")
 
 
-SPANS = "SELECT l_orderkey, l_linenumber - 1 AS col, 1 + (l_partkey % 3) AS span, l_returnflag AS value FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1"
+SPANS = """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST, l_partkey NULLS FIRST, l_returnflag NULLS FIRST) - 1 AS col, 1 + (l_partkey % 3) AS span, l_returnflag AS value FROM lineitem"""
 
 
 @query(
@@ -249,62 +218,79 @@ def sequence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("user_id", workflow.contains_sequence(F.col("steps"), ["view", "click", "purchase"]).alias("matched"))
 
 
-@query("partial_sequence", f"WITH s AS ({STEPS}) SELECT user_id, 1.0::DOUBLE AS score FROM s WHERE len(regexp_extract_all(array_to_string(steps, ','), 'signup.*view.*error.*purchase')) > 0")
+def partial_sql(steps: str, pattern: list[str]) -> str:
+    """The greatest share of the pattern that follows in order, with gaps: each place holds how much of it has been met."""
+    met = f"CASE WHEN x <= {len(pattern)} THEN a " + " ".join(f"WHEN a = {k} AND x = {k + 100} THEN {k + 1}" for k in range(len(pattern))) + " ELSE a END"
+    coded = f"list_transform({steps}, lambda t: coalesce(list_position([{', '.join(repr(p) for p in pattern)}], t), 99) + 99)"
+    return f"(coalesce(list_reduce(list_prepend(0, {coded}), lambda a, x: {met}), 0) / {len(pattern)})::DOUBLE"
+
+
+@query("partial_sequence", f"WITH s AS ({STEPS}) SELECT user_id, {partial_sql('steps', ['signup', 'view', 'error', 'purchase'])} AS score FROM s")
 def partial_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score of every user; the SQL has only those who took all steps."""
+    """The score of every user."""
     steps = workflow.sequences(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
     return steps.select("user_id", workflow.partial_sequence(F.col("steps"), ["signup", "view", "error", "purchase"]).alias("score"))
 
 
-@query(
-    "argmax_pattern",
-    """SELECT conv_id, CASE WHEN count(*) FILTER (role = 'assistant') > count(*) FILTER (role = 'user') THEN 'assistant' ELSE 'user' END AS best FROM conversations GROUP BY conv_id""",
-)
-def argmax_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kind that occurs most; of equal ones the one that is declared first."""
-    counts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(*(F.count_if(F.col("role") == r).alias(r) for r in ("user", "assistant")))
-    best = F.array_max(F.array(*(F.struct(F.col(r).alias("n"), F.lit(-k).alias("ord"), F.lit(r).alias("name")) for k, r in enumerate(("user", "assistant")))))
-    return counts.select("conv_id", best["name"].alias("best"))
+# Step logs: every three events of a user are a session, and kinds of events stand for tools.
+TOOLS = {"view": "query_slides", "click": "extract_table_data", "purchase": "filter_and_aggregate", "signup": "get_presentation_overview", "error": "analyze_text_formatting"}
+SESSIONS = f"""SELECT session, list(tool ORDER BY event_id) AS steps, list_distinct(list(parameter)) AS parameters FROM (SELECT event_id, user_id || '-' || ((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 3) AS session,
+    CASE event_type {' '.join(f"WHEN '{e}' THEN '{t}'" for e, t in TOOLS.items())} END AS tool, CASE WHEN value > 50 THEN 'filters' ELSE 'title' END AS parameter FROM events) GROUP BY session"""
 
 
-# Output shapes.
-@query(
-    "flat_pivot",
-    """SELECT l_orderkey, max(l_quantity) FILTER (l_linenumber = 1) AS h1, max(l_quantity) FILTER (l_linenumber = 2) AS h2, max(l_quantity) FILTER (l_linenumber = 3) AS h3
-       FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey""",
-)
-def flat_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order has a row, and every line number a column."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("h", F.concat(F.lit("h"), F.col("l_linenumber").cast("string")))
-    return rows.groupBy("l_orderkey").pivot("h", [f"h{k}" for k in range(1, 8)]).agg(F.max("l_quantity"))
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    tool = F.coalesce(*(F.when(F.col("event_type") == e, t) for e, t in TOOLS.items()))
+    log = events.select("event_id", F.concat_ws("-", "user_id", F.floor(place / 3).cast("string")).alias("session"), tool.alias("tool"), F.create_map(F.when(F.col("value") > 50, "filters").otherwise("title"), F.lit("x")).alias("p"))
+    return workflow.sequences(log, "session", "event_id", "tool", "p")
 
 
-@query("row_col_value", "SELECT n_nationkey AS row, c.col, c.value FROM nation, LATERAL (VALUES (0, n_name), (1, n_regionkey::VARCHAR)) AS c(col, value)")
-def row_col_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").selectExpr("n_nationkey AS row", "stack(2, 0, n_name, 1, string(n_regionkey)) AS (col, value)")
+def score_sql(name: str) -> str:
+    tools, given, patterns = workflow.WORKFLOWS[name]
+    quoted = lambda of: "[" + ", ".join(f"'{x}'" for x in of) + "]"
+    share = lambda c, of: f"len(list_intersect(list_distinct({c}), {quoted(of)})) / {len(of)}"
+    return f"0.4::DOUBLE * ({share('steps', tools)}) + 0.3::DOUBLE * ({share('parameters', given)}) + 0.3::DOUBLE * greatest({', '.join(partial_sql('steps', p) for p in patterns)})"
 
 
-@query("color_group", "SELECT coalesce(l_returnflag, 'no_color') AS group_key, count(*) AS n FROM lineitem GROUP BY ALL")
-def color_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.coalesce("l_returnflag", F.lit("no_color")).alias("group_key")).agg(F.count("*").alias("n"))
+SCORES = f"SELECT *, {', '.join(f'round({score_sql(w)}, 6) AS score_{w}' for w in workflow.WORKFLOWS)} FROM ({SESSIONS})"
+BEST = f"greatest({', '.join(f'score_{w}' for w in workflow.WORKFLOWS)})"
+DETECTED = f"SELECT *, {BEST} AS confidence, CASE WHEN {BEST} > 0.5 THEN CASE {' '.join(f'WHEN score_{w} = {BEST} THEN {chr(39)}{w}{chr(39)}' for w in workflow.WORKFLOWS)} END END AS workflow FROM ({SCORES})"
 
 
-@query(
-    "multi_membership",
-    """WITH g AS (SELECT unnest(list_filter([CASE WHEN value > 50 THEN 'large' END, CASE WHEN event_type = 'click' THEN 'click' END, CASE WHEN user_id % 2 = 0 THEN 'even' END], lambda x: x IS NOT NULL)) AS group_key FROM events)
-       SELECT group_key, count(*) AS n FROM g GROUP BY ALL""",
-)
-def multi_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = F.array(F.when(F.col("value") > 50, "large"), F.when(F.col("event_type") == "click", "click"), F.when(F.col("user_id") % 2 == 0, "even"))
-    return table(spark, sf_dir, "events").select(F.explode(F.array_compact(flags)).alias("group_key")).groupBy("group_key").agg(F.count("*").alias("n"))
+@query("workflow_scores", f"SELECT session, {', '.join(f'score_{w}' for w in workflow.WORKFLOWS)} FROM ({SCORES})")
+def workflow_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = workflow.scores(sessions(spark, sf_dir))
+    return found.select("session", *(F.round(f"score_{w}", 6).alias(f"score_{w}") for w in workflow.WORKFLOWS))
+
+
+@query("workflow_detected", f"SELECT session, workflow, confidence FROM ({DETECTED})")
+def workflow_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.detected(sessions(spark, sf_dir)).select("session", "workflow", F.round("confidence", 6).alias("confidence"))
+
+
+LONGEST = {w: max(patterns, key=len) for w, (_, _, patterns) in workflow.WORKFLOWS.items()}
+
+
+@query("workflow_suggestions", f"""WITH r(workflow, suggestion, ord) AS (VALUES {', '.join(f"('{w}', '{t}', {k})" for w, steps in LONGEST.items() for k, t in enumerate(steps))}), o AS (SELECT session, workflow, suggestion, ord FROM ({DETECTED}) JOIN r USING (workflow) WHERE NOT list_contains(steps, suggestion))
+    SELECT session, workflow, suggestion, row_number() OVER (PARTITION BY session ORDER BY ord) AS rank FROM o QUALIFY rank <= 3""")
+def workflow_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = workflow.suggestions(workflow.detected(sessions(spark, sf_dir)))
+    return found.select("session", "workflow", "suggestion", F.col("rank").cast("long").alias("rank"))
 
 
-@query("formatting_histogram", "WITH b AS (SELECT page_id, len(regexp_extract_all(html, '<b>')) AS bold FROM pages) SELECT bold, count(*) AS n FROM b GROUP BY bold")
-def formatting_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").groupBy(F.regexp_count("html", F.lit("<b>")).cast("long").alias("bold")).agg(F.count("*").alias("n"))
+# Output shapes.
+@query(
+    "flat_pivot",
+    f"SELECT l_orderkey, {', '.join(f'max(l_quantity) FILTER (l_linenumber = {k}) AS h{k}' for k in range(1, 8))} FROM lineitem GROUP BY l_orderkey",
+)
+def flat_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order has a row, and every line number a column."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("h", F.concat(F.lit("h"), F.col("l_linenumber").cast("string")))
+    return rows.groupBy("l_orderkey").pivot("h", [f"h{k}" for k in range(1, 8)]).agg(F.max("l_quantity"))
 
 
-@query("html_escape", """SELECT doc_id, replace(replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS html FROM documents""")
+@query("html_escape", """SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS html FROM documents""")
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tables.escaped(F.col("text")).alias("html"))
 
@@ -378,3 +364,7 @@ def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("top_tools", "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3")
 def top_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.top(table(spark, sf_dir, "events"), "event_type", 3)
+
+
+QUERIES |= package_queries.QUERIES
+ORACLES |= package_queries.ORACLES

@@ -36,10 +36,13 @@ def resolved(df: DataFrame, path: str) -> tuple[Column, str]:
 
 
 def filtered(df: DataFrame, spec: Spec) -> DataFrame:
-    if not spec.filters:
-        return df
+    return df.where(kept(df, spec)) if spec.filters else df
+
+
+def kept(df: DataFrame, spec: Spec) -> Column:
+    """Whether a row passes the filters."""
     parts = [condition(*resolved(df, f.field), f.condition, f.value, f.case_sensitive, f.formatting_criteria) for f in spec.filters]
-    return df.where(combined(parts, spec.filter_logic))
+    return combined(parts, spec.filter_logic)
 
 
 def grouped(df: DataFrame, spec: Spec, seq: str) -> DataFrame:
@@ -90,9 +93,16 @@ def run(df: DataFrame, spec: Spec | dict, seq: str) -> DataFrame:
 
 
 def summary(df: DataFrame, spec: Spec | dict, seq: str) -> DataFrame:
-    """One row: how many rows there were, passed the filters, and came out."""
+    """One row: how many rows there were, passed the filters, and came out. The input is read once."""
     spec = spec if isinstance(spec, Spec) else Spec.of(spec)
-    passed = filtered(df, spec)
-    count = lambda d, name: d.agg(F.count("*").alias(name))
-    one = count(df, "original_count").join(count(passed, "filtered_count")).join(count(run(df, spec, seq), "final_count"))
-    return one.select("*", F.lit(spec.grouping is not None).alias("grouped"), F.lit(bool(spec.sorting)).alias("sorted"), F.lit(spec.limit is not None or spec.offset > 0).alias("paged"))
+    passes = F.coalesce(kept(df, spec), F.lit(False))
+    keys = [text(resolved(df, f)[0]).alias(f"_k{k}") for k, f in enumerate(spec.grouping.fields)] if spec.grouping else []
+    rows = df.select(passes.alias("_p"), *keys)
+    if spec.grouping:
+        each = rows.groupBy("_p", *(f"_k{k}" for k in range(len(keys)))).agg(F.count("*").alias("n"))
+        one = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("original_count"), F.coalesce(F.sum(F.when(F.col("_p"), F.col("n"))), F.lit(0)).alias("filtered_count"), F.count_if("_p").alias("left"))
+    else:
+        one = rows.agg(F.count("*").alias("original_count"), F.count_if("_p").alias("filtered_count")).withColumn("left", F.col("filtered_count"))
+    after = F.greatest(F.col("left") - spec.offset, F.lit(0))
+    final = after if spec.limit is None else F.least(after, F.lit(spec.limit))
+    return one.select("original_count", "filtered_count", final.cast("long").alias("final_count"), F.lit(spec.grouping is not None).alias("grouped"), F.lit(bool(spec.sorting)).alias("sorted"), F.lit(spec.limit is not None or spec.offset > 0).alias("paged"))

@@ -93,3 +93,52 @@ class Spec:
             given.get("limit"),
             given.get("offset") or 0,
         )
+
+
+def simple_filter(field: str, condition: str, value: Any = None, case_sensitive: bool = False) -> Filter:
+    return Filter(field, condition, value, None, case_sensitive)
+
+
+def formatting_filter(field: str, criteria: dict | None = None) -> Filter:
+    """Rows whose field has formatting, or the formatting that the criteria state."""
+    return Filter(field, "has_formatting", None, criteria)
+
+
+def aggregation(field: str, operation: str, output_field: str, separator: str = ", ") -> Aggregation:
+    return Aggregation(field, operation, output_field, separator)
+
+
+def sort(field: str, order: str = "asc") -> Sort:
+    return Sort(field, order)
+
+
+def given_only(given: dict, known: tuple[str, ...], what: str) -> dict:
+    """The known keys of an object that have a value; unknown keys are an error."""
+    return {k: v for k, v in _only(given, known, what).items() if v is not None}
+
+
+def slide_criteria(**given: Any) -> dict:
+    """Search criteria for slides, checked: title, content, layout, notes, section, slide_numbers."""
+    from deckhand.operators.slides import check_criteria
+
+    found = {k: v for k, v in given.items() if v is not None}
+    if errors := check_criteria(found):
+        raise ValueError("; ".join(errors))
+    return found
+
+
+def table_criteria(given: dict) -> dict:
+    return given_only(given, ("min_rows", "max_rows", "min_columns", "max_columns", "header_contains", "header_patterns"), "table criteria")
+
+
+def column_selection(given: dict) -> dict:
+    """Arguments of tables.selected()."""
+    named = given_only(given, ("specific_columns", "column_patterns", "exclude_columns", "all_columns"), "column selection")
+    names = {"specific_columns": "specific", "column_patterns": "patterns", "exclude_columns": "exclude"}
+    return {names.get(k, k): v for k, v in named.items()}
+
+
+def element_filter(given: dict) -> dict:
+    """Arguments of formatting.filtered()."""
+    known = ("formatting_types", "content_types", "text_contains", "text_patterns", "slide_numbers", "min_font_size", "max_font_size", "colors")
+    return given_only(given, known, "formatting filter")

@@ -7,9 +7,11 @@ Parsing goes in document order, which native XML functions can't keep among sibl
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -28,6 +30,9 @@ NS = {
 }
 REQUIRED = ("[Content_Types].xml", "_rels/.rels", "ppt/presentation.xml")
 MAX_BYTES = 100 << 20
+#: What all parts of a package may unpack to.
+MAX_UNPACKED = 1 << 30
+UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError, ValueError)
 RID = f"{{{NS['r']}}}id"
 
 RUN = "struct<text:string,size:double,color:string,bold:boolean,italic:boolean,underline:boolean,strike:boolean,highlight:string,rid:string>"
@@ -41,7 +46,7 @@ COUNTS = "struct<shapes:int,text_boxes:int,images:int,tables:int,charts:int,medi
 COMMENT = "struct<author_id:string,dt:string,idx:string,x:bigint,y:bigint,text:string>"
 SCHEMA = (
     f"file string, modified timestamp, length long, kind string, part string, part_number int, error string, "
-    f"layout_name string, shapes array<{SHAPE}>, tables array<{TABLE}>, counts {COUNTS}, rels array<{REL}>, notes string, "
+    f"slide_number int, slide_id string, section string, digest string, layout_name string, shapes array<{SHAPE}>, tables array<{TABLE}>, counts {COUNTS}, rels array<{REL}>, notes string, "
     f"comments array<{COMMENT}>, slide_ids array<struct<id:string,rid:string>>, sections array<struct<name:string,id:string,slide_ids:array<string>>>, "
     f"width long, height long, slide_masters int, has_notes_master boolean, has_handout_master boolean"
 )
@@ -165,9 +170,7 @@ def parse_slide(data: bytes) -> dict:
     return {"layout_name": c.get("name") if c is not None else None, "shapes": shapes, "tables": tables, "counts": counts}
 
 
-def parse_rels(data: bytes | None) -> list[dict]:
-    if data is None:
-        return []
+def parse_rels(data: bytes) -> list[dict]:
     return [{"rid": r.get("Id"), "type": (r.get("Type") or "").rpartition("/")[2], "target": r.get("Target")} for r in ET.fromstring(data)]
 
 
@@ -211,7 +214,10 @@ def parse_presentation(data: bytes) -> dict:
 
 
 def problem(path: str, length: int, data: bytes | None) -> str | None:
-    """Why a file isn't a package, or None. (Spark's reader leaves out empty files by itself.)"""
+    """Why a file isn't a package, or None. (Spark's reader leaves out empty files by itself.)
+
+    Sizes that the directory states are checked before anything is unpacked, and no part unpacks to more.
+    """
     if not path.lower().endswith(".pptx"):
         return "wrong extension"
     if not length:
@@ -220,45 +226,81 @@ def problem(path: str, length: int, data: bytes | None) -> str | None:
         return "file too large"
     try:
         with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
+            found = z.infolist()
+            if sum(i.file_size for i in found) > MAX_UNPACKED:
+                return "unpacks to too much"
+            if any(i.flag_bits & 1 for i in found):
+                return "encrypted"
             if bad := z.testzip():
                 return f"damaged part: {bad}"
-            missing = [r for r in REQUIRED if r not in z.namelist()]
+            missing = missing_parts(z.namelist())
     except zipfile.BadZipFile:
         return "not a ZIP archive"
+    except UNREADABLE as e:
+        return f"unreadable archive: {e}"
     return f"missing parts: {', '.join(missing)}" if missing else None
 
 
+def missing_parts(names: list[str]) -> list[str]:
+    """Required parts that a package lacks."""
+    return [r for r in REQUIRED if r not in names]
+
+
 def _numbered(name: str) -> int | None:
     m = re.search(r"(\d+)\.xml$", name)
     return int(m[1]) if m else None
 
 
+def target_part(target: str | None) -> str:
+    """The part that a relation of a part below ppt/ points to."""
+    return "ppt/" + target.removeprefix("../").removeprefix("/ppt/") if target else ""
+
+
 def _package(data: bytes) -> Iterator[dict]:
+    """The package's row, then its slides'. A part that isn't well-formed leaves its fields empty and a note in the row's error."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
-        read = lambda n: z.read(n) if n in names else None
-        top = {"kind": "package", "part": "ppt/presentation.xml", "rels": parse_rels(read("ppt/_rels/presentation.xml.rels"))}
-        yield top | parse_presentation(z.read("ppt/presentation.xml"))
+        errors: list[str] = []
+
+        def parsed_part(name: str, parse, default):
+            if name not in names:
+                return default
+            try:
+                return parse(z.read(name))
+            except (ET.ParseError, LookupError, ValueError) as e:
+                errors.append(f"{name}: {e}")
+                return default
+
+        top = {"kind": "package", "part": "ppt/presentation.xml", "rels": parsed_part("ppt/_rels/presentation.xml.rels", parse_rels, [])}
+        top |= parsed_part("ppt/presentation.xml", parse_presentation, {"slide_ids": [], "sections": []})
+        yield top | {"error": "; ".join(errors) or None}
+        targets = {r["rid"]: target_part(r["target"]) for r in reversed(top["rels"])}
+        listed = {}
+        for k, x in enumerate(top["slide_ids"], 1):
+            listed.setdefault(targets.get(x["rid"]), (k, x["id"]))
+        sections = {i: s["name"] for s in reversed(top["sections"]) for i in s["slide_ids"]}
         for name in sorted(names, key=lambda n: (_numbered(n) or 0, n)):
             if re.fullmatch(r"ppt/slides/slide\d+\.xml", name):
-                row = {"kind": "slide", "part": name, "part_number": _numbered(name), "rels": parse_rels(read(name.replace("slides/", "slides/_rels/") + ".rels"))}
+                errors.clear()
+                own = name.replace("slides/", "slides/_rels/") + ".rels"
+                number, slide_id = listed.get(name, (_numbered(name), None))
+                row = {"kind": "slide", "part": name, "part_number": _numbered(name), "slide_number": number, "slide_id": slide_id, "section": sections.get(slide_id)}
+                row |= {"width": top.get("width"), "height": top.get("height"), "digest": hashlib.md5(z.read(name)).hexdigest(), "rels": parsed_part(own, parse_rels, [])}
                 notes, comments = [], []
                 for r in row["rels"]:
-                    target = "ppt/" + r["target"].removeprefix("../").removeprefix("/ppt/") if r["target"] else ""
+                    target = target_part(r["target"])
                     if r["type"] == "notesSlide" and target in names:
                         notes.append(target)
-                    if r["type"].startswith("comment") and target in names:
-                        comments += parse_comments(z.read(target))
+                    if r["type"].startswith("comment"):
+                        comments += parsed_part(target, parse_comments, [])
                 # Notes also name their slide; without either relation the number of the part decides.
                 if not notes and f"ppt/notesSlides/notesSlide{row['part_number']}.xml" in names:
-                    own = f"ppt/notesSlides/notesSlide{row['part_number']}.xml"
-                    back = [r["target"] for r in parse_rels(read(own.replace("notesSlides/", "notesSlides/_rels/") + ".rels")) if r["type"] == "slide"]
-                    notes = [own] if not back or any(t.endswith(f"/slide{row['part_number']}.xml") for t in back) else []
-                try:
-                    row |= parse_slide(z.read(name)) | {"notes": parse_notes(z.read(notes[0])) if notes else None, "comments": comments}
-                except ET.ParseError as e:
-                    row["error"] = str(e)
-                yield row
+                    alone = f"ppt/notesSlides/notesSlide{row['part_number']}.xml"
+                    back = [r["target"] or "" for r in parsed_part(alone.replace("notesSlides/", "notesSlides/_rels/") + ".rels", parse_rels, []) if r["type"] == "slide"]
+                    notes = [alone] if not back or any(t.endswith(f"/slide{row['part_number']}.xml") for t in back) else []
+                row |= parsed_part(name, parse_slide, {})
+                row |= {"notes": parsed_part(notes[0], parse_notes, None) if notes else None, "comments": comments}
+                yield row | {"error": "; ".join(errors) or None}
 
 
 def packages(spark: SparkSession, path: str) -> DataFrame:
@@ -269,7 +311,8 @@ def packages(spark: SparkSession, path: str) -> DataFrame:
 def parsed(files: DataFrame) -> DataFrame:
     """Rows of kind ``slide`` and ``package``, and ``reject`` with an error, of files as the binary source reads them.
 
-    A slide that isn't well-formed keeps its row, with its number and the error. A file is parsed by one
+    A part that isn't well-formed leaves its own fields empty and its error in the row: a slide keeps its number,
+    and a package whose list of slides can't be read keeps them by the numbers of their parts. A file is parsed by one
     task, as its parts share one archive; files larger than 100 MB are rejected without being unzipped.
     """
     fields = T.StructType.fromDDL(SCHEMA)
@@ -288,26 +331,110 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("path", "modificationTime", "length", content).mapInArrow(run, fields)
 
 
-def parts(spark: SparkSession, path: str) -> DataFrame:
-    """file, name, size, is_xml of every part of every readable archive, without unpacking them."""
+def rejects(parsed_rows: DataFrame) -> DataFrame:
+    """file, error_type, error of files that aren't packages, and of parts that couldn't be read."""
+    kind = F.when(F.col("kind") == "reject", "invalid_file").otherwise("unreadable_part")
+    return parsed_rows.where("error IS NOT NULL").select("file", kind.alias("error_type"), "part", "error")
+
+
+def metadata(files: DataFrame) -> DataFrame:
+    """file, name, extension, length, modified and identity (a hash of path, length and time) of files as the binary source reads them."""
+    name = F.element_at(F.split("path", "/"), -1)
+    identity = F.sha2(F.concat_ws(":", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string")), 256)
+    return files.select(
+        F.col("path").alias("file"), name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("extension"), "length", F.col("modificationTime").alias("modified"), identity.alias("identity")
+    )
+
+
+def parts(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
+    """The parts of every readable archive below a path."""
+    return parts_of(binary(spark, path), content)
+
+
+def parts_of(files: DataFrame, content: bool = False) -> DataFrame:
+    """file, ordinal (in archive order, from 0), name, size, is_xml of every part, without unpacking them; on demand content.
+
+    Only parts of up to 100 MB are unpacked; others, and damaged ones, have no content. An archive that can't be
+    opened has no parts.
+    """
+    fields = "file string, ordinal int, name string, size long, is_xml boolean" + ", content binary" * content
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for f in batch.to_pylist():
                 try:
-                    found = zipfile.ZipFile(io.BytesIO(f["content"])).infolist()
-                except zipfile.BadZipFile:
+                    z = zipfile.ZipFile(io.BytesIO(f["content"] or b""))
+                    found = z.infolist()
+                except UNREADABLE:
                     continue
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "file": pa.array([f["path"]] * len(found), pa.string()),
-                        "name": pa.array([i.filename for i in found], pa.string()),
-                        "size": pa.array([i.file_size for i in found], pa.int64()),
-                        "is_xml": pa.array([bool(re.search(r"\.(xml|rels)$", i.filename)) for i in found], pa.bool_()),
-                    }
-                )
-
-    return binary(spark, path).select("path", "content").mapInArrow(run, "file string, name string, size long, is_xml boolean")
+                columns = [
+                    pa.array([f["path"]] * len(found), pa.string()), pa.array(range(len(found)), pa.int32()), pa.array([i.filename for i in found], pa.string()),
+                    pa.array([i.file_size for i in found], pa.int64()), pa.array([bool(re.search(r"\.(xml|rels)$", i.filename)) for i in found], pa.bool_()),
+                ]
+                if content:
+                    columns.append(pa.array([_unpacked(z, i) for i in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in fields.split(", ")])
+
+    return files.select("path", "content").mapInArrow(run, fields)
+
+
+def _unpacked(z: zipfile.ZipFile, i: zipfile.ZipInfo) -> bytes | None:
+    try:
+        return z.read(i) if i.file_size <= MAX_BYTES else None
+    except UNREADABLE:
+        return None
+
+
+def xml_parts(found: DataFrame) -> DataFrame:
+    return found.where("is_xml")
+
+
+def part(found: DataFrame, name: str) -> DataFrame:
+    """A part by its name, one row a file that has it."""
+    return found.where(F.col("name") == name)
+
+
+#: Where parts of a kind stand.
+PLACES = {"slides": r"^ppt/slides/slide.*\.xml$", "layouts": r"^ppt/slideLayouts/slideLayout.*\.xml$", "notes": r"^ppt/notesSlides/notesSlide.*\.xml$", "media": r"^ppt/media/."}
+
+
+def parts_like(found: DataFrame, kind: str) -> DataFrame:
+    """Slides, layouts, notes or media, with ``ordinal`` as their archive order."""
+    return found.where(F.col("name").rlike(PLACES[kind]))
+
+
+def required(found: DataFrame) -> DataFrame:
+    """file, name of each required part that a package lacks."""
+    wanted = found.select("file").distinct().select("file", F.explode(F.array(*map(F.lit, REQUIRED))).alias("name"))
+    return wanted.join(found.select("file", "name"), ["file", "name"], "left_anti")
+
+
+def elements(found: DataFrame, path: str, first: bool = False) -> DataFrame:
+    """file, name, at, tag, text, attributes of the elements that a path finds in XML parts with content.
+
+    The path is one of ElementTree's, with the prefixes p, a, r and rel, as ``.//a:t``. ``text`` is all text
+    within the element; attributes keep their prefix, as ``r:id``. A part that isn't well-formed has none.
+    """
+    prefixes = {uri: p for p, uri in NS.items()}
+
+    def short(name: str) -> str:
+        uri, _, local = name[1:].partition("}") if name[0] == "{" else ("", "", name)
+        return f"{prefixes[uri]}:{local}" if uri in prefixes else local
+
+    kinds = pa.map_(pa.string(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f in batch.to_pylist():
+                try:
+                    hits = ET.fromstring(f["content"] or b"").findall(path, NS)
+                except ET.ParseError:
+                    continue
+                hits = hits[:1] if first else hits
+                columns = [[f["file"]] * len(hits), [f["name"]] * len(hits), list(range(len(hits))), [short(e.tag) for e in hits], ["".join(e.itertext()) for e in hits], [[(short(k), v) for k, v in e.items()] for e in hits]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), kinds))], ["file", "name", "at", "tag", "text", "attributes"])
+
+    return found.where("is_xml").select("file", "name", "content").mapInArrow(run, "file string, name string, at int, tag string, text string, attributes map<string,string>")
 
 
 def census(found: DataFrame) -> DataFrame:

@@ -25,4 +25,4 @@ def ingest(spark: SparkSession, path: str, table: str, checkpoint: str) -> Strea
 
 def sessions(steps: DataFrame, gap: str = "30 minutes", late: str = "1 hour", key: str = "user_id", time: str = "ts", tool: str = "event_type") -> DataFrame:
     """Sessions of a step log, batch or stream: steps that follow within the gap belong together."""
-    return steps.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("steps"), F.approx_count_distinct(tool).alias("tools"))
+    return steps.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("steps"), F.size(F.collect_set(tool)).alias("tools"))
