@@ -57,6 +57,7 @@ PLACES = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.u
 #: For keys: multipliers of a chunk's slots, and what tells apart the chunks and the slots left out.
 PLACED = _rng.integers(1, 1 << 63, CHUNK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WAYS = _rng.integers(0, 1 << 63, (CHUNKS, CHUNK), dtype=np.uint64)
+WAY_BITS = np.uint64(127)
 
 
 class _Words(dict):
@@ -126,7 +127,7 @@ def describe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keys(nodes: DataFrame) -> DataFrame:
-    """key, node: each chunk without each of its slots, as a 64-bit name of chunk, place and the other slots."""
+    """key, node: each chunk without each of its slots, as a name of the other slots whose low bits say which chunk and slot."""
 
     @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +137,7 @@ def keys(nodes: DataFrame) -> DataFrame:
                 data, _ = common.text_bytes(batch.column(1))
                 chunks = data.view("<u2").reshape(-1, CHUNKS, CHUNK).astype(np.uint64) * PLACED
                 whole_chunk = chunks.sum(axis=2, dtype=np.uint64)
-                out = _mix(whole_chunk[:, :, None] - chunks + WAYS)
+                out = _mix(whole_chunk[:, :, None] - chunks + WAYS) & ~WAY_BITS | np.arange(SLOTS, dtype=np.uint64).reshape(CHUNKS, CHUNK)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out.ravel().astype(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), SLOTS))], ["key", "node"]
                 )
@@ -329,8 +330,13 @@ def _near(rows: DataFrame) -> DataFrame:
             x, y = np.repeat(asking_[at:to], size[at:to]), common.ragged(lo[at:to], size[at:to])
             some = (role[y] != 1) & (root[x] != root[y]) & ((root[y] == major[y]) | (node[x] < node[y])) & (own[y] != family[x]) & (own[x] != family[y])
             x, y = x[some], y[some]
-            d = np.count_nonzero(sig[x] != sig[y], axis=1)
-            close = d <= DISTANCE
+            errors = (sig[x] != sig[y]).reshape(-1, CHUNKS, CHUNK)
+            by_chunk = np.count_nonzero(errors, axis=2)
+            d = by_chunk.sum(axis=1)
+            # A pair meets under many keys; it counts under the first of them only.
+            c = (by_chunk <= 1).argmax(axis=1)
+            way = c * CHUNK + errors[np.arange(len(c)), c].argmax(axis=1)
+            close = (d <= DISTANCE) & (key[x] & int(WAY_BITS) == way)
             out.append(nearest(np.stack([node[x], root[y], d, node[y]])[:, close]))
             at = to
         found = nearest(np.concatenate(out, axis=1)) if out else np.zeros((4, 0), np.int64)
