@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deckhand.llm import extraction, licences, media, neardup, packing, pii, quality, records, suffixes, wordbpe
+from deckhand.llm import extraction, licences, media, neardup, oracles, packing, pii, quality, records, suffixes, wordbpe
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_bucketed_suffixes": oracles.REPEATS, "op9_multi_index_hamming": oracles.NEAR, "base_media": oracles.MEDIA, "base_licences": oracles.LICENCES, "base_quality": oracles.QUALITY,
+}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +60,19 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_media_archive, op3_signature_rules, op4_vector_packing, op5_dom_sum_product, op6_bucketed_suffixes, op7_line_labelling, op8_word_bpe, op9_multi_index_hamming, op10_token_records, packed_conversations)}
+def base_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2's result: the payloads that were read back."""
+    return op2_media_archive(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def base_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3's result: words and base phrases."""
+    return op3_signature_rules(spark, sf_dir).drop("labels", "score")
+
+
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7's result: the counts of the plain rules."""
+    return op7_line_labelling(spark, sf_dir).drop("kept", "content_share")
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_media_archive, op3_signature_rules, op4_vector_packing, op5_dom_sum_product, op6_bucketed_suffixes, op7_line_labelling, op8_word_bpe, op9_multi_index_hamming, op10_token_records, packed_conversations, base_media, base_licences, base_quality)}
