@@ -67,7 +67,7 @@ def explode(block: list[str], apart: str = "") -> tuple[list[str], np.ndarray, n
 
     Pieces with a character of ``apart`` are left whole.
     """
-    odd = re.compile(f"[{re.escape(apart)}]") if apart else re.compile(r"(?!)")
+    odd = frozenset(apart)
     pattern, seen, order, pieces = regex.compile(vocab.SPACED), {}, [], []
     for text in block:
         head, *tail = text.split(" ")
@@ -80,7 +80,7 @@ def explode(block: list[str], apart: str = "") -> tuple[list[str], np.ndarray, n
     flat, lengths = [], []
     for key in seen:
         piece, spaced = (key[0], key[0]) if isinstance(key, tuple) else (key, " " + key)
-        if piece.isascii() or not odd.search(piece):
+        if piece.isascii() or odd.isdisjoint(piece):
             found = [spaced] if piece.isalpha() else pattern.findall(spaced)
         else:
             found = [spaced]
