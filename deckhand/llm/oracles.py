@@ -51,3 +51,37 @@ MEDIA = """
 WITH p AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, n AS n_bytes, greatest((n + 191) // 192, 1) * 192 AS payload_bytes, sha256(t || repeat(' ', (greatest((n + 191) // 192, 1) * 192 - n)::INT)) AS payload_sha256 FROM p
 """
+
+#: CRC-32 of an id's digits, bit by bit.
+CRC = "xor(4294967295, list_reduce(list_transform(string_split({}::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda s, b: list_reduce(range(8), lambda t, k: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END, xor(s, b)), 4294967295))"
+
+#: Every pair of equal words of a text with the planted repetition, at most a third of the text apart; unbroken series of pairs at one distance.
+RUNS = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {CRC.format('doc_id')} AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS hit, h // 10 AS g FROM w),
+a AS (SELECT *, CASE WHEN hit THEN g % n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT doc_id, n, CASE WHEN hit THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM p),
+u AS (SELECT doc_id, n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM t),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.x = y.x AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+k AS (SELECT doc_id, i, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e),
+s AS (SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM k GROUP BY doc_id, q, k HAVING count(*) >= greatest(24 - q, 2 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY ALL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS x FROM u ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat_ws(',', start, length, period) || chr(10), '' ORDER BY start, period) AS x, arg_min((start, length, period), (-length / period, start, period)) AS best FROM r GROUP BY doc_id)
+SELECT t.doc_id, t.n AS n_words, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period, 1000 * best[2] // best[3] AS exponent_milli, sha256(coalesce(listed.x, '')) AS runs_sha256, sha256(coalesce(kept.x, '')) AS collapsed_sha256
+FROM t LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+#: Every document's full score for every item.
+RANKED = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all({LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS l FROM t),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM t) GROUP BY ALL),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT item_id, term, times * floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM i JOIN d USING (term), s),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // l))))::BIGINT AS score FROM w JOIN p USING (term), s GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 20
+"""
