@@ -2,7 +2,7 @@
 
 Tags are found from one < to the next; whatever isn't a tag is text. Paragraphs, list items, cells and
 options end where the next begins, an unknown end tag is ignored, and an inline end tag never closes a
-block. Scripts, styles and the head's title hold no elements and no text of the page. In a drawing only
+block. Options stand within the line of their list, apart by spaces. Scripts, styles and the head's title hold no elements and no text of the page. In a drawing only
 its text elements and foreign objects show text. The content of all other elements is read like any other.
 
 A quote that never ends is an ordinary character. A tag that never ends takes the rest of the page.
@@ -24,7 +24,7 @@ DRAWN = ("text", "foreignobject")
 IN_VALUE = re.compile(r"""=\s*[^\s"'>]*/\Z""")
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
-    "h1 h2 h3 h4 h5 h6 header hgroup head hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
+    "h1 h2 h3 h4 h5 h6 header hgroup head hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 #: A new element of the first kind ends an open one of the second, unless one of the third lies between.
 ENDS = {
@@ -35,6 +35,8 @@ ENDS = {
     "td": (("td", "th"), ("tr", "table")),
     "th": (("td", "th"), ("tr", "table")),
     "tbody": (("tbody", "thead", "tr", "td", "th"), ("table",)),
+    "option": (("option",), ("select", "datalist")),
+    "optgroup": (("option", "optgroup"), ("select", "datalist")),
     "body": (("head",), ()),
 }
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
@@ -140,11 +142,13 @@ class Page:
     def _start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
             self.block += 1
-            if "p" not in (ended := ENDS.get(tag, ((), ()))[0]):
-                self._close(("p",), ("table", "td", "button"))
-            if ended:
-                self._close(ended, ENDS[tag][1])
+            self._close(("p",), ("table", "td", "button"))
+        if tag in ENDS:
+            self._close(*ENDS[tag])
+        if tag in BLOCKS:
             self._blocks.append(len(self._stack))
+        elif tag in ENDS:
+            self.runs.append((self._stack[-1], self.block, " "))
         self._places.setdefault(tag, []).append(len(self._stack))
         self.tags.append(tag)
         self.parents.append(self._stack[-1])

@@ -129,6 +129,8 @@ class Maker:
             body = f"<section{MARK}>{body}</section>"
         if self.r.random() < 0.1:
             body += self.comments()
+        if self.r.random() < 0.15:
+            body += self.footer()
         kind = self.r.random()
         if kind < 0.6:
             return f"<article{self.attribute('post article story entry hentry', 0.6)}{MARK}>{title}{body}</article>"

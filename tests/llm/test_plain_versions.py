@@ -188,6 +188,17 @@ def test_pages_of_another_making():
     assert extraction.main_texts(list(PAGES), extraction.trained()) == list(PAGES.values())
 
 
+def test_controls_and_footers_within_an_article():
+    second = "<p>The second paragraph is here, and it says more than the first one did.</p><p>And a third, which ends the page with some words.</p>"
+    text = "The second paragraph is here, and it says more than the first one did.\nAnd a third, which ends the page with some words."
+    pages = {f"<article><h1>Head of it</h1><p>Pick a size <select>{x}</select> and read on.</p>{second}": f"Head of it\nPick a size and read on.\n{text}" for x in ("<option>S<option>M", "<option>S</option><option>M</option>", "<optgroup label=a><option>S<optgroup label=b><option>M")}
+    pages[f"<body><article><h1>Head of it</h1>{second}<footer>Filed under boats</footer></article></body>"] = f"Head of it\n{text}"
+    assert extraction.main_texts(list(pages), extraction.trained()) == list(pages.values())
+    lines = lambda source: (p := Page(source)).lines([True] * len(p.tags))
+    assert lines("<p>a <select><option>S<option>M<optgroup label=x><option>L</select> b</p><p>c</p>") == ["a S M L b", "c"]
+    assert lines("<datalist><option>y<option>z</datalist>after") == ["y zafter"]
+
+
 def test_what_a_page_shows():
     lines = lambda source: (p := Page(source)).lines([True] * len(p.tags))
     assert lines("<p>Let <math><mi>x</mi></math> be <object>shown text</object> and <noscript>plain</noscript> end.</p>") == ["Let x be shown text and plain end."]
