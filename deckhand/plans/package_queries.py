@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from deckhand.operators import analysis, formatting, rendering, slides, tables
 from deckhand.plans import pipeline
-from deckhand.sources import ooxml, writer
+from deckhand.sources import archive, ooxml, storage, writer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,6 +125,31 @@ def pkg_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ooxml.parts_of(files(spark, sf_dir)).select("file", "name", "is_xml")
 
 
+def folder(spark: SparkSession, sf_dir: str) -> str:
+    """The decks as files of a new folder in the shared one."""
+    path = storage.new_dir(spark, "decks")
+    archive.write_packages(files(spark, sf_dir), path).write.format("noop").mode("overwrite").save()
+    return path
+
+
+def file_name() -> Column:
+    return F.element_at(F.split("file", "/"), -1).alias("file")
+
+
+@query("pkg_source_parts", f"SELECT file, name, regexp_matches(name, '\\.(xml|rels)$') AS is_xml, row_number() OVER (PARTITION BY file ORDER BY name) AS place FROM ({PARTS})")
+def pkg_source_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directories of archives that lie in a folder, by the data source."""
+    found = archive.scan(spark, folder(spark, sf_dir))
+    return found.select(file_name(), "name", "is_xml", F.row_number().over(Window.partitionBy("file").orderBy("name")).cast("long").alias("place"))
+
+
+@query("pkg_source_lookup", f"SELECT file, '<Types/>' AS text, true AS read_in_part FROM ({S}) WHERE n = 1")
+def pkg_source_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One part of each archive, of which nothing else is read but the directory."""
+    found = archive.scan(spark, folder(spark, sf_dir), content=True).where(F.col("name") == "[Content_Types].xml")
+    return found.select(file_name(), F.col("content").cast("string").alias("text"), (F.col("bytes_read") < F.col("length")).alias("read_in_part"))
+
+
 @query("pkg_slide_parts", f"SELECT file, name, row_number() OVER (PARTITION BY file ORDER BY n) - 1 AS place FROM (SELECT file, n, 'ppt/slides/slide' || (total - n + 1) || '.xml' AS name FROM ({S}))")
 def pkg_slide_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slides in archive order, which is that of the presentation here and not that of their numbers."""
