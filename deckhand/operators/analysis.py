@@ -78,6 +78,10 @@ def slide_scores(df: DataFrame) -> DataFrame:
     return df.withColumns({"objects": total, "minutes": minutes, "complexity": complexity, "readability": readability})
 
 
+#: Types of slides that judgements count together.
+COUNTED = {"_titles": ("title_slide",), "_blanks": ("blank_slide",), "_visuals": ("table_slide", "chart_slide", "image_slide"), "_bullets": ("bullet_slide",)}
+
+
 def insights(df: DataFrame) -> DataFrame:
     """One row a file: duration, scores, density, balance, notes, issues and recommendations."""
     rows = slide_scores(classified(df))
@@ -85,14 +89,17 @@ def insights(df: DataFrame) -> DataFrame:
         F.count("*").alias("slides"), F.sum("minutes").alias("_m"), F.avg("complexity").alias("_c"), F.avg("readability").alias("_r"), F.avg("objects").alias("avg_objects"),
         F.min("objects").alias("_min"), F.max("objects").alias("_max"), F.count_if(~has(F.col("title"))).alias("untitled"),
         F.count_if(has(F.col("notes"))).alias("notes_count"), F.coalesce(F.sum(F.length("notes")), F.lit(0)).alias("notes_length"),
-        F.count_if(F.col("slide_type") == "title_slide").alias("_titles"), F.count_if(F.col("slide_type") == "blank_slide").alias("_blanks"),
-        F.count_if(F.col("slide_type").isin("table_slide", "chart_slide", "image_slide")).alias("_visuals"), F.count_if(F.col("slide_type") == "bullet_slide").alias("_bullets"),
+        *(F.count_if(F.col("slide_type").isin(*kinds)).alias(name) for name, kinds in COUNTED.items()),
         F.array_sort(F.collect_list(F.when(F.col("objects") > 8, F.col("slide_number")))).alias("_crowded"),
     )
     kinds = rows.groupBy("file", "slide_type").agg(F.count("*").alias("n")).groupBy("file").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("slide_type", "n")))).alias("slide_types"), F.count("*").alias("_kinds"), F.max("n").alias("_most"))
     repeated = runs(rows).where("length > 5 AND slide_type <> 'content_slide'").groupBy("file").agg(F.count("*").alias("_runs"))
-    x = per_file.join(kinds, "file").join(repeated, "file", "left")
+    return judged(per_file.join(kinds, "file").join(repeated, "file", "left"))
+
+
+def judged(x: DataFrame, also: list[str] | tuple = ()) -> DataFrame:
+    """Scores, issues and advice from a file's counts, beside other columns."""
     share = F.col("_most") / F.col("slides")
     note = lambda when, what: F.when(when, F.lit(what) if isinstance(what, str) else what)
     issues = F.array_compact(F.array(
@@ -117,7 +124,7 @@ def insights(df: DataFrame) -> DataFrame:
         F.when(F.col("avg_objects") <= 3, "low").when(F.col("avg_objects") <= 6, "medium").otherwise("high").alias("content_density"),
         F.when((F.col("_kinds") >= 4) & (share <= 0.7), "well_balanced").when((F.col("_kinds") >= 3) & (share <= 0.8), "balanced").when(share >= 0.9, "monotonous").otherwise("somewhat_balanced").alias("visual_balance"),
         "slide_types", "notes_count", "notes_length", F.when(F.col("notes_count") > 0, F.col("notes_length") / F.col("notes_count")).alias("notes_average"),
-        issues.alias("issues"), consistency.alias("consistency_issues"), advice.alias("recommendations"), strengths.alias("strengths"), areas.alias("improvement_areas"),
+        issues.alias("issues"), consistency.alias("consistency_issues"), advice.alias("recommendations"), strengths.alias("strengths"), areas.alias("improvement_areas"), *also,
     )
 
 
@@ -179,21 +186,10 @@ JUDGEMENTS = ("readability_score", "content_density", "visual_balance", "consist
 
 
 def overview(df: DataFrame, depth: str = "basic", with_samples: bool = True) -> DataFrame:
-    """One row a file: counts, duration, slide types and classifications; from ``detailed`` on its patterns; judgements only if ``comprehensive``."""
-    if depth not in DEPTHS:
-        raise ValueError(f"unknown depth: {depth}; known are {', '.join(DEPTHS)}")
-    judged = insights(df)
-    out = judged if depth == "comprehensive" else judged.drop(*JUDGEMENTS)
-    kinds = classified(df).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("slide_number", "slide_type", "confidence", "characteristics"))).alias("classifications"))
-    out = out.join(kinds, "file")
-    if depth != "basic":
-        each = F.struct("pattern_type", "pattern_name", "occurrences", "slides", "examples", "confidence")
-        out = out.join(patterns(df).groupBy("file").agg(F.array_sort(F.collect_list(each)).alias("patterns")), "file", "left")
-    if with_samples:
-        some = sample(df, slides=3 if depth != "basic" else 0)
-        in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("slide_number", c)))), lambda x: x[c])
-        out = out.join(some.groupBy("file").agg(in_order("title").alias("sample_titles"), F.flatten(in_order("texts")).alias("sample_texts")), "file", "left")
-    return out
+    """One row a file, read once (see ``decks.overview``)."""
+    from deckhand.operators import decks
+
+    return decks.overview(df, depth, with_samples)
 
 
 def with_formatting(overviews: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deckhand.functions.arrays import let, stretches
 from deckhand.functions.predicates import combined, matches, text
+from deckhand.sources.ooxml import PARAS
 
 #: The kinds of formatting and of groupings.
 TYPES = ("bold", "italic", "underlined", "highlighted", "strikethrough", "hyperlinks", "font_sizes", "font_colors")
@@ -74,10 +76,39 @@ def extraction_summary(slides: DataFrame, kind: str) -> DataFrame:
 
 def paragraphs(found: Column) -> Column:
     """Text of an array of para, run, text in order: runs directly after one another, paragraphs with text joined by a space."""
-    lines = F.transform(F.array_distinct(F.transform(found, lambda x: x["para"])), lambda p: F.array_join(F.transform(F.filter(found, lambda x: x["para"] == p), lambda x: x["text"]), ""))
+    lines = F.transform(stretches(found, lambda x: x["para"]), lambda g: F.array_join(F.transform(g, lambda x: x["text"]), ""))
     return F.array_join(F.filter(lines, lambda x: F.trim(x) != ""), " ")
 
 
+#: What the totals of text elements count.
+TOTALS = ("total_elements", "formatted_elements", "bold_count", "italic_count", "underline_count", "strikethrough_count", "highlight_count", "colored_elements", "hyperlink_elements")
+
+
+def totals(shapes: Column, tables: Column) -> Column:
+    """A slide's totals of its text elements, without a row for each run."""
+    nothing = lambda c: F.coalesce(c, F.array().cast(f"array<{PARAS}>"))
+    cells = F.flatten(F.transform(tables, lambda t: F.flatten(t["rows"])))
+    every = F.concat(nothing(F.transform(shapes, lambda s: s["paras"])), nothing(F.transform(cells, lambda c: c["paras"])))
+
+    def element(paras: Column) -> Column:
+        return let(F.flatten(paras), lambda r: of_runs(paras, r))
+
+    def of_runs(paras: Column, r: Column) -> Column:
+        shown = F.exists(paras, lambda p: F.trim(F.array_join(F.transform(p, lambda x: x["text"]), "")) != "")
+        flagged = lambda c: F.size(F.filter(r, lambda x: x[c] & (F.coalesce(x["text"], F.lit("")) != ""))).alias(c)
+        given = lambda c: F.size(F.filter(r, lambda x: x[c].isNotNull())).alias(c)
+        return F.struct(shown.alias("shown"), *map(flagged, ("bold", "italic", "underline", "strike")), *map(given, ("highlight", "color", "rid")))
+
+    kept = F.filter(F.transform(every, element), lambda e: e["shown"] | (e["rid"] > 0))
+    counts = {"bold_count": "bold", "italic_count": "italic", "underline_count": "underline", "strikethrough_count": "strike", "highlight_count": "highlight"}
+    number = lambda own, when: F.size(F.filter(own, when)).cast("int")
+    added = lambda own, c: F.aggregate(own, F.lit(0), lambda a, e: a + e[c])
+    return let(kept, lambda own: F.struct(
+        F.size(own).alias("total_elements"), number(own, lambda e: sum((e[c] for c in ("bold", "italic", "underline", "strike", "highlight", "color", "rid")), F.lit(0)) > 0).alias("formatted_elements"),
+        *(added(own, c).alias(name) for name, c in counts.items()),
+        number(own, lambda e: e["color"] > 0).alias("colored_elements"), number(own, lambda e: e["rid"] > 0).alias("hyperlink_elements")))
+
+
 def elements(slides: DataFrame) -> DataFrame:
     """One row a text element with its formatting: counts of flagged runs, and distinct sizes, colors and links."""
     flagged = lambda c: F.count_if(F.col(c) & (F.col("text") != ""))

@@ -38,8 +38,8 @@ def cells(slides: DataFrame) -> DataFrame:
         F.col("c.fill").alias("fill"), F.col("c.border").alias("border"), F.col("c.paras").alias("paras"),
     )
     each = compacted(each, [*KEY, "row"], "phys_col", "col_span")
-    heads = each.where("row = 0").select(*KEY, "logical_col", header(F.col("value"), F.col("logical_col")).alias("header"))
-    return each.join(heads, [*KEY, "logical_col"], "left").withColumn("header", F.coalesce("header", F.concat(F.lit("Column "), (F.col("logical_col") + 1).cast("string"))))
+    own = F.max(F.when(F.col("row") == 0, header(F.col("value"), F.col("logical_col")))).over(Window.partitionBy(*KEY, "logical_col"))
+    return each.withColumn("header", F.coalesce(own, F.concat(F.lit("Column "), (F.col("logical_col") + 1).cast("string"))))
 
 
 def selected(df: DataFrame, specific: list[str] | None = None, patterns: list[str] | None = None, exclude: list[str] | None = None, all_columns: bool = True) -> DataFrame:

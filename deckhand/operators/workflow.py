@@ -39,10 +39,13 @@ def contains_sequence(steps: Column, pattern: list[str]) -> Column:
 
 
 def partial_sequence(steps: Column, pattern: list[str]) -> Column:
-    """The greatest share of the pattern that follows in order, with gaps, from any start."""
-    p, n = words(pattern), F.size(steps)
-    matched = lambda i: F.aggregate(F.slice(steps, i, n), F.lit(0), lambda k, x: F.when(x == F.get(p, k), k + 1).otherwise(k))
-    return F.when(n > 0, F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), matched)) / len(pattern)).otherwise(0.0)
+    """The greatest share of the pattern that follows in order, with gaps, from any start.
+
+    Taking each step as soon as it fits from the first on never finds less than from a later start, so one pass does.
+    """
+    p = words(pattern)
+    matched = F.aggregate(steps, F.lit(0), lambda k, x: F.when(x == F.get(p, k), k + 1).otherwise(k))
+    return F.coalesce(matched / len(pattern), F.lit(0.0))
 
 
 def context(df: DataFrame, session: str, seq: str, tool: str, last: int = 3) -> DataFrame:

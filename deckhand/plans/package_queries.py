@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deckhand.operators import analysis, formatting, rendering, slides, tables
+from deckhand.operators import analysis, decks, formatting, rendering, slides, tables
 from deckhand.plans import pipeline
 from deckhand.sources import archive, ooxml, storage, writer
 
@@ -612,6 +612,66 @@ def pkg_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(found.select("file", "slides", F.size("classifications").alias("classified"), F.when(titles != "", titles).alias("sample_titles")), "classified")
 
 
+#: The whole analysis of every deck, as nested lists.
+ANALYSED = f"""WITH s AS ({SCORED}), k AS (SELECT file, slide_type, count(*) AS c FROM s GROUP BY ALL), m AS (SELECT file, count(*) AS kinds, max(c) AS most, list(slide_type || ':' || c ORDER BY slide_type) AS slide_types FROM k GROUP BY file),
+    l AS (SELECT DISTINCT file, true AS long FROM (SELECT file, slide_type, n - row_number() OVER (PARTITION BY file, slide_type ORDER BY n) AS g FROM s WHERE slide_type <> 'content_slide') GROUP BY file, slide_type, g HAVING count(*) > 5),
+    f AS (SELECT file, count(*) AS slides, sum(minutes) AS minutes, avg(complexity) AS cx, avg(readability) AS rd, avg(objects) AS mean, max(objects) AS hi, min(objects) AS lo, count(*) FILTER (title IS NULL) AS untitled, count(*) FILTER (coalesce(notes, '') <> '') AS notes_count, coalesce(sum(length(notes)), 0)::BIGINT AS notes_length,
+      count(*) FILTER (slide_type = 'title_slide') AS titles, count(*) FILTER (slide_type = 'blank_slide') AS blanks, count(*) FILTER (slide_type IN ('table_slide', 'chart_slide', 'image_slide')) AS visuals, count(*) FILTER (slide_type = 'bullet_slide') AS bullets,
+      list(n ORDER BY n) FILTER (objects > 8) AS crowded, list(slide_type ORDER BY n) AS content_flow, list_distinct(list(section)) AS sections, list(title ORDER BY n) FILTER (n <= 5 AND title IS NOT NULL) AS sample_titles,
+      flatten(list(list_transform(texts[1:2], lambda t: CASE WHEN length(t) > 100 THEN left(t, 97) || '...' ELSE t END) ORDER BY n) FILTER (n <= 3)) AS sample_texts FROM s GROUP BY file),
+    b AS (SELECT file, n FROM s WHERE length(t) - length(replace(replace(replace(t, '•', ''), '-', ''), '*', '')) >= 3),
+    q AS (SELECT file, slide_type || ' -> ' || lead(slide_type) OVER (PARTITION BY file ORDER BY n) AS sequence FROM s),
+    p AS (SELECT file, 'content_structure' AS kind, 'consistent_bullets' AS name, count(*) AS c, list(n ORDER BY n) AS places, ['bullets', 'bullets', 'bullets'] AS examples FROM b GROUP BY file HAVING count(*) >= 5
+      UNION ALL SELECT file, 'layout_sequence', 'repeated_sequence', count(*), [], [sequence] FROM q WHERE sequence IS NOT NULL GROUP BY file, sequence HAVING count(*) >= 3),
+    o AS (SELECT file, list(concat_ws('/', kind, name, c, array_to_string(places, '.'), array_to_string(examples, '.')) ORDER BY kind, name, c, places, examples) AS patterns FROM p GROUP BY file)
+    SELECT f.*, kinds, most, slide_types, long, coalesce(patterns, []) AS patterns, untitled > 0 AND slides - untitled > untitled AS untitled_some, hi > 5 * lo AND hi > 10 AS varied FROM f JOIN m USING (file) LEFT JOIN l USING (file) LEFT JOIN o USING (file)"""
+LISTED = {
+    "issues": "concat_ws(';', CASE WHEN titles = 0 THEN 'no title slide' END, CASE WHEN long THEN 'long run of one slide type' END, CASE WHEN blanks > 0 THEN blanks || ' blank slides' END, CASE WHEN slides < 3 THEN 'very short presentation' END, CASE WHEN slides > 50 THEN 'very long presentation' END)",
+    "consistency_issues": "concat_ws(';', CASE WHEN untitled_some THEN untitled || ' slides without titles' END, CASE WHEN varied THEN 'large variation of content between slides' END)",
+    "recommendations": "concat_ws(';', CASE WHEN titles = 0 THEN 'begin with a title slide' END, CASE WHEN slides > 30 THEN 'split into shorter presentations' END, CASE WHEN len(crowded) > 3 THEN 'simplify crowded slides: ' || array_to_string(crowded, ', ') END, CASE WHEN untitled_some OR varied THEN 'settle inconsistencies' END, CASE WHEN bullets > slides * 0.6 THEN 'show more and list less' END)",
+}
+DENSITY = "CASE WHEN mean <= 3 THEN 'low' WHEN mean <= 6 THEN 'medium' ELSE 'high' END"
+BALANCE = "CASE WHEN kinds >= 4 AND most / slides <= 0.7 THEN 'well_balanced' WHEN kinds >= 3 AND most / slides <= 0.8 THEN 'balanced' WHEN most / slides >= 0.9 THEN 'monotonous' ELSE 'somewhat_balanced' END"
+
+
+def listed_patterns(c: str) -> Column:
+    dotted = lambda x: F.array_join(F.transform(x, lambda k: k.cast("string")), ".")
+    return F.transform(c, lambda p: F.concat_ws("/", p["pattern_type"], p["pattern_name"], p["occurrences"].cast("string"), dotted(p["slides"]), dotted(p["examples"])))
+
+
+def listed_types(c: str) -> Column:
+    return F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+
+
+@query("pkg_whole_overview", f"""SELECT file, slides, round(minutes, 1)::DOUBLE AS estimated_minutes, round(minutes * 0.8, 1)::DOUBLE AS least_minutes, round(minutes * 1.2, 1)::DOUBLE AS most_minutes, round(cx * 10, 1)::DOUBLE AS complexity_score, round(rd * 10, 1)::DOUBLE AS readability_score,
+    {DENSITY} AS content_density, {BALANCE} AS visual_balance, slide_types, notes_count, notes_length, {", ".join(f"{v} AS {k}" for k, v in LISTED.items())}, content_flow AS classified, patterns, coalesce(sample_titles, []) AS sample_titles, coalesce(sample_texts, []) AS sample_texts FROM ({ANALYSED})""")
+def pkg_whole_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of an overview, from packages that are read and grouped once."""
+    found = analysis.overview(rows(spark, sf_dir), "comprehensive")
+    doubles = ("estimated_minutes", "least_minutes", "most_minutes", "complexity_score", "readability_score")
+    return found.select(
+        "file", "slides", *(F.col(c).cast("double").alias(c) for c in doubles), "content_density", "visual_balance", listed_types("slide_types").alias("slide_types"), "notes_count", "notes_length",
+        *(F.array_join(c, ";").alias(c) for c in LISTED), F.col("classifications.slide_type").alias("classified"), listed_patterns("patterns").alias("patterns"), "sample_titles", "sample_texts",
+    )
+
+
+FORMATS = f"SELECT file, count(*) AS total_elements, count(*) FILTER (has_formatting) AS formatted_elements, sum(bold)::BIGINT AS bold_count, sum(italic)::BIGINT AS italic_count, sum(highlight)::BIGINT AS highlight_count, count(*) FILTER (colored) AS colored_elements, count(*) FILTER (linked) AS hyperlink_elements FROM ({HELD}) GROUP BY file"
+
+
+@query("pkg_analysis", f"""SELECT file, slides AS total_slides, slide_types, list_sort(sections) AS sections, content_flow, {LISTED["issues"]} AS structural_issues, patterns, round(rd * 10, 1)::DOUBLE AS readability_score, {DENSITY} AS content_density, {BALANCE} AS visual_balance,
+    {LISTED["consistency_issues"]} AS consistency_issues, {LISTED["recommendations"]} AS recommendations, total_elements, formatted_elements, bold_count, italic_count, highlight_count, colored_elements, hyperlink_elements
+    FROM ({ANALYSED}) JOIN ({FORMATS}) USING (file)""")
+def pkg_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, formatting and structure of every deck at once."""
+    found = decks.analyse(view(spark, sf_dir), "detailed")
+    shown = ("total_elements", "formatted_elements", "bold_count", "italic_count", "highlight_count", "colored_elements", "hyperlink_elements")
+    return found.select(
+        "file", "structure.total_slides", listed_types("structure.slide_types").alias("slide_types"), F.array_sort("structure.sections").alias("sections"), "structure.content_flow", F.array_join("structure.structural_issues", ";").alias("structural_issues"),
+        listed_patterns("content_patterns").alias("patterns"), F.col("insights.readability_score").cast("double").alias("readability_score"), "insights.content_density", "insights.visual_balance",
+        F.array_join("insights.consistency_issues", ";").alias("consistency_issues"), F.array_join("insights.recommendations", ";").alias("recommendations"), *(f"formatting_analysis.{c}" for c in shown),
+    )
+
+
 @query("pkg_overview_formatting", f"SELECT s.file, s.total AS slides, h.c AS total_elements, h.b AS bold_count FROM (SELECT DISTINCT file, total FROM ({S})) s LEFT JOIN (SELECT file, count(*) AS c, sum(bold)::BIGINT AS b FROM ({HELD}) GROUP BY file) h USING (file)")
 def pkg_overview_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = view(spark, sf_dir)
