@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deckhand.operators import analysis, decks, formatting, rendering, slides, tables
+from deckhand.operators import analysis, decks, formatting, inheritance, rendering, slides, tables
 from deckhand.plans import pipeline
-from deckhand.sources import archive, ooxml, storage, writer
+from deckhand.sources import archive, ooxml, storage, styles, writer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -677,3 +677,46 @@ def pkg_overview_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = view(spark, sf_dir)
     joined = analysis.with_formatting(analysis.overview(analysis.view(found), "basic", False), formatting.summary(formatting.elements(found)))
     return joined.select("file", "slides", "formatting.total_elements", "formatting.bold_count")
+
+
+# Inherited formatting: decks that state defaults at every level, each for some of the slides.
+STYLED = """SELECT file, conv_id, n, i, x, (i - 1) % 3 AS lvl, conv_id % 2 = 0 AS deck, conv_id % 3 = 0 AS deck_all, n % 2 = 0 AS shape, n % 3 = 0 AS shape_all, i % 4 = 0 AS para, i % 5 = 0 AS run
+    FROM (SELECT file, conv_id, n, unnest(lines) AS x, generate_subscripts(lines, 1) AS i FROM (SELECT conv_id, 'deck-' || conv_id || '.pptx' AS file, string_split(text, chr(10)) AS lines, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations))"""
+
+
+def styled_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns as slides: lines are paragraphs at list levels 0 to 2, and every level states defaults now and then."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL")
+    rows = rows.withColumns({"n": F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")), "lines": F.split("text", "\n")})
+    style = lambda lvl, size, bold, color, bullet: F.struct(F.lit(lvl).alias("lvl"), F.lit(size).cast("int").alias("size"), F.lit(bold).cast("boolean").alias("bold"), F.lit(color).cast("string").alias("color"), F.lit(bullet).cast("string").alias("bullet"))
+    given = lambda *pairs: F.array_compact(F.array(*(F.when(when, s) for when, s in pairs)))
+    conv, n = F.col("conv_id"), F.col("n")
+    deck = given((conv % 2 == 0, style(1, 1100, None, "0000AA", "-")), (conv % 3 == 0, style(-1, 1000, True, None, "#")))
+    own = given((n % 2 == 0, style(0, 2100, True, None, "*")), (n % 3 == 0, style(-1, None, False, "00AA00", None)))
+
+    def para(x: Column, i: Column) -> Column:
+        fourth, fifth = (i + 1) % 4 == 0, (i + 1) % 5 == 0
+        run = F.struct(x.alias("text"), F.when(fifth, 3000).alias("size"), F.when(fifth, False).alias("bold"), F.when(fifth, "FF0000").alias("color"))
+        return F.struct((i % 3).alias("lvl"), F.when(fourth, 1500).alias("size"), F.lit(None).cast("boolean").alias("bold"), F.when(fourth, "AAAAAA").alias("color"), F.when(fourth, "").alias("bullet"), F.array(run).alias("runs"))
+
+    return rows.select(F.concat(F.lit("deck-"), conv.cast("string"), F.lit(".pptx")).alias("file"), n.alias("slide_number"), deck.alias("deck"), own.alias("styles"), F.transform("lines", para).alias("paras"))
+
+
+EFFECTIVE = f"""SELECT file, n AS slide_number, i - 1 AS para, x AS text, lvl, CASE WHEN run THEN 30.0 WHEN para THEN 15.0 WHEN shape AND lvl = 0 THEN 21.0 WHEN deck AND lvl = 1 THEN 11.0 WHEN deck_all THEN 10.0 ELSE 18.0 END::DOUBLE AS size,
+    CASE WHEN run THEN 'run' WHEN para THEN 'paragraph' WHEN shape AND lvl = 0 THEN 'shape_level' WHEN deck AND lvl = 1 THEN 'deck_level' WHEN deck_all THEN 'deck' ELSE 'default' END AS size_from,
+    CASE WHEN run THEN false WHEN shape AND lvl = 0 THEN true WHEN shape_all THEN false WHEN deck_all THEN true ELSE false END AS bold,
+    CASE WHEN run THEN '#FF0000' WHEN para THEN '#AAAAAA' WHEN shape_all THEN '#00AA00' WHEN deck AND lvl = 1 THEN '#0000AA' END AS color,
+    CASE WHEN para THEN 'none' WHEN shape AND lvl = 0 THEN 'char' WHEN deck AND lvl = 1 THEN 'char' WHEN deck_all THEN 'number' ELSE 'none' END AS bullet,
+    CASE WHEN para THEN NULL WHEN shape AND lvl = 0 THEN '*' WHEN deck AND lvl = 1 THEN '-' WHEN deck_all THEN 'arabicPeriod' END AS mark FROM ({STYLED})"""
+
+
+@query("pkg_effective_formatting", EFFECTIVE)
+def pkg_effective_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = inheritance.effective(styles.paragraphs(writer.styled_of(styled_decks(spark, sf_dir))))
+    return longs(found.select("file", "slide_number", "para", "text", "lvl", "size", "size_from", "bold", "color", "bullet", "mark"), "slide_number", "para", "lvl")
+
+
+@query("pkg_bullets", f"SELECT file, slide_number, para, lvl, bullet, mark, text AS text_content FROM ({EFFECTIVE}) WHERE bullet <> 'none' AND trim(text) <> ''")
+def pkg_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = inheritance.bullets(inheritance.effective(styles.paragraphs(writer.styled_of(styled_decks(spark, sf_dir)))))
+    return longs(found.drop("shape"), "slide_number", "para", "lvl")

@@ -114,3 +114,51 @@ def packages_of(slides: DataFrame) -> DataFrame:
 
     made = slides.groupBy("file").applyInArrow(build, "path string, length long, content binary")
     return made.select("path", F.lit("2020-01-01 00:00:00").cast("timestamp").alias("modificationTime"), "length", "content")
+
+
+def _look(tag: str, of: dict, more: str = "") -> str:
+    """Properties of a run or a level; only what is given."""
+    attributes = "".join(f' {name}="{value}"' for name, value in (("sz", of.get("size")), ("b", None if of.get("bold") is None else int(of["bold"]))) if value is not None)
+    fill = f'<a:solidFill><a:srgbClr val="{of["color"]}"/></a:solidFill>' if of.get("color") else ""
+    return f"<a:{tag}{attributes}>{fill}{more}</a:{tag}>"
+
+
+def _level(tag: str, of: dict, lvl: int | None = None) -> str:
+    """Properties of paragraphs: a bullet character, "#" for numbers or "" for none, and those of its runs."""
+    bullet = of.get("bullet")
+    mark = "" if bullet is None else "<a:buNone/>" if not bullet else '<a:buAutoNum type="arabicPeriod"/>' if bullet == "#" else f"<a:buChar char={quoteattr(bullet)}/>"
+    return f"<a:{tag}{f' lvl={quoteattr(str(lvl))}' if lvl else ''}>{mark}{_look('defRPr', of)}</a:{tag}>"
+
+
+def _levels(tag: str, of: list[dict]) -> str:
+    return f"<{tag}>{''.join(_level('defPPr' if s['lvl'] < 0 else f'lvl{s["lvl"] + 1}pPr', s) for s in of)}</{tag}>"
+
+
+def styled_package(slides: list[dict]) -> bytes:
+    """A package whose slides have a shape with list styles (``styles``) and paragraphs (``paras``); the first slide's ``deck`` are the presentation's."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        put = lambda name, text: z.writestr(zipfile.ZipInfo(name), text)
+        put("[Content_Types].xml", "<Types/>")
+        put("_rels/.rels", _rels([("rId1", "officeDocument", "ppt/presentation.xml")]))
+        ids = "".join(f'<p:sldId id="{256 + k}" r:id="rId{k}"/>' for k in range(len(slides)))
+        put("ppt/presentation.xml", f"<p:presentation {P}><p:sldIdLst>{ids}</p:sldIdLst>{_levels('p:defaultTextStyle', slides[0]['deck'] or [])}</p:presentation>")
+        put("ppt/_rels/presentation.xml.rels", _rels((f"rId{k}", "slide", f"slides/slide{k + 1}.xml") for k in range(len(slides))))
+        for k, s in enumerate(slides):
+            runs = lambda p: "".join(f"<a:r>{_look('rPr', r)}<a:t>{escape(r['text'] or '')}</a:t></a:r>" for r in p["runs"])
+            paras = "".join(f"<a:p>{_level('pPr', p, p['lvl'])}{runs(p)}</a:p>" for p in s["paras"])
+            body = f"<p:txBody><a:bodyPr/>{_levels('a:lstStyle', s['styles'] or [])}{paras}</p:txBody>"
+            put(f"ppt/slides/slide{k + 1}.xml", f"<p:sld {P}><p:cSld><p:spTree><p:sp><p:nvSpPr><p:nvPr/></p:nvSpPr>{body}</p:sp></p:spTree></p:cSld></p:sld>")
+            put(f"ppt/slides/_rels/slide{k + 1}.xml.rels", _rels([]))
+    return out.getvalue()
+
+
+def styled_of(slides: DataFrame) -> DataFrame:
+    """Packages of a table of file, slide_number, deck, styles and paras (see ``styled_package``), like ``packages_of``."""
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        data = styled_package(sorted(table.to_pylist(), key=lambda r: r["slide_number"]))
+        return pa.table({"path": pa.array([key[0].as_py()], pa.string()), "length": pa.array([len(data)], pa.int64()), "content": pa.array([data], pa.binary())})
+
+    made = slides.groupBy("file").applyInArrow(build, "path string, length long, content binary")
+    return made.select("path", F.lit("2020-01-01 00:00:00").cast("timestamp").alias("modificationTime"), "length", "content")
