@@ -5,7 +5,7 @@ Whatever depends on order takes an explicit order column, never the order of arr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from deckhand.functions.predicates import numeric, text
@@ -36,11 +36,8 @@ def aggregate(c: Column, kind: str, operation: str, seq: Column, separator: str
     return F.when(some, found)
 
 
-def by_frequency(df: DataFrame, keys: list[str], field: str, operation: str, output: str, seq: str) -> DataFrame:
-    """The value that a group has most or least often. Ties: the most common one is the first seen, the
-    least common one is the last to have been first seen. Values are counted before groups meet, so a
-    large group arrives as its distinct values only."""
-    counts = df.where(F.col(field).isNotNull()).groupBy(*keys, field).agg(F.count("*").alias("_n"), F.min(seq).alias("_first"))
-    rank = F.struct("_n", -F.col("_first"))
-    pick = F.max_by if operation == "most_common" else F.min_by
-    return counts.groupBy(*keys).agg(pick(field, rank).alias(output))
+def by_frequency(value: Column, operation: str, rank: Column) -> Column:
+    """Of values that are counted already the most or least common one. rank: a struct of its number and the negative
+    of its first place, so that of equals the most common one is the first seen, and the least common one the last to
+    have been first seen; null for values that don't take part."""
+    return (F.max_by if operation == "most_common" else F.min_by)(value, rank)

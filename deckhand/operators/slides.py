@@ -32,7 +32,7 @@ def order(packages: DataFrame) -> DataFrame:
     """file, part, slide_number, slide_id as the presentation lists its slides."""
     top = packages.where("kind = 'package'").select("file", "rels", F.posexplode("slide_ids").alias("at", "s"))
     named = top.select("file", (F.col("at") + 1).alias("slide_number"), F.col("s.id").alias("slide_id"), F.get(F.filter("rels", lambda r: r["rid"] == F.col("s.rid")), F.lit(0))["target"].alias("target"))
-    return named.select("file", "slide_number", "slide_id", F.concat(F.lit("ppt/"), F.regexp_replace("target", "^(/ppt/|\\.\\./)", "")).alias("part"))
+    return named.select("file", "slide_number", "slide_id", F.regexp_replace(F.concat(F.when(F.col("target").startswith("/"), "").otherwise("ppt/"), "target"), r"^(/|ppt/\.\./)", "").alias("part"))
 
 
 def sections(packages: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deckhand.operators import analysis, decks, formatting, inheritance, rendering, slides, tables
+from deckhand.operators import analysis, decks, formatting, inheritance, ranges, rendering, slides, tables
 from deckhand.plans import pipeline
-from deckhand.sources import archive, ooxml, storage, styles, writer
+from deckhand.sources import archive, graph, ooxml, storage, styles, writer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -720,3 +720,80 @@ def pkg_effective_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pkg_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = inheritance.bullets(inheritance.effective(styles.paragraphs(writer.styled_of(styled_decks(spark, sf_dir)))))
     return longs(found.drop("shape"), "slide_number", "para", "lvl")
+
+
+# The graph of parts: a conversation's turns are slides with layouts, notes, pictures that aren't there, and parts that nothing leads to.
+TURNS = "SELECT conv_id, 'deck-' || conv_id || '.pptx' AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations"
+EDGES = f"""SELECT DISTINCT file, '' AS source, 'officeDocument' AS type, 'ppt/presentation.xml' AS target, false AS external FROM ({TURNS})
+    UNION ALL SELECT DISTINCT file, '', 'customXml', 'customXml/item4.xml', false FROM ({TURNS}) WHERE conv_id % 3 = 0 UNION ALL SELECT DISTINCT file, 'ppt/presentation.xml', 'slideMaster', 'ppt/slideMasters/slideMaster1.xml', false FROM ({TURNS})
+    UNION ALL SELECT file, 'ppt/presentation.xml', 'slide', 'ppt/slides/slide' || n || '.xml', false FROM ({TURNS}) UNION ALL SELECT file, 'ppt/slides/slide' || n || '.xml', 'slideLayout', 'ppt/slideLayouts/slideLayout' || (1 + n % 3) || '.xml', false FROM ({TURNS})
+    UNION ALL SELECT file, 'ppt/slides/slide' || n || '.xml', 'notesSlide', 'ppt/notesSlides/notesSlide' || n || '.xml', false FROM ({TURNS}) WHERE n % 2 = 1 UNION ALL SELECT file, 'ppt/notesSlides/notesSlide' || n || '.xml', 'slide', 'ppt/slides/slide' || n || '.xml', false FROM ({TURNS}) WHERE n % 2 = 1
+    UNION ALL SELECT file, 'ppt/slides/slide' || n || '.xml', 'image', 'ppt/media/image' || n || '.png', false FROM ({TURNS}) WHERE n % 5 = 0 UNION ALL SELECT file, 'ppt/slides/slide' || n || '.xml', 'hyperlink', 'https://example.com/../' || n, true FROM ({TURNS}) WHERE n % 2 = 0
+    UNION ALL SELECT DISTINCT file, 'ppt/slideLayouts/slideLayout' || k || '.xml', 'slideMaster', 'ppt/slideMasters/slideMaster1.xml', false FROM ({TURNS}), (VALUES (1), (2), (3)) v(k) WHERE k < 3 OR conv_id % 2 = 1"""
+HELD_PARTS = f"""SELECT DISTINCT file, 'ppt/' || p AS name FROM ({TURNS}), (VALUES ('presentation.xml'), ('slideMasters/slideMaster1.xml'), ('slideLayouts/slideLayout1.xml'), ('slideLayouts/slideLayout2.xml'), ('slideLayouts/slideLayout3.xml')) v(p)
+    UNION ALL SELECT file, 'ppt/slides/slide' || n || '.xml' FROM ({TURNS}) UNION ALL SELECT file, 'ppt/notesSlides/notesSlide' || n || '.xml' FROM ({TURNS}) WHERE n % 2 = 1 UNION ALL SELECT file, 'customXml/item' || n || '.xml' FROM ({TURNS}) WHERE n % 4 = 0"""
+REACHED = f"WITH RECURSIVE e AS ({EDGES}), r(file, name) AS (SELECT DISTINCT file, '' FROM e UNION SELECT r.file, e.target FROM r JOIN e ON r.file = e.file AND r.name = e.source AND NOT e.external) SELECT file, name FROM r"
+
+
+def graph_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, name, content of the parts; targets are relative, absolute and with escapes in turn."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
+    rows = rows.select("conv_id", F.concat(F.lit("deck-"), F.col("conv_id").cast("string"), F.lit(".pptx")).alias("file"), "n")
+    s, n, conv = F.col("n").cast("string"), F.col("n"), F.col("conv_id")
+    link = lambda kind, *target, mode="": F.concat(F.lit(f'<Relationship Id="{kind}" Type="http://x/{kind}"{mode} Target="'), *(F.lit(t) if isinstance(t, str) else t for t in target), F.lit('"/>'))
+    rels = lambda *x: F.concat(F.lit(f'<Relationships xmlns="{ooxml.NS["rel"]}">'), *(F.coalesce(c, F.lit("")) for c in x), F.lit("</Relationships>"))
+    part = lambda name, content=F.lit("<x/>"): F.struct((F.lit(name) if isinstance(name, str) else name).alias("name"), content.alias("content"))
+    named = lambda folder, end=".xml": F.concat(F.lit(folder), s, F.lit(end))
+    of_slide = F.array_compact(F.array(
+        part(named("ppt/slides/slide")),
+        part(named("ppt/slides/_rels/slide", ".xml.rels"), rels(
+            link("slideLayout", "../slideLayouts/slideLayout", (1 + n % 3).cast("string"), ".xml"), F.when(n % 2 == 1, link("notesSlide", F.when(n % 3 == 0, "/ppt/").otherwise("../"), "notesSlides/notes%53lide", s, ".xml")),
+            F.when(n % 5 == 0, link("image", "../media/../../ppt/media/image", s, ".png")), F.when(n % 2 == 0, link("hyperlink", "https://example.com/../", s, mode=' TargetMode="External"')))),
+        F.when(n % 2 == 1, part(named("ppt/notesSlides/notesSlide"))), F.when(n % 2 == 1, part(named("ppt/notesSlides/_rels/notesSlide", ".xml.rels"), rels(link("slide", "../slides/slide", s, ".xml#top")))), F.when(n % 4 == 0, part(named("customXml/item")))))
+    slides_of = F.concat_ws("", F.collect_list(link("slide", F.when(n % 2 == 0, "/ppt/").otherwise(""), "slides/slide", s, ".xml")))
+    of_file = F.array_compact(F.array(
+        part("[Content_Types].xml"), part("_rels/.rels", rels(link("officeDocument", F.when(conv % 2 == 1, "/").otherwise(""), "ppt/presentation.xml"), F.when(conv % 3 == 0, link("customXml", "customXml/item4.xml")))),
+        part("ppt/presentation.xml"), part("ppt/_rels/presentation.xml.rels", rels(F.col("slides"), link("slideMaster", "slideMasters/slideMaster1.xml"))), part("ppt/slideMasters/slideMaster1.xml"), part("ppt/slideMasters/_rels/slideMaster1.xml.rels", F.lit("<broken")),
+        *(part(f"ppt/slideLayouts/slideLayout{k}.xml") for k in (1, 2, 3)),
+        *(F.when(F.lit(k < 3) | (conv % 2 == 1), part(f"ppt/slideLayouts/_rels/slideLayout{k}.xml.rels", rels(link("slideMaster", "../slideMasters/slideMaster1.xml")))) for k in (1, 2, 3))))
+    every = rows.select("file", F.explode(of_slide).alias("p")).unionByName(rows.groupBy("file", "conv_id").agg(slides_of.alias("slides")).select("file", F.explode(of_file).alias("p")))
+    return every.select("file", "p.name", F.col("p.content").cast("binary").alias("content"))
+
+
+@query("pkg_graph_edges", EDGES)
+def pkg_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges(graph_parts(spark, sf_dir)).drop("rid")
+
+
+@query("pkg_graph_reached", REACHED)
+def pkg_graph_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reachable(graph.edges(graph_parts(spark, sf_dir))).select("file", "name")
+
+
+@query("pkg_graph_orphans", f"SELECT file, name FROM ({HELD_PARTS}) ANTI JOIN ({REACHED}) USING (file, name)")
+def pkg_graph_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = graph_parts(spark, sf_dir)
+    return graph.orphans(parts, graph.edges(parts)).select("file", "name")
+
+
+@query("pkg_graph_dangling", f"SELECT e.file, source, target FROM ({EDGES}) e ANTI JOIN ({HELD_PARTS}) p ON e.file = p.file AND e.target = p.name WHERE NOT external")
+def pkg_graph_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = graph_parts(spark, sf_dir)
+    return graph.dangling(parts, graph.edges(parts)).drop("rid")
+
+
+@query("pkg_graph_layouts", f"SELECT file, 'ppt/slides/slide' || n || '.xml' AS slide, 'ppt/slideLayouts/slideLayout' || (1 + n % 3) || '.xml' AS layout, CASE WHEN n % 3 < 2 OR conv_id % 2 = 1 THEN 'ppt/slideMasters/slideMaster1.xml' END AS master FROM ({TURNS})")
+def pkg_graph_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.layouts(graph.edges(graph_parts(spark, sf_dir)))
+
+
+# Ranges.
+@query("pkg_section_ranges", f"SELECT s.file, s.n AS slide_number, g.section FROM ({S}) s JOIN (SELECT file, section, min(n) AS a, max(n) AS b FROM ({S}) GROUP BY ALL UNION ALL SELECT file, 'whole', 1, max(n) FROM ({S}) GROUP BY file) g ON s.file = g.file AND s.n BETWEEN g.a AND g.b")
+def pkg_section_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slides with the ranges of their sections, and with one over all slides in which those lie."""
+    found = packages(spark, sf_dir)
+    placed = slides.sections(found).where("slide_number IS NOT NULL")
+    own = placed.groupBy("file", "section").agg(F.min("slide_number").alias("first"), F.max("slide_number").alias("last"))
+    whole = placed.groupBy("file").agg(F.lit("whole").alias("section"), F.lit(1).alias("first"), F.max("slide_number").alias("last")).select(*own.columns)
+    return longs(ranges.range_join(slides.slides(found).select("file", "slide_number"), own.union(whole), ["file"], "slide_number", "first", "last"), "slide_number").select("file", "slide_number", "section")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -54,18 +53,33 @@ def grouped(df: DataFrame, spec: Spec, seq: str) -> DataFrame:
     columns = [F.when(text(resolved(df, f)[0]) != "", resolved(df, f)[0].cast("string")).alias(k) for f, k in zip(g.fields, keys)]
     rows = df.select(*columns, *(c.alias(fields[f]) for f, (c, _) in kinds.items()), F.col(f"`{seq}`").alias("_seq"))
     plain = [a for a in g.aggregations if a.operation not in BY_FREQUENCY]
-    out = rows.groupBy(*keys).agg(
-        F.min("_seq").alias("_seq"),
-        *(aggregate(F.col(fields[a.field]), kinds[a.field][1], a.operation, F.col("_seq"), a.separator).alias(a.output_field) for a in plain),
-    )
-    for a in g.aggregations:
-        if a.operation in BY_FREQUENCY:
-            other = by_frequency(rows, keys, fields[a.field], a.operation, a.output_field, "_seq")
-            same = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
-            out = out.alias("l").join(other.alias("r"), functools.reduce(Column.__and__, same) if same else F.lit(True), "left").select("l.*", f"r.`{a.output_field}`")
+    counted = list(dict.fromkeys(fields[a.field] for a in g.aggregations if a.operation in BY_FREQUENCY))
+    out = frequencies(rows, keys, counted) if counted else rows
+    own = {a.output_field: aggregate(F.col(fields[a.field]), kinds[a.field][1], a.operation, F.col("_seq"), a.separator) for a in plain}
+    if not counted:
+        out = out.groupBy(*keys).agg(F.min("_seq").alias("_seq"), *(c.alias(n) for n, c in own.items()))
+    else:
+        # Once a value, counting it; then once a group. What needs no counting is ready after the first step, in the entry of rows.
+        each = out.groupBy(*keys, "_entry", *(f"_of{c}" for c in counted)).agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"), *(c.alias(f"_own{k}") for k, c in enumerate(own.values())))
+        ready = [F.max_by(f"_own{k}", F.when(F.col("_entry") == "", 1)).alias(n) for k, n in enumerate(own)]
+        often = [by_frequency(F.col(f"_of{fields[a.field]}"), a.operation, F.when(F.col("_entry") == fields[a.field], F.struct("_n", -F.col("_first")))).alias(a.output_field) for a in g.aggregations if a.operation in BY_FREQUENCY]
+        out = each.groupBy(*keys).agg(F.min("_first").alias("_seq"), *ready, *often)
     return out.select(*keys, *(f"`{a.output_field}`" for a in g.aggregations), F.col("_seq").alias(seq))
 
 
+def frequencies(rows: DataFrame, keys: list[str], counted: list[str]) -> DataFrame:
+    """Every row as an entry of its own, with all its values, and as one for each value to be counted, with that alone.
+
+    So however many columns are counted, the input is read once and nothing is joined.
+    """
+    blank = F.struct(F.lit("").alias("_entry"), *(F.lit(None).cast(rows.schema[c].dataType).alias(f"_of{c}") for c in counted))
+    entry = lambda c: F.struct(F.lit(c).alias("_entry"), *((F.col(c) if o == c else F.lit(None).cast(rows.schema[o].dataType)).alias(f"_of{o}") for o in counted))
+    entries = F.explode(F.array_compact(F.array(blank, *(F.when(F.col(c).isNotNull(), entry(c)) for c in counted))))
+    each = rows.select("*", entries.alias("_e"))
+    others = [F.when(F.col("_e._entry") == "", F.col(f"`{c}`")).alias(c) for c in rows.columns if c not in (*keys, "_seq")]
+    return each.select(*(f"`{k}`" for k in keys), "_seq", *others, "_e.*")
+
+
 def sort_key(df: DataFrame, field: str, order: str) -> list[Column]:
     """Numbers by value come before other text, which goes without regard to case; null counts as empty text."""
     c, kind = resolved(df, field)

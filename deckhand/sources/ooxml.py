@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import hashlib
 import io
+import posixpath
 import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
@@ -251,9 +253,10 @@ def _numbered(name: str) -> int | None:
     return int(m[1]) if m else None
 
 
-def target_part(target: str | None) -> str:
-    """The part that a relation of a part below ppt/ points to."""
-    return "ppt/" + target.removeprefix("../").removeprefix("/ppt/") if target else ""
+def target_part(target: str | None, source: str = "ppt/presentation.xml") -> str:
+    """The part that a relation of a part points to: a path from the part's folder, or from the root if it begins with a slash."""
+    path = unquote((target or "").partition("#")[0])
+    return posixpath.normpath(posixpath.join("/", posixpath.dirname(source), path)).lstrip("/") if path else source if target else ""
 
 
 def _package(data: bytes) -> Iterator[dict]:
@@ -288,7 +291,7 @@ def _package(data: bytes) -> Iterator[dict]:
                 row |= {"width": top.get("width"), "height": top.get("height"), "digest": hashlib.md5(z.read(name)).hexdigest(), "rels": parsed_part(own, parse_rels, [])}
                 notes, comments = [], []
                 for r in row["rels"]:
-                    target = target_part(r["target"])
+                    target = target_part(r["target"], name)
                     if r["type"] == "notesSlide" and target in names:
                         notes.append(target)
                     if r["type"].startswith("comment"):
