@@ -259,8 +259,21 @@ def target_part(target: str | None, source: str = "ppt/presentation.xml") -> str
     return posixpath.normpath(posixpath.join("/", posixpath.dirname(source), path)).lstrip("/") if path else source if target else ""
 
 
-def _package(data: bytes) -> Iterator[dict]:
-    """The package's row, then its slides'. A part that isn't well-formed leaves its fields empty and a note in the row's error."""
+def stamp(z: zipfile.ZipFile, parts: list[str], names: set[str]) -> str:
+    """A hash of all parts that a slide's row is made from."""
+    made = hashlib.md5()
+    for part in parts:
+        content = z.read(part) if part in names else b""
+        made.update(f"{part} {len(content)} {part in names} ".encode() + content)
+    return made.hexdigest()
+
+
+def _package(data: bytes, known: dict[str, str] | None = None) -> Iterator[dict]:
+    """The package's row, then its slides'. A part that isn't well-formed leaves its fields empty and a note in the row's error.
+
+    known: a stamp of each slide part that was parsed before. A slide whose stamp is the same isn't parsed again: its row
+    is of kind ``kept`` and has only its place.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         errors: list[str] = []
@@ -288,21 +301,28 @@ def _package(data: bytes) -> Iterator[dict]:
                 own = name.replace("slides/", "slides/_rels/") + ".rels"
                 number, slide_id = listed.get(name, (_numbered(name), None))
                 row = {"kind": "slide", "part": name, "part_number": _numbered(name), "slide_number": number, "slide_id": slide_id, "section": sections.get(slide_id)}
-                row |= {"width": top.get("width"), "height": top.get("height"), "digest": hashlib.md5(z.read(name)).hexdigest(), "rels": parsed_part(own, parse_rels, [])}
-                notes, comments = [], []
+                row |= {"width": top.get("width"), "height": top.get("height"), "rels": parsed_part(own, parse_rels, [])}
+                notes, commented = [], []
                 for r in row["rels"]:
                     target = target_part(r["target"], name)
                     if r["type"] == "notesSlide" and target in names:
                         notes.append(target)
                     if r["type"].startswith("comment"):
-                        comments += parsed_part(target, parse_comments, [])
+                        commented.append(target)
                 # Notes also name their slide; without either relation the number of the part decides.
                 if not notes and f"ppt/notesSlides/notesSlide{row['part_number']}.xml" in names:
                     alone = f"ppt/notesSlides/notesSlide{row['part_number']}.xml"
                     back = [r["target"] or "" for r in parsed_part(alone.replace("notesSlides/", "notesSlides/_rels/") + ".rels", parse_rels, []) if r["type"] == "slide"]
                     notes = [alone] if not back or any(t.endswith(f"/slide{row['part_number']}.xml") for t in back) else []
-                row |= parsed_part(name, parse_slide, {})
-                row |= {"notes": parsed_part(notes[0], parse_notes, None) if notes else None, "comments": comments}
+                content = z.read(name)
+                row["digest"] = hashlib.md5(content).hexdigest()
+                if known is not None:
+                    row["stamp"] = stamp(z, [name, own, *notes[:1], *commented], names)
+                    if known.get(name) == row["stamp"]:
+                        yield {k: row[k] for k in ("part", "part_number", "slide_number", "slide_id", "section", "width", "height", "digest", "stamp")} | {"kind": "kept"}
+                        continue
+                row |= parsed_part(name, lambda _: parse_slide(content), {})  # noqa: B023
+                row |= {"notes": parsed_part(notes[0], parse_notes, None) if notes else None, "comments": [c for t in commented for c in parsed_part(t, parse_comments, [])]}
                 yield row | {"error": "; ".join(errors) or None}
 
 
