@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from deckhand.operators import analysis, decks, formatting, inheritance, ranges, rendering, slides, tables
 from deckhand.plans import pipeline
-from deckhand.sources import archive, graph, ooxml, storage, styles, writer
+from deckhand.sources import archive, graph, ooxml, pull, storage, styles, writer
 from deckhand.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -817,3 +817,15 @@ def pkg_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     also = found.where("kind = 'slide'").select("file", "slide_number", "part", "parsed_run", "run")
     shown = slides.slides(found).select("file", "part", "title", "notes", "section").join(also, ["file", "part"])
     return longs(shown.select(file_name(), "slide_number", "title", "notes", "section", "parsed_run", "run"), "slide_number", "parsed_run", "run")
+
+
+# Slides as streams.
+@query("pkg_streamed", f"""SELECT file, 'ppt/slides/slide' || (total - n + 1) || '.xml' AS part, kind, ph_type, place, shown AS text FROM ({S}) JOIN (
+    SELECT file, n, 'para' AS kind, CASE WHEN o = 0 THEN CASE WHEN n = 1 THEN 'ctrTitle' ELSE 'title' END WHEN o = 1 THEN 'subTitle' ELSE 'body' END AS ph_type, CASE WHEN o = 2 THEN i - 1 ELSE 0 END::BIGINT AS place, text AS shown FROM ({RUNS}) WHERE kind <> 'cell'
+    UNION ALL SELECT file, n, 'row', NULL, row, string_agg(value, '|' ORDER BY col) || CASE WHEN any_value(span) = 2 THEN '|' ELSE '' END FROM ({CELLS}) GROUP BY file, n, row) USING (file, n)""")
+def pkg_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs and table rows of the decks in a folder, pulled from their parts."""
+    found = pull.pieces(archive.scan(spark, folder(spark, sf_dir)))
+    text = lambda runs: F.array_join(F.transform(runs, lambda r: r["text"]), "")
+    shown = F.when(F.col("kind") == "para", text(F.col("runs"))).otherwise(F.array_join(F.transform("cells", lambda c: text(F.flatten(c["paras"]))), "|"))
+    return found.select(file_name(), "part", "kind", "ph_type", F.col("at").cast("long").alias("place"), shown.alias("text"))
