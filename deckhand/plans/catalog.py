@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from deckhand.functions import ordinals
 from deckhand.operators import analysis, formatting, slides, tables, workflow
 from deckhand.plans import package_queries, pipeline
+from deckhand.streaming import advice
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -279,6 +280,36 @@ def workflow_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("session", "workflow", "suggestion", F.col("rank").cast("long").alias("rank"))
 
 
+# Advice for each step: a user's events are a session, values up to 20 are failures.
+PREFIXES = f"""SELECT *, list(tool) OVER w AS steps, list_distinct(list(parameter) OVER w) AS parameters, row_number() OVER w AS n FROM (SELECT user_id, event_id, CASE event_type {' '.join(f"WHEN '{e}' THEN '{t}'" for e, t in TOOLS.items())} END AS tool,
+    CASE WHEN value > 50 THEN 'filters' ELSE 'title' END AS parameter, value > 20 AS success, CASE WHEN value <= 5 THEN 'Invalid value, no results' WHEN value <= 10 THEN 'access denied' ELSE 'failed' END AS error FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""
+ADVISED = f"""SELECT *, {BEST} AS confidence, CASE WHEN {BEST} > 0.5 THEN CASE {' '.join(f'WHEN score_{w} = {BEST} THEN {chr(39)}{w}{chr(39)}' for w in workflow.WORKFLOWS)} END END AS workflow,
+    CASE WHEN list_contains(recent, 'get_presentation_overview') THEN 'exploration' WHEN list_has_any(recent, ['extract_table_data', 'analyze_text_formatting']) THEN 'targeted_extraction' WHEN list_contains(recent, 'filter_and_aggregate') THEN 'analysis'
+      WHEN len(recent) = 3 AND len(list_distinct(recent)) = 1 THEN 'optimization' ELSE 'targeted_extraction' END AS context,
+    CASE WHEN success THEN '' WHEN error LIKE 'Invalid%' THEN 'broaden_search,correct_parameters,start_from_overview' WHEN error LIKE 'access%' THEN 'check_file,start_from_overview' ELSE 'start_from_overview' END AS recovery
+  FROM (SELECT *, steps[-3:] AS recent, {', '.join(f'round({score_sql(w)}, 6) AS score_{w}' for w in workflow.WORKFLOWS)} FROM ({PREFIXES}))"""
+
+
+def advised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tool = F.coalesce(*(F.when(F.col("event_type") == e, t) for e, t in TOOLS.items()))
+    error = F.when(F.col("value") <= 5, "Invalid value, no results").when(F.col("value") <= 10, "access denied").otherwise("failed")
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", tool.alias("tool"), F.create_map(F.when(F.col("value") > 50, "filters").otherwise("title"), F.lit("x")).alias("p"), (F.col("value") > 20).alias("ok"), error.alias("error"))
+    return advice.batch(log, "user_id", "event_id", "tool", "p", "ok", "error")
+
+
+@query("workflow_advice", f"SELECT user_id AS session, event_id AS seq, context, workflow, confidence, n AS steps_so_far, recovery FROM ({ADVISED})")
+def workflow_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context, workflow and recovery at every step of every session."""
+    found = advised(spark, sf_dir)
+    return found.select("session", "seq", "context", "workflow", F.round("confidence", 6).alias("confidence"), "steps_so_far", F.array_join("recovery", ",").alias("recovery"))
+
+
+@query("workflow_learnt", f"""WITH e AS (SELECT 'patterns' AS kind, coalesce(workflow, 'unknown') || '_' || context AS name FROM ({ADVISED}) WHERE success UNION ALL SELECT CASE WHEN success THEN 'tools' ELSE 'errors' END, tool FROM ({ADVISED}))
+    SELECT kind, name, count(*) AS n, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, name) AS rank FROM e GROUP BY kind, name QUALIFY rank <= 5""")
+def workflow_learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return advice.learnt(advised(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
 # Output shapes.
 @query(
     "flat_pivot",
