@@ -35,7 +35,7 @@ def full() -> Column:
     return preview(None, 1000)
 
 
-def query_simple(view: DataFrame, criteria: dict | None = None, return_fields: list[str] | None = None, output_format: str = "simple", output_type: str = "preview_text_3boxes", limit: int | None = 1000) -> DataFrame:
+def query_simple(view: DataFrame, criteria: dict | None = None, return_fields: list[str] | None = None, output_format: str = "simple", output_type: str = "preview_text_3boxes", limit: int | None = None) -> DataFrame:
     """Slides that meet the criteria with simple fields: titles (in headings if formatted), text, and the tables as HTML."""
     names = list(return_fields or ("slide_number", "title", "text"))
     if output_format not in OUTPUT_FORMATS or output_type not in OUTPUT_TYPES:

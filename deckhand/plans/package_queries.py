@@ -364,7 +364,7 @@ def pkg_html_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(view(spark, sf_dir).select("file", "slide_number", rendering.full().alias("html")), "slide_number")
 
 
-@query("pkg_query_simple", f"SELECT file, n AS slide_number, coalesce('<h2>' || title || '</h2>', '') AS title, coalesce('<h3>' || subtitle || '</h3>', '') AS subtitle, {body_html(200)} AS text, tabled::INT::BIGINT AS shown FROM ({S}) WHERE section = 'Opening' ORDER BY file, n LIMIT 1000")
+@query("pkg_query_simple", f"SELECT file, n AS slide_number, coalesce('<h2>' || title || '</h2>', '') AS title, coalesce('<h3>' || subtitle || '</h3>', '') AS subtitle, {body_html(200)} AS text, tabled::INT::BIGINT AS shown FROM ({S}) WHERE section = 'Opening'")
 def pkg_query_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rendering.query_simple(view(spark, sf_dir), {"section": "Opening"}, ["title", "subtitle", "text", "extracted_tables"], "formatted")
     shown = F.coalesce(F.size("extracted_tables"), F.lit(0)).cast("long").alias("shown")
