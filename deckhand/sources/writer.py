@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterable, Iterator
 from xml.sax.saxutils import escape, quoteattr
@@ -18,6 +19,8 @@ R = f"xmlns={quoteattr(NS['rel'])}"
 OFFICE = NS["r"]
 #: Fixed value: the namespace of lists of sections.
 SECTIONS = "http://schemas.microsoft.com/office/powerpoint/2010/main"
+#: Fixed value: the namespace of threaded comments.
+THREADED = "http://schemas.microsoft.com/office/powerpoint/2018/8/main"
 
 RUN = "struct<text:string,bold:boolean,italic:boolean,underline:boolean,strike:boolean,size:int,color:string,highlight:string,url:string>"
 #: What a slide is made of; size is in hundredths of a point, colors are six digits.
@@ -27,9 +30,22 @@ SLIDE = (
 )
 
 
+#: A slide of a varied deck: a cell is one run; colors are six digits or names of the scheme.
+CELL = f"struct<run:{RUN},fill:string,row_span:int,col_span:int,covered:boolean>"
+VARIED = (
+    f"file string, slide_number int, title string, subtitle string, bodies array<{RUN}>, tables array<array<array<{CELL}>>>, parted boolean, pictures int, videos int, charts int, "
+    "connectors int, grouped array<string>, notes string, notes_of int, threaded string"
+)
+
+
+def _fill(color: str | None) -> str:
+    tag = "srgbClr" if re.fullmatch("[0-9A-Fa-f]{6}", color or "") else "schemeClr"
+    return f'<a:solidFill><a:{tag} val="{color}"/></a:solidFill>' if color else ""
+
+
 def _run(run: dict, links: list[str]) -> str:
     attributes = "".join(f' {name}="{value}"' for name, value in (("sz", run["size"]), ("b", run["bold"] and 1), ("i", run["italic"] and 1), ("u", run["underline"] and "sng"), ("strike", run["strike"] and "sngStrike")) if value)
-    inner = f'<a:solidFill><a:srgbClr val="{run["color"]}"/></a:solidFill>' if run["color"] else ""
+    inner = _fill(run["color"])
     inner += f'<a:highlight><a:srgbClr val="{run["highlight"]}"/></a:highlight>' if run["highlight"] else ""
     if run["url"]:
         links.append(run["url"])
@@ -116,6 +132,69 @@ def packages_of(slides: DataFrame) -> DataFrame:
     return made.select("path", F.lit("2020-01-01 00:00:00").cast("timestamp").alias("modificationTime"), "length", "content")
 
 
+CHART = "<p:graphicFrame><a:graphic><a:graphicData><c:chart xmlns:c='urn:chart'/></a:graphicData></a:graphic></p:graphicFrame>"
+VIDEO = '<p:pic><p:nvPicPr><p:nvPr><a:videoFile r:link="rIdV"/></p:nvPr></p:nvPicPr></p:pic>'
+
+
+def _varied_table(rows: list[list[dict]]) -> str:
+    out = []
+    for row in rows:
+        cells = []
+        for c in row:
+            attributes = "".join(f' {name}="{value}"' for name, value in (("rowSpan", c["row_span"]), ("gridSpan", c["col_span"])) if (value or 1) > 1)
+            attributes += ' vMerge="1"' if c["covered"] else ""
+            text = "" if c["covered"] else _run(c["run"], [])
+            cells.append(f"<a:tc{attributes}><a:txBody><a:p>{text}</a:p></a:txBody><a:tcPr>{_fill(c['fill'])}</a:tcPr></a:tc>")
+            cells += ['<a:tc hMerge="1"><a:txBody><a:p/></a:txBody><a:tcPr/></a:tc>'] * ((c["col_span"] or 1) - 1)
+        out.append(f"<a:tr>{''.join(cells)}</a:tr>")
+    return f"<p:graphicFrame><a:graphic><a:graphicData><a:tbl>{''.join(out)}</a:tbl></a:graphicData></a:graphic></p:graphicFrame>"
+
+
+def varied_package(slides: list[dict]) -> bytes:
+    """A package of slides of VARIED: any tables, groups, videos, scheme colors, threaded comments.
+
+    Notes have the number of their slide and no relation from it; with ``notes_of`` they say themselves which slide they are of.
+    """
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        put = lambda name, text: z.writestr(zipfile.ZipInfo(name), text)
+        put("[Content_Types].xml", "<Types/>")
+        put("_rels/.rels", _rels([("rId1", "officeDocument", "ppt/presentation.xml")]))
+        ids = "".join(f'<p:sldId id="{256 + k}" r:id="rId{k}"/>' for k in range(len(slides)))
+        put("ppt/presentation.xml", f"<p:presentation {P}><p:sldIdLst>{ids}</p:sldIdLst></p:presentation>")
+        put("ppt/_rels/presentation.xml.rels", _rels((f"rId{k}", "slide", f"slides/slide{k + 1}.xml") for k in range(len(slides))))
+        for k, s in enumerate(slides, 1):
+            rels = []
+            inner = _shape([_plain(s["title"])], "title") if s["title"] is not None else ""
+            inner += _shape([_plain(s["subtitle"])], "subTitle") if s["subtitle"] is not None else ""
+            inner += "".join(_shape([_run(r, [])], "body") for r in s["bodies"] or [])
+            inner += (CHART if s["parted"] else "").join(_varied_table(t) for t in s["tables"] or [])
+            inner += "<p:pic/>" * ((s["pictures"] or 0) - (s["videos"] or 0)) + VIDEO * (s["videos"] or 0) + CHART * (s["charts"] or 0) + "<p:cxnSp/>" * (s["connectors"] or 0)
+            inner += f"<p:grpSp>{''.join(_shape([_plain(t)], None) for t in s['grouped'])}</p:grpSp>" if s["grouped"] else ""
+            put(f"ppt/slides/slide{k}.xml", f"<p:sld {P}><p:cSld><p:spTree>{inner}</p:spTree></p:cSld></p:sld>")
+            if s["notes"] is not None:
+                put(f"ppt/notesSlides/notesSlide{k}.xml", f"<p:notes {P}><p:cSld><p:spTree>{_shape([_plain(s['notes'])], 'body')}</p:spTree></p:cSld></p:notes>")
+                if s["notes_of"]:
+                    put(f"ppt/notesSlides/_rels/notesSlide{k}.xml.rels", _rels([("rId1", "slide", f"../slides/slide{s['notes_of']}.xml")]))
+            if s["threaded"] is not None:
+                rels.append(("rIdT", "comments", f"../comments/modernComment_{k}.xml"))
+                body = f"<m:txBody><a:p>{_plain(s['threaded'])}</a:p></m:txBody>"
+                put(f"ppt/comments/modernComment_{k}.xml", f'<m:cmLst xmlns:m="{THREADED}" {P}><m:cm id="{{{k}}}" authorId="{{A}}" created="2021-01-01T00:00:00">{body}</m:cm></m:cmLst>')
+            put(f"ppt/slides/_rels/slide{k}.xml.rels", _rels(rels))
+    return out.getvalue()
+
+
+def varied_of(slides: DataFrame) -> DataFrame:
+    """Packages of a table with the columns of VARIED, like ``packages_of``."""
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        data = varied_package(sorted(table.to_pylist(), key=lambda r: r["slide_number"]))
+        return pa.table({"path": pa.array([key[0].as_py()], pa.string()), "length": pa.array([len(data)], pa.int64()), "content": pa.array([data], pa.binary())})
+
+    made = slides.groupBy("file").applyInArrow(build, "path string, length long, content binary")
+    return made.select("path", F.lit("2020-01-01 00:00:00").cast("timestamp").alias("modificationTime"), "length", "content")
+
+
 def _look(tag: str, of: dict, more: str = "") -> str:
     """Properties of a run or a level; only what is given."""
     attributes = "".join(f' {name}="{value}"' for name, value in (("sz", of.get("size")), ("b", None if of.get("bold") is None else int(of["bold"]))) if value is not None)
