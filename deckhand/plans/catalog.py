@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from deckhand.functions import ordinals
 from deckhand.operators import analysis, formatting, slides, tables, workflow
-from deckhand.plans import package_queries, pipeline, varied_queries
+from deckhand.plans import package_queries, pipeline, surface_queries, varied_queries
 from deckhand.streaming import advice
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -397,5 +397,5 @@ def top_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.top(table(spark, sf_dir, "events"), "event_type", 3)
 
 
-QUERIES |= package_queries.QUERIES | varied_queries.QUERIES
-ORACLES |= package_queries.ORACLES | varied_queries.ORACLES
+QUERIES |= package_queries.QUERIES | varied_queries.QUERIES | surface_queries.QUERIES
+ORACLES |= package_queries.ORACLES | varied_queries.ORACLES | surface_queries.ORACLES
