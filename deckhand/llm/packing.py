@@ -4,6 +4,10 @@ An example is a vector: tokens, segments (one) and loss-bearing tokens; a sequen
 each. Sequences are filled one after another. Of the examples that still fit, the one with the
 largest dot product of its demand and the sequence's remaining capacity, both as shares of the
 limits, goes next; so a sequence that is short of one resource takes examples that use little of it.
+Where examples may be cut, demands are scaled to length one, since the segment that each needs would
+otherwise leave the order to the tokens alone: what goes next has the direction of what is left, so that
+tokens and segments run out together. Examples after which the segments left couldn't fill the sequence
+wait while others can.
 
 Packing goes through each partition's rows in windows of bounded size, so it needs no shuffle and a
 lost task is simply run again with the same result. Sequence ids are unique, not consecutive.
@@ -42,8 +46,9 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool) -> li
     """Sequences as lists of (example, start, length), for examples that each fit a sequence.
 
     With ``cut``, an example may be cut where a sequence ends, which then has no padding; a cut piece
-    counts all its tokens as loss-bearing at most. What is left at the end goes to one last sequence,
-    with ``cut`` to sequences whose lengths are powers of two.
+    counts all its tokens as loss-bearing at most. A sequence that the other limits close before its tokens
+    are full, and what is left at the end, are cut to sequences whose lengths are powers of two. Without
+    ``cut`` what is left at the end is one last sequence.
     """
     cap = np.array([limits.tokens, limits.segments, limits.loss_tokens], np.float64)
     demand = np.column_stack([tokens, np.ones(len(tokens)), loss]).astype(np.float64)
@@ -51,14 +56,16 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool) -> li
     # Largest first, so that of equal dot products the first is the largest, then the earliest.
     order = np.lexsort((ids, -demand[:, 0]))
     demand, ids = demand[order], ids[order]
-    share = demand / cap
+    scaled = _unit if cut else np.asarray
+    share = scaled(demand / cap)
     alive = np.ones(len(ids), bool)
     done: list[list[tuple[int, int, int]]] = []
     rest, current = cap.copy(), []
     left = len(ids)
     while left:
+        open_to = alive & _fillable(demand[:, 0], alive, rest) if cut else alive
         score = share @ (rest / cap)
-        fits = alive & (demand <= rest).all(axis=1)
+        fits = open_to & (demand <= rest).all(axis=1)
         if fits.any():
             k = int(np.argmax(np.where(fits, score, -1.0)))
             current.append((int(ids[k]), int(start[ids[k]]), int(demand[k, 0])))
@@ -68,21 +75,39 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool) -> li
             if rest[0] > 0:
                 continue
         elif cut and min(rest) >= 1:
-            k = int(np.argmax(np.where(alive, score, -1.0)))
+            k = int(np.argmax(np.where(open_to, score, -1.0)))
             n = int(min(rest[0], rest[2]))
             if n < demand[k, 0]:
                 current.append((int(ids[k]), int(start[ids[k]]), n))
                 start[ids[k]] += n
                 demand[k, 0] -= n
                 demand[k, 2] = min(demand[k, 2], demand[k, 0])
-                share[k] = demand[k] / cap
-        done.append(current)
+                share[k] = scaled(demand[k] / cap)
+                rest[0] -= n
+        done += powers_of_two(current) if cut and rest[0] > 0 else [current]
         rest, current = cap.copy(), []
     if current:
         done += powers_of_two(current) if cut else [current]
     return [s for s in done if s]
 
 
+def _fillable(tokens: np.ndarray, alive: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Examples after which the segments that are left can still fill the sequence, if any can; else all."""
+    m = int(rest[1])
+    most = np.argpartition(np.where(alive, -tokens, 0), min(m, len(tokens)) - 1)[:m] if m else np.zeros(0, int)
+    most = most[alive[most]]
+    total = tokens[most].sum()
+    if not m or total < rest[0]:
+        return np.ones(len(tokens), bool)
+    found = tokens + total - (tokens[most].min() if len(most) == m else 0) >= rest[0]
+    found[most] = True
+    return found
+
+
+def _unit(share: np.ndarray) -> np.ndarray:
+    return share / np.linalg.norm(share, axis=-1, keepdims=True)
+
+
 def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
     """The same pieces in order, cut into sequences whose lengths are the powers of two of their sum."""
     total, done, pieces = sum(p[2] for p in pieces), [], pieces[::-1]
@@ -147,19 +172,23 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+#: Of sequences made of documents: few enough segments that this limit closes most sequences, beside the tokens.
+DOCUMENT_LIMITS = Limits(segments=8)
+
 #: The result's columns; ids are little-endian unsigned 32-bit integers.
 PIECES = pa.schema(
     [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())]
 )
 
 
-def pack_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limits: Limits = Limits(), with_ids: bool = True) -> DataFrame:
+def pack_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limits: Limits = DOCUMENT_LIMITS, with_ids: bool = True) -> DataFrame:
     """Encodes every document, ends it with an id, and packs all ids into sequences; documents may be cut.
 
     One row a piece: doc_id, start (in its document), length, ids_crc32, doc_tokens, sequence_id,
     offset (in its sequence), ids. Every id lies in exactly one piece. Whole multiples of the limit
     fill sequences by themselves; the remainders are packed, so that all sequences but the last few of
-    a window are full and those are as long as a power of two. A null text is empty and has the end id
+    a window are full and those are as long as a power of two; none has more pieces than the limit on segments,
+    if the window's documents are all tiny too. A null text is empty and has the end id
     alone; a null id stays null; repeated rows are packed each; an empty table gives no rows; other
     columns are ignored. A document's first token bears no loss, as nothing of it comes before. ``ids``
     is left out on demand, which spares its transfer.
