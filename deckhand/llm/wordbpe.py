@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deckhand.llm import common, vocab
@@ -40,6 +40,8 @@ from deckhand.llm.common import packed, ragged, unpacked, unzipped, zipped
 BLOCK_BYTES = 6 << 20
 #: Bytes of input, as Spark estimates them, for which there is a bucket at least: so few enough words share one.
 BUCKET_BYTES = 32 << 20
+#: Rows of which ids are exploded at a time.
+ROWS = 64
 
 
 @functools.cache
@@ -197,35 +199,64 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return words.mapInArrow(encode, "block long, at long, size long, ids binary").groupBy("block").applyInArrow(join, "doc_id long, ids binary")
 
 
-@functools.cache
-def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The token-byte table: start and length by id, and all bytes. Its size is the vocabulary's."""
-    found = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, open(path, "rb")))
-    lengths = np.zeros(found[-1][0] + 1, np.int64)
-    lengths[[k for k, _ in found]] = [len(t) for _, t in found]
-    return np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(t for _, t in found), np.uint8)
-
-
-def decoded(ids: bytes, path: str) -> bytes:
-    starts, lengths, data = token_bytes(path)
-    ids = np.frombuffer(ids, "<u4")
-    return data[ragged(starts[ids], lengths[ids])].tobytes()
+def token_table(spark: SparkSession, ranks: str | None = None) -> DataFrame:
+    """The token-byte table: id, bytes. Its size is the vocabulary's, some 50,000 rows, whatever the documents are."""
+    ranks = ranks or vocab.default_path("byte_bpe_multi_50k.tiktoken")
+    found = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, open(ranks, "rb"))]
+    return spark.createDataFrame(pa.table({"id": pa.array([k for k, _ in found], pa.int32()), "bytes": pa.array([t for _, t in found], pa.binary())}))
 
 
 def decode_documents(df: DataFrame, ranks: str | None = None) -> DataFrame:
-    """Adds the bytes of each row's ids: doc_id, ids, decoded. Null ids decode to nothing.
+    """The bytes of each row's ids: doc_id, ids, decoded. Null ids are empty and decode to nothing.
 
-    Ids are joined with the token-byte table, which every task holds whole: its size is the vocabulary's.
+    Ids are exploded with their positions and joined with the token-byte table, which is broadcast: it has a
+    row a token of the vocabulary. The join passes a partition's rows on in order, so a row is put together
+    again as its positions come by, without a shuffle; positions out of order and ids without bytes are
+    errors. Repeated and null document ids are kept apart by their row. Memory is bounded by the longest row.
     """
-    ranks = ranks or vocab.default_path("byte_bpe_multi_50k.tiktoken")
 
     @common.frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = 0
         for batch in batches:
-            ids = [x or b"" for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([decoded(x, ranks) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
+            ids = batch.column(1).to_pylist()
+            for lo in range(0, len(ids), ROWS):
+                own = [np.frombuffer(x or b"", "<i4") for x in ids[lo : lo + ROWS]]
+                ends = np.cumsum([0, *map(len, own)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own), pa.int32()))
+                rows = pa.array(np.arange(k, k + len(own)), pa.int64())
+                yield pa.RecordBatch.from_arrays([rows, batch.column(0)[lo : lo + ROWS], pa.array(np.diff(ends), pa.int32()), lists], ["row", "doc_id", "n", "ids"])
+                k += len(own)
 
-    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    @common.frugal
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, have, due = [], 0, 0
+        for batch in batches:
+            row, size, at = (batch.column(c).to_numpy() for c in ("row", "n", "at"))
+            if batch.column("bytes").null_count != (size == 0).sum():
+                raise ValueError("an id that the token-byte table doesn't have")
+            data, offsets = common.text_bytes(batch.column("bytes"))
+            ids = batch.column("id").fill_null(0).to_numpy().astype("<u4")
+            done = []
+            for lo in np.flatnonzero(np.diff(row, prepend=-1)):
+                lo = int(lo)
+                hi = int(np.searchsorted(row, row[lo], "right"))
+                n = int(size[lo])
+                if row[lo] != due or not np.array_equal(at[lo:hi], np.arange(have, have + hi - lo)) or have + hi - lo > max(n, 1):
+                    raise ValueError("positions out of order")
+                parts.append((ids[lo : lo + min(hi - lo, n)].tobytes(), data[offsets[lo] : offsets[hi]].tobytes()))
+                have += hi - lo
+                if have >= n:
+                    done.append((batch.column("doc_id")[lo].as_py(), *map(b"".join, zip(*parts))))
+                    parts, have, due = [], 0, due + 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done)) or [()] * 3, (pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "ids", "decoded"])
+        if parts:
+            raise ValueError("a row without its last positions")
+
+    lists = df.select("doc_id", "ids").mapInArrow(numbered, "row long, doc_id long, n int, ids array<int>")
+    tokens = lists.select("row", "doc_id", "n", F.posexplode_outer("ids").alias("at", "id")).withColumn("at", F.coalesce("at", F.lit(0)))
+    joined = tokens.join(F.broadcast(token_table(df.sparkSession, ranks)), "id", "left")
+    return joined.select("row", "doc_id", "n", "at", "id", "bytes").mapInArrow(together, "doc_id long, ids binary, decoded binary")
 
 
 def bpe_digest(df: DataFrame) -> DataFrame:

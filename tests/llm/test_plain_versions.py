@@ -267,3 +267,55 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert docs.count() == 0 or {r.doc_id for r in docs.collect()} <= {1, 2, 3, 4, None}
         pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
         assert sum(p.start == 0 for p in pieces) == docs.count()
+
+
+def check_placed(tokens, limits):
+    """Whether all tokens lie in exactly one piece and all sequences keep the limits and need no padding; the sequences."""
+    tokens = np.array(tokens, np.int64)
+    got = packing.place(tokens, np.maximum(tokens - 1, 0), limits, cut=True)
+    pieces = sorted(p for b in got for p in b)
+    for k, n in enumerate(tokens.tolist()):
+        own = [(s, m) for e, s, m in pieces if e == k]
+        assert [s for s, _ in own] == [sum(m for _, m in own[:j]) for j in range(len(own))] and sum(m for _, m in own) == n
+    for b in got:
+        n = sum(m for _, _, m in b)
+        assert 0 < len(b) <= limits.segments and n <= limits.tokens and n & n - 1 == 0
+    return got
+
+
+def test_segments_and_tokens_bind_together():
+    r = random.Random(8)
+    limits = packing.Limits(tokens=1024, segments=8)
+    tokens = [min(1023, int(r.lognormvariate(4.6, 0.9)) + 1) for _ in range(1500)]
+    got = check_placed(tokens, limits)
+    assert sum(len(b) == 8 for b in got) > len(got) / 3  # the limit closes many sequences
+    assert sum(sum(m for _, _, m in b) == 1024 for b in got) == sum(tokens) // 1024  # and costs no full sequence
+    # Tiny documents only: the segments run out first, everywhere.
+    assert len(check_placed([3] * 100, limits)) == 26  # 12 times 16 + 8, then 8 + 4
+    check_placed([1], limits), check_placed([1023] * 5, limits), check_placed([1, 1023] * 20 + [512] * 7, limits)
+    for k in range(60):
+        check_placed([r.choice([1, 2, 5, 60, 400, 1023]) for _ in range(r.randint(1, 40))], packing.Limits(tokens=1024, segments=r.randint(1, 9)))
+
+
+def test_documents_keep_the_limit_on_segments(spark):
+    docs = spark.createDataFrame([(k % 50, "word " * (k % 90)) for k in range(700)] + [(None, None), (51, "long text " * 9000)], "doc_id long, text string").coalesce(2)
+    by = {}
+    for p in packing.pack_documents(docs).collect():
+        by.setdefault(p.sequence_id, []).append(p)
+    assert max(map(len, by.values())) == packing.DOCUMENT_LIMITS.segments
+    assert all(n & n - 1 == 0 for n in (sum(p.length for p in s) for s in by.values()))
+
+
+def test_decoding_joins_ids_with_the_table(spark):
+    ranks = wordbpe.encoding(vocab.default_path("byte_bpe_multi_50k.tiktoken"))
+    texts = ["one", None, "", "two words", "long text, quite. " * 20000, "", "日本 \U0001fae8", None]
+    pack = lambda t: None if t is None else np.array(ranks.encode_ordinary(t), "<u4").tobytes()
+    rows = [(k % 3 or None, pack(t)) for k, t in enumerate(texts * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, ids binary")
+    plan = wordbpe.decode_documents(df)
+    assert sorted((r.doc_id or 0, bytes(r.ids), bytes(r.decoded)) for r in plan.collect()) == sorted((d or 0, i or b"", (texts[k % 8] or "").encode()) for k, (d, i) in enumerate(rows))
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in shown and "Exchange hash" not in shown
+    assert wordbpe.decode_documents(df.limit(0)).count() == 0
+    with pytest.raises(Exception, match="doesn't have"):
+        wordbpe.decode_documents(spark.createDataFrame([(1, np.array([5, 1 << 30], "<u4").tobytes())], "doc_id long, ids binary")).collect()
