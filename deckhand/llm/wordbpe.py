@@ -40,8 +40,9 @@ from deckhand.llm.common import packed, ragged, unpacked, unzipped, zipped
 BLOCK_BYTES = 6 << 20
 #: Bytes of input, as Spark estimates them, for which there is a bucket at least: so few enough words share one.
 BUCKET_BYTES = 32 << 20
-#: Rows of which ids are exploded at a time.
-ROWS = 64
+#: Bytes of ids that make a block for decoding, and ids decoded at a time where columns of eight bytes a byte arise.
+IDS_BYTES = 4 << 20
+SOME_IDS = 1 << 18
 
 
 @functools.cache
@@ -209,54 +210,68 @@ def token_table(spark: SparkSession, ranks: str | None = None) -> DataFrame:
 def decode_documents(df: DataFrame, ranks: str | None = None) -> DataFrame:
     """The bytes of each row's ids: doc_id, ids, decoded. Null ids are empty and decode to nothing.
 
-    Ids are exploded with their positions and joined with the token-byte table, which is broadcast: it has a
-    row a token of the vocabulary. The join passes a partition's rows on in order, so a row is put together
-    again as its positions come by, without a shuffle; positions out of order and ids without bytes are
-    errors. Repeated and null document ids are kept apart by their row. Memory is bounded by the longest row.
+    A block of rows is exploded into its distinct ids, each with its slot; the first carries the positions, as
+    slots. The ids are joined with the token-byte table, which is broadcast: it has a row a token of the
+    vocabulary. The join passes a partition's rows on in order, so a block is put together again by position
+    as its slots come by, without a shuffle; slots out of order and ids without bytes are errors. Repeated
+    and null document ids are rows of their own. Memory is bounded by a block or the longest row.
     """
 
     @common.frugal
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = 0
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(1).to_pylist()
-            for lo in range(0, len(ids), ROWS):
-                own = [np.frombuffer(x or b"", "<i4") for x in ids[lo : lo + ROWS]]
-                ends = np.cumsum([0, *map(len, own)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own), pa.int32()))
-                rows = pa.array(np.arange(k, k + len(own)), pa.int64())
-                yield pa.RecordBatch.from_arrays([rows, batch.column(0)[lo : lo + ROWS], pa.array(np.diff(ends), pa.int32()), lists], ["row", "doc_id", "n", "ids"])
-                k += len(own)
+            data, offsets = common.text_bytes(batch.column(1))
+            for lo, hi in common.slices(offsets, IDS_BYTES):
+                docs = batch.column(0)[lo:hi]
+                ids, slots = np.unique(np.frombuffer(data[offsets[lo] : offsets[hi]].tobytes(), "<i4"), return_inverse=True)
+                block = packed(np.array(docs.is_null()).tobytes(), docs.fill_null(0).to_numpy().astype("<i8").tobytes(), (np.diff(offsets[lo : hi + 1]) // 4).astype("<i8").tobytes(), slots.astype("<u4").tobytes())
+                n = max(len(ids), 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([len(ids)] * n, pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(ids if len(ids) else [None], pa.int32()), pa.array([block] + [None] * (n - 1), pa.binary())],
+                    ["n", "slot", "id", "block"],
+                )
 
     @common.frugal
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, have, due = [], 0, 0
+        parts, have, n = [], 0, 0
         for batch in batches:
-            row, size, at = (batch.column(c).to_numpy() for c in ("row", "n", "at"))
-            if batch.column("bytes").null_count != (size == 0).sum():
+            if batch.column("bytes").null_count != batch.column("id").null_count:
                 raise ValueError("an id that the token-byte table doesn't have")
+            slot, ids = batch.column("slot").to_numpy(), batch.column("id").fill_null(0).to_numpy().astype("<u4")
             data, offsets = common.text_bytes(batch.column("bytes"))
-            ids = batch.column("id").fill_null(0).to_numpy().astype("<u4")
-            done = []
-            for lo in np.flatnonzero(np.diff(row, prepend=-1)):
-                lo = int(lo)
-                hi = int(np.searchsorted(row, row[lo], "right"))
-                n = int(size[lo])
-                if row[lo] != due or not np.array_equal(at[lo:hi], np.arange(have, have + hi - lo)) or have + hi - lo > max(n, 1):
-                    raise ValueError("positions out of order")
-                parts.append((ids[lo : lo + min(hi - lo, n)].tobytes(), data[offsets[lo] : offsets[hi]].tobytes()))
+            cuts = sorted({0, *np.flatnonzero(slot == 0).tolist(), len(slot)})
+            for lo, hi in zip(cuts, cuts[1:]):
+                if slot[lo] == 0 and have == n:
+                    block, n, have, parts = batch.column("block")[lo].as_py(), batch.column("n")[lo].as_py(), 0, []
+                if not np.array_equal(slot[lo:hi], np.arange(have, have + hi - lo)) or have + hi - lo > max(n, 1):
+                    raise ValueError("slots out of order")
+                parts.append((ids[lo:hi], np.diff(offsets[lo : hi + 1]), data[offsets[lo] : offsets[hi]]))
                 have += hi - lo
                 if have >= n:
-                    done.append((batch.column("doc_id")[lo].as_py(), *map(b"".join, zip(*parts))))
-                    parts, have, due = [], 0, due + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done)) or [()] * 3, (pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "ids", "decoded"])
-        if parts:
-            raise ValueError("a row without its last positions")
-
-    lists = df.select("doc_id", "ids").mapInArrow(numbered, "row long, doc_id long, n int, ids array<int>")
-    tokens = lists.select("row", "doc_id", "n", F.posexplode_outer("ids").alias("at", "id")).withColumn("at", F.coalesce("at", F.lit(0)))
-    joined = tokens.join(F.broadcast(token_table(df.sparkSession, ranks)), "id", "left")
-    return joined.select("row", "doc_id", "n", "at", "id", "bytes").mapInArrow(together, "doc_id long, ids binary, decoded binary")
+                    yield _positioned(block, *map(np.concatenate, zip(*parts)))
+                    have, n = 0, 0
+        if have != n:
+            raise ValueError("a block without its last slots")
+
+    rows = df.select("doc_id", "ids").mapInArrow(exploded, "n int, slot int, id int, block binary")
+    joined = rows.join(F.broadcast(token_table(df.sparkSession, ranks)), "id", "left")
+    return joined.select("n", "slot", "id", "block", "bytes").mapInArrow(together, "doc_id long, ids binary, decoded binary")
+
+
+def _positioned(block: bytes, ids: np.ndarray, lengths: np.ndarray, pool: np.ndarray) -> pa.RecordBatch:
+    """The documents of a block, from its positions and each slot's id and bytes."""
+    null, docs, sizes, slots = unpacked(block)
+    ends = np.cumsum(np.concatenate([[0], np.frombuffer(sizes, "<i8")]))
+    slots, starts = np.frombuffer(slots, "<u4"), np.cumsum(lengths) - lengths
+    out_ids, out_bytes = [], []
+    for a, b in zip(ends, ends[1:]):
+        own = slots[a:b]
+        out_ids.append(ids[own].tobytes())
+        some = (own[k : k + SOME_IDS] for k in range(0, len(own), SOME_IDS))
+        out_bytes.append(b"".join(pool[ragged(starts[x], lengths[x])].tobytes() for x in some))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.frombuffer(docs, "<i8"), pa.int64(), mask=np.frombuffer(null, bool)), pa.array(out_ids, pa.binary()), pa.array(out_bytes, pa.binary())], ["doc_id", "ids", "decoded"]
+    )
 
 
 def bpe_digest(df: DataFrame) -> DataFrame:
