@@ -79,3 +79,9 @@ def test_links_take_the_first_relation_of_a_slide(spark):
     df = spark.sql(f"SELECT 'f' AS file, 1 AS slide_number, array(named_struct('idx', 0, 'paras', CAST(array(array(named_struct('text', 'a', 'rid', 'r1'), named_struct('text', 'b', 'rid', 'r9'), named_struct('text', 'c', 'rid', NULL))) AS array<array<{run}>>))) AS shapes, "
                    "array(named_struct('rid', 'r1', 'type', 'image', 'target', 'x'), named_struct('rid', 'r1', 'type', 'hyperlink', 'target', 'https://a'), named_struct('rid', 'r1', 'type', 'hyperlink', 'target', 'https://b')) AS rels")
     assert [tuple(r) for r in slides.links(df).orderBy("text").collect()] == [("f", 1, 0, "a", "https://a", "external"), ("f", 1, 0, "b", "r9", "internal")]
+
+
+def test_scores_are_rounded_as_sql_does(spark):
+    """A mean of 7.95 that comes out as 7.949999999999999 is 8.0, by both ways."""
+    df = spark.createDataFrame([("f", n, None, None, None, (1, 1, 0, 0, 0, 0, 0, 0), ["x" * size]) for n, size in ((1, 202), (2, 313))], SCHEMA)
+    assert [d.first().readability_score for d in (analysis.insights(df), analysis.overview(df, "comprehensive"))] == [8.0] * 2
