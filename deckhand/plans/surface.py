@@ -73,9 +73,7 @@ MADE = {"info": f"CAST(CASE kind {' '.join(f'WHEN {name!r} THEN {info}' for name
 def views(view: DataFrame) -> dict[str, DataFrame]:
     """The tables that the functions read, of the view ``slides``: slides, tables, cells, runs and insights."""
     cells = tables.cells(view)
-    links = F.expr("filter(rels, l -> l.type = 'hyperlink' AND l.rid IS NOT NULL)")
-    targets = view.select("file", "slide_number", F.explode(links).alias("l")).select("file", "slide_number", F.col("l.rid").alias("rid"), F.col("l.target").alias("target"))
-    runs = formatting.runs(view).join(targets, ["file", "slide_number", "rid"], "left")
+    runs = formatting.runs(view, ("url",)).withColumnRenamed("url", "target")
     return {
         "deck_slides": view.withColumn("total_objects", slides.total_objects(F.col("object_counts"))),
         "deck_tables": tables.structured(cells), "deck_cells": cells.drop("rels"),
