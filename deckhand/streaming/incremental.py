@@ -12,6 +12,7 @@ One run at a time may write a table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,13 +60,21 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
     return ooxml.metadata(ooxml.binary(spark, folder)).select("file", "modified", "length", "identity")
 
 
+def tasks(found: DataFrame) -> int:
+    """How many tasks parse the files of a listing: a quarter of those that list them, as many as the session runs at a time at least.
+
+    Names and stamps are few bytes, so that joins leave all of them to one task, which would open all files.
+    """
+    return max(found.sparkSession.sparkContext.defaultParallelism, found.rdd.getNumPartitions() // 4)
+
+
 def _parser(arrow: pa.Schema):
     """The task that opens files and parses what isn't known."""
     blank = dict.fromkeys(arrow.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f in batch.to_pylist():
+            for f in ooxml.each([batch]):
                 own = {k: f[k] for k in ("file", "modified", "length", "identity")}
                 data = None
                 if f["length"] <= ooxml.MAX_BYTES:
@@ -74,7 +83,8 @@ def _parser(arrow: pa.Schema):
                         data = opened.read()
                 why = ooxml.problem(f["file"], f["length"], data)
                 rows = [{"kind": "reject", "error": why}] if why else ooxml._package(data, dict(f["known"] or ()))
-                yield pa.RecordBatch.from_pylist([blank | own | r for r in rows], schema=arrow)
+                for some in batched(rows, ooxml.BATCH_ROWS):
+                    yield pa.RecordBatch.from_pylist([blank | own | r for r in some], schema=arrow)
 
     return run
 
@@ -91,7 +101,7 @@ def refresh(spark: SparkSession, folder: str, path: str) -> dict[str, int]:
     changed = now.join(old, ["file", "identity"], "left_anti")
     gone = old.select("file").distinct().join(now.select("file"), "file", "left_anti")
     stamps = prior.where("kind = 'slide' AND error IS NULL").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("part", "stamp"))).alias("known"))
-    work = changed.join(stamps, "file", "left")
+    work = changed.join(stamps, "file", "left").repartition(tasks(now), "file")
     fields = T.StructType([f for f in T.StructType.fromDDL(SCHEMA) if f.name not in ("parsed_run", "run")])
     parsed = work.select("file", "modified", "length", "identity", "known").mapInArrow(_parser(to_arrow_schema(fields)), fields)
     before = prior.where("kind = 'slide'").select(*(F.col(n).alias(f"_{n}") for n in prior.columns))

@@ -79,3 +79,16 @@ def test_no_files(spark, tmp_path):
     (tmp_path / "none").mkdir()
     found = incremental.refresh(spark, (tmp_path / "none").as_uri(), str(tmp_path / "table"))
     assert found["run"] == 0 and incremental.state(spark, str(tmp_path / "table")).count() == 0
+
+
+def test_tasks_that_parse_grow_with_the_files(spark, tmp_path):
+    for k in range(64):
+        (tmp_path / f"{k}.pptx").write_bytes(b"x")
+    found = incremental.listed(spark, str(tmp_path))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task a file
+    try:
+        assert incremental.tasks(incremental.listed(spark, str(tmp_path))) == 16
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert incremental.tasks(found.limit(1)) == spark.sparkContext.defaultParallelism
