@@ -3,11 +3,15 @@
 import random
 import time
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deckhand.functions.arrays import stretches
-from deckhand.operators import analysis, decks, slides, tables, workflow
-from deckhand.plans import package_queries
+from deckhand.operators import analysis, decks, formatting, slides, tables, workflow
+from deckhand.plans import package_queries, surface_queries, varied_queries
+from deckhand.sources import ooxml, writer
 
 KINDS = ("shapes", "text_boxes", "images", "tables", "charts", "media", "connectors", "groups")
 SCHEMA = f"file string, slide_number int, title string, subtitle string, notes string, counts struct<{','.join(k + ':int' for k in KINDS)}>, texts array<string>"
@@ -85,3 +89,48 @@ def test_scores_are_rounded_as_sql_does(spark):
     """A mean of 7.95 that comes out as 7.949999999999999 is 8.0, by both ways."""
     df = spark.createDataFrame([("f", n, None, None, None, (1, 1, 0, 0, 0, 0, 0, 0), ["x" * size]) for n, size in ((1, 202), (2, 313))], SCHEMA)
     assert [d.first().readability_score for d in (analysis.insights(df), analysis.overview(df, "comprehensive"))] == [8.0] * 2
+
+
+def parses(df):
+    """How often a plan parses packages."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial")[0].count("MapInArrow")
+
+
+def test_operators_read_their_slides_once(spark):
+    view = slides.slides(package_queries.packages(spark, "/root/testdata/sf0.001"))
+    assert [parses(formatting.segments(view, kind)) for kind in formatting.TYPES] == [1] * len(formatting.TYPES)
+    found = formatting.elements(view)
+    assert parses(formatting.runs(view)) == parses(found) == parses(formatting.summary(found)) == 1
+    assert {name: parses(tables.extract(view, name)) for name in tables.FORMATS} == dict.fromkeys(tables.FORMATS, 1)
+    assert parses(tables.extract(view, criteria={"min_rows": 3, "max_columns": 2, "header_contains": ["LIN"]})) == 1
+    assert parses(analysis.patterns(analysis.view(view))) == parses(slides.sections(package_queries.packages(spark, "/root/testdata/sf0.001"))) == 1
+
+
+@pytest.mark.parametrize("name", ["pkg_query_simple", "pkg_section_ranges", "pkg_content", "pkg_extraction_summary", "pkg_insights", "pkg_overview_formatting", "varied_insights", "sql_text_segments", "sql_deck_scores"])
+def test_queries_that_read_decks_more_than_once_write_them(spark, name):
+    queries = package_queries.QUERIES | varied_queries.QUERIES | surface_queries.QUERIES
+    assert parses(queries[name](spark, "/root/testdata/sf0.001")) == 0
+
+
+def test_tasks_grow_with_the_slides(spark, tmp_path):
+    small = "/root/testdata/sf0.001"
+    grown = spark.range(40).crossJoin(spark.read.parquet(f"{small}/conversations.parquet")).withColumn("conv_id", F.col("conv_id") + 1000 * F.col("id")).drop("id").repartition(1)
+    grown.crossJoin(spark.range(3).select(F.col("id").alias("k"))).withColumn("conv_id", F.col("conv_id") + 100_000 * F.col("k")).drop("k").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [package_queries.files(spark, d).rdd.getNumPartitions() for d in (small, str(tmp_path))] == [spark.sparkContext.defaultParallelism, -(-87 * 120 // package_queries.TASK_SLIDES)]
+
+
+def test_batches_are_bounded(spark):
+    """A task has one file's bytes at a time, and rows of a file go on in batches."""
+    batch = pa.RecordBatch.from_pydict({"a": [1, 2, 3]})
+    assert list(ooxml.each(iter([batch, batch]))) == [{"a": k} for k in (1, 2, 3)] * 2
+    rows = spark.range(150).select(F.lit("deck.pptx").alias("file"), (F.col("id") + 1).cast("int").alias("slide_number"), F.lit("x").alias("title"))
+    given = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(writer.SLIDE)}
+    made = writer.packages_of(rows.select(*(F.col(n) if n in rows.columns else c for n, c in given.items())), 2)
+    assert sorted(r.slide_number for r in ooxml.parsed(made).where("kind = 'slide'").collect()) == list(range(1, 151))
+
+
+def test_sections_of_faulty_lists(spark):
+    """An id that is listed twice has both places; one that isn't listed, or a section without slides, has none."""
+    ids, named = "array<struct<id:string,rid:string>>", "array<struct<name:string,id:string,slide_ids:array<string>>>"
+    df = spark.createDataFrame([("f", "package", [("1", "a"), ("2", "b"), ("1", "c"), (None, "d")], [("A", "x", ["1", "9"]), ("B", "y", []), ("C", "z", ["2", None])])], f"file string, kind string, slide_ids {ids}, sections {named}")
+    assert sorted(map(str, (tuple(r) for r in slides.sections(df).select("section", "section_ord", "slide_id", "slide_number").collect()))) == sorted(map(str, [("A", 0, "1", 1), ("A", 0, "1", 3), ("A", 0, "9", None), ("B", 1, None, None), ("C", 2, "2", 2), ("C", 2, None, None)]))
