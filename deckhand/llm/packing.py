@@ -58,18 +58,19 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool) -> li
     demand, ids = demand[order], ids[order]
     scaled = _unit if cut else np.asarray
     share = scaled(demand / cap)
+    need, bears = demand[:, 0].copy(), demand[:, 2].copy()
     alive = np.ones(len(ids), bool)
     done: list[list[tuple[int, int, int]]] = []
     rest, current = cap.copy(), []
     left = len(ids)
     while left:
-        open_to = alive & _fillable(demand[:, 0], alive, rest) if cut else alive
+        open_to = alive & _fillable(need, alive, rest) if cut else alive
         score = share @ (rest / cap)
-        fits = open_to & (demand <= rest).all(axis=1)
+        fits = open_to & (need <= rest[0]) & (bears <= rest[2]) & (rest[1] >= 1)
         if fits.any():
             k = int(np.argmax(np.where(fits, score, -1.0)))
-            current.append((int(ids[k]), int(start[ids[k]]), int(demand[k, 0])))
-            rest -= demand[k]
+            current.append((int(ids[k]), int(start[ids[k]]), int(need[k])))
+            rest -= (need[k], 1, bears[k])
             alive[k] = False
             left -= 1
             if rest[0] > 0:
@@ -77,15 +78,19 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool) -> li
         elif cut and min(rest) >= 1:
             k = int(np.argmax(np.where(open_to, score, -1.0)))
             n = int(min(rest[0], rest[2]))
-            if n < demand[k, 0]:
+            if n < need[k]:
                 current.append((int(ids[k]), int(start[ids[k]]), n))
                 start[ids[k]] += n
-                demand[k, 0] -= n
-                demand[k, 2] = min(demand[k, 2], demand[k, 0])
-                share[k] = scaled(demand[k] / cap)
+                need[k] -= n
+                bears[k] = min(bears[k], need[k])
+                share[k] = scaled(np.array([need[k], 1, bears[k]]) / cap)
                 rest[0] -= n
         done += powers_of_two(current) if cut and rest[0] > 0 else [current]
         rest, current = cap.copy(), []
+        if 8 * left < 7 * len(ids):
+            # What is placed need not be looked at again; the order stays.
+            need, bears, share, ids = need[alive], bears[alive], share[alive], ids[alive]
+            alive = np.ones(left, bool)
     if current:
         done += powers_of_two(current) if cut else [current]
     return [s for s in done if s]

@@ -382,3 +382,16 @@ def test_pipeline(spark):
                 assert after[k].text == np.frombuffer(b, np.uint8)[~gone].tobytes().decode(errors="ignore")
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()
     assert {p.doc_id for p in pieces} == set(after)
+
+
+def test_packing_leaves_placed_examples_behind(monkeypatch):
+    """What is placed isn't looked at again, and every token still lies in one piece."""
+    seen, whole = [], packing._fillable
+    monkeypatch.setattr(packing, "_fillable", lambda tokens, alive, rest: seen.append(len(tokens)) or whole(tokens, alive, rest))
+    sizes = np.random.default_rng(1).integers(1, 4096, 400)
+    placed = packing.place(sizes, sizes - 1, packing.DOCUMENT_LIMITS, cut=True)
+    assert seen[0] == 400 and seen[-1] <= 16
+    held = np.zeros(400, int)
+    for e, _, n in (piece for sequence in placed for piece in sequence):
+        held[e] += n
+    assert (held == sizes).all() and max(map(len, placed)) <= 8
