@@ -2,11 +2,13 @@
 
 import random
 import time
+import tracemalloc
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from deckhand.functions.arrays import stretches
 from deckhand.operators import analysis, decks, formatting, slides, tables, workflow
@@ -129,6 +131,31 @@ def test_batches_are_bounded(spark):
     assert sorted(r.slide_number for r in ooxml.parsed(made).where("kind = 'slide'").collect()) == list(range(1, 151))
 
 
+def test_a_large_deck_stays_columns(spark, monkeypatch):
+    """Slides become Python objects some at a time, so that a deck of many slides needs little beside its archive; the archive is that of all of them in order."""
+    run = {"text": "some words", "bold": True, "size": 1800, "color": "FF0000"}
+    row = {"file": "deck.pptx", "title": "t", "section": "Main", "body": [[run]] * 50, "bodies": [run] * 50, "styles": [], "paras": [{"lvl": 1, "bullet": "-", "runs": [run]}] * 50}
+    rows = [row | {"slide_number": k, "notes": f"note {k}"} for k in range(200, 0, -1)]
+    styled = "file string, slide_number int, deck array<struct<lvl:int>>, styles array<struct<lvl:int>>, paras array<struct<lvl:int,bullet:string,runs:array<struct<text:string,bold:boolean,size:int,color:string>>>>"
+
+    def peak(f) -> int:
+        tracemalloc.start()
+        f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    for made, whole, ddl in ((writer.packages_of, writer.package, writer.SLIDE), (writer.varied_of, writer.varied_package, writer.VARIED), (writer.styled_of, writer.styled_package, styled)):
+        held, empty = [], spark.createDataFrame([], ddl)
+        with monkeypatch.context() as m:
+            m.setattr(type(empty.groupBy("file")), "applyInArrow", lambda self, f, schema: held.append(f) or spark.createDataFrame([], schema))  # noqa: B023
+            made(empty)
+        table = pa.concat_tables(pa.Table.from_pylist(some, schema=to_arrow_schema(empty.schema)) for some in (rows[:90], rows[90:]))
+        build = lambda: held[0]((pa.scalar("deck.pptx"),), table)  # noqa: B023,E731
+        assert build()["content"][0].as_py() == whole(table.to_pylist()[::-1])
+        assert 2 * peak(build) < peak(table.to_pylist)
+
+
 def test_sections_of_faulty_lists(spark):
     """An id that is listed twice has both places; one that isn't listed, or a section without slides, has none."""
     ids, named = "array<struct<id:string,rid:string>>", "array<struct<name:string,id:string,slide_ids:array<string>>>"
